@@ -22,6 +22,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, predict
 
@@ -56,5 +62,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_language_id, op6_token_counts, op7_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_substring_dedup, op5_language_id, op6_token_counts, op7_toxicity, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
