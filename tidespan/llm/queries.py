@@ -53,6 +53,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import components
+
+    return components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_gam import fit, score
 
@@ -62,5 +68,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_substring_dedup, op5_language_id, op6_token_counts, op7_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_substring_dedup, op5_language_id, op6_token_counts, op7_toxicity, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
