@@ -68,6 +68,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialize(e, "cc")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

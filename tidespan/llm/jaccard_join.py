@@ -9,7 +9,8 @@
 4. Regions join recursively: documents of a region are taken as pivots, every member's exact distance to them is found, and its home is
    the nearest.  Members within the distance are linked to their pivot.  A linked member x leaves if, by the triangle
    inequality, no member that its pivot does not reach can be near it: d(x, p) + eps < d(y, p) for all those y.  Pivots
-   leave too; the rest is the next round's region.  It ends when regions hold one document, and no pair is lost.
+   leave too; the rest is the next round's region.  A region ends when what is left of it is one component, and no link between
+   components is lost.
 5. Components of the links, grown by connected components over distributed edges.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as S
 from . import blocks, common
 from . import text as T
 
-_BASE = S.StructType([S.StructField("id", S.LongType()), S.StructField("n", S.IntegerType()), S.StructField("sig", S.LongType()), S.StructField("sig2", S.LongType()), S.StructField("anchors", S.ArrayType(S.LongType())), S.StructField("common", S.ArrayType(S.LongType()))])
+_BASE = S.StructType([S.StructField("id", S.LongType()), S.StructField("n", S.IntegerType()), S.StructField("sig", S.LongType()), S.StructField("sig2", S.LongType()), S.StructField("alone", S.IntegerType()), S.StructField("anchors", S.ArrayType(S.LongType())), S.StructField("common", S.ArrayType(S.LongType()))])
 
 
 def _sets(table: pa.Table, k: int):
@@ -59,7 +60,7 @@ def sets(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> DataF
         key, _, (doc, flat, order, begin, rows) = _sets(table, k)
         level = blocks.spread(answer[0], order, begin) if len(order) else np.zeros(0, np.uint8)
         edge = np.searchsorted(doc, np.arange(rows + 1)).tolist()
-        size, sig, sig2, anchors, shared = [], [], [], [], []
+        size, sig, sig2, rare, anchors, shared = [], [], [], [], [], []
         again = T.mix(flat ^ T.ODD[7])
         for a, b in zip(edge, edge[1:]):
             m = b - a
@@ -69,6 +70,7 @@ def sets(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> DataF
             sig2.append(int(np.add.reduce(again[a:b]).astype(np.int64)) if m else 0)
             prefix = m - (percent * m + 99) // 100 + 1
             alone = int((lv == 0).sum())
+            rare.append(alone)
             if m and alone < prefix:
                 some = np.flatnonzero(lv)
                 first = some[np.lexsort((x[some], lv[some]))[: prefix - alone]]
@@ -78,13 +80,21 @@ def sets(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> DataF
                 anchors.append(np.zeros(0, np.int64))
                 shared.append(np.zeros(0, np.int64))
         lists = lambda v: pa.array(v, pa.list_(pa.int64()))
-        return pa.table([table.column("__id") if ids is None else pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), lists(anchors), lists(shared)], names=_BASE.names)
+        return pa.table([table.column("__id") if ids is None else pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.int64()), pa.array(sig2, pa.int64()), pa.array(rare, pa.int32()), lists(anchors), lists(shared)], names=_BASE.names)
 
     from .substring_dedup import _or_empty
 
     return blocks.finish(dealt, blocks.replies(blocks.requests(dealt, n, emit), merge), _or_empty(then, _BASE), _BASE)
 
 
+def _tops(ranked: DataFrame, by, few: int) -> DataFrame:
+    """The ``few`` members of each region that come first by ``by``, by a top-k of salted parts."""
+    by = F.col(by) if isinstance(by, str) else by
+    order = F.struct(by.cast("double").alias("by"), F.xxhash64("id").alias("h"), F.col("id").alias("pivot"))
+    part = ranked.select("region", order.alias("o")).groupBy("region", F.pmod(F.col("o.h"), F.lit(256)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("o")), 1, few).alias("o"))
+    return part.groupBy("region").agg(F.slice(F.array_sort(F.flatten(F.collect_list("o"))), 1, few).alias("o")).select("region", F.explode("o.pivot").alias("pivot"))
+
+
 def links(base: DataFrame, percent: int, max_rounds: int = 10_000) -> list[DataFrame]:
     """(a, b) links whose components are those of all pairs at least ``percent`` alike: copies to their point, then members to pivots."""
     spark = base.sparkSession
@@ -92,40 +102,56 @@ def links(base: DataFrame, percent: int, max_rounds: int = 10_000) -> list[DataF
     rep = full.groupBy("n", "sig", "sig2").agg(F.min("id").alias("rep"))
     out = [full.join(rep, ["n", "sig", "sig2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
     points = full.where(F.size("anchors") > 0).join(rep.select("n", "sig", "sig2", F.col("rep").alias("id")), ["n", "sig", "sig2", "id"], "left_semi").dropDuplicates(["id", "n", "sig", "sig2"])
-    points = common.materialize(points.select("id", "n", "anchors", "common"), "points")
+    points = common.materialize(points.select("id", "n", "alone", "anchors", "common"), "points")
     eps = 1 - percent / 100
-    a = points.select("id", F.explode("anchors").alias("region")).distinct()
-    kept = a.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x")).where("m > 1")
-    kept = kept.groupBy("m", "s", "x").agg(F.min("region").alias("region")).select("region")
-    members = common.materialize(a.join(kept, "region"), "regions")
+    a = points.select("id", "n", F.posexplode("anchors").alias("pos", "region"), "alone")
+    # What comes before the first shingle that two sets share is shared by none of them: of a set with ``pos`` shingles before it, at most
+    # n - pos are shared, so a partner has at most ``most`` shingles.
+    most = F.floor((F.col("n") - F.col("pos") - F.col("alone")) * (100 + percent) / F.lit(percent)) - F.col("n")
+    a = a.select("id", "n", "region", (F.col("pos") + F.col("alone")).alias("pos"), most.cast("int").alias("most"))
+    # Regions with the same members are one: that of the earliest shingle.
+    kept = a.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.sum("pos").alias("p"), F.min(F.when(F.col("most") >= F.col("n"), F.col("n"))).alias("low")).where("m > 1 and low is not null")
+    kept = kept.groupBy("m", "s", "x").agg(F.min(F.struct("p", "region", "low")).alias("r")).select("r.region", "r.low")
+    # Of two members, one at least has most >= n; the others need one of those that is small enough.
+    a = a.join(kept, "region").where("most >= n or most >= low").select("region", "id", "n", "pos", "most", F.col("id").alias("comp"))
+    members = common.materialize(a, "regions")
     for r in range(max_rounds):
-        count = members.count()
-        if not count:
+        if members.isEmpty():
             break
-        pivots = min(64, 1 << (2 * r))
-        # The pivots of a region: those of smallest id (of smallest hash from the second round on), by a partial top-k.
-        order = F.struct(F.when(F.lit(r == 0), F.lit(0)).otherwise(F.xxhash64("id")).alias("h"), F.col("id").alias("id"))
-        tops = members.select("region", order.alias("o")).groupBy("region", F.pmod(F.xxhash64("o"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("o")), 1, pivots).alias("o")) if r else members.groupBy("region").agg(F.array(F.struct(F.lit(0).alias("h"), F.min("id").alias("id"))).alias("o"))
-        if r:
-            tops = tops.groupBy("region").agg(F.slice(F.array_sort(F.flatten(F.collect_list("o"))), 1, pivots).alias("o"))
-        chosen = tops.select("region", F.explode("o.id").alias("pivot"))
-        near = members.join(chosen, "region")
-        pairs = near.where("id <> pivot").select("id", "pivot").distinct()
+        # Pivots: the smallest id at first; then members of the smallest and of the largest components of each region.
+        if r == 0:
+            chosen = members.groupBy("region").agg(F.min_by("id", F.struct((F.col("pos") / F.col("n")).alias("at"), "id")).alias("pivot"))
+        else:
+            share = members.groupBy("region", "comp").agg(F.count("*").alias("m"))
+            ranked = members.join(share, ["region", "comp"])
+            few = min(2048, 16 << (2 * r))
+            chosen = _tops(ranked, "m", few).union(_tops(ranked, F.col("pos") / F.col("n"), few)).distinct()
+        pivots = members.select("region", F.col("id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("most").alias("pmost"))
+        # Pairs of one component need no distance: they can't add a link that joins anything.
+        near = members.join(chosen.join(pivots, ["region", "pivot"]), "region").where("comp <> pcomp and n <= pmost and pn <= most")
+        near = near.select("region", "id", "comp", "pivot", "pcomp")
+        pairs = near.select("id", "pivot").distinct()
         left = points.select("id", F.col("n").alias("n1"), F.col("common").alias("c1"))
         right = points.select(F.col("id").alias("pivot"), F.col("n").alias("n2"), F.col("common").alias("c2"))
-        both = F.size(F.array_intersect("c1", "c2"))
-        measured = pairs.join(left, "id").join(right, "pivot").select("id", "pivot", "n1", "n2", both.alias("i"))
+        measured = pairs.join(left, "id").join(right, "pivot").select("id", "pivot", "n1", "n2", F.size(F.array_intersect("c1", "c2")).alias("i"))
         union = F.col("n1") + F.col("n2") - F.col("i")
-        measured = measured.groupBy("id", "pivot").agg(F.max(F.struct((F.col("i") * 100 >= union * percent).alias("linked"), (-(1 - F.col("i") / union)).alias("minus"))).alias("v"))
-        measured = common.materialize(measured.select("id", "pivot", "v.linked", (-F.col("v.minus")).alias("d")), "distances")
-        out.append(measured.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        measured = measured.groupBy("id", "pivot").agg(F.max(F.col("i") * 100 >= union * percent).alias("linked"), F.min(1 - F.col("i") / union).alias("d"))
+        measured = common.materialize(measured, "distances")
+        hits = measured.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        out.append(hits)
         seen = near.join(measured, ["id", "pivot"])
-        far = seen.where("not linked").groupBy("region", "pivot").agg(F.min("d").alias("far"))
-        # A linked member leaves if its pivot's window holds no unlinked one.
-        done = seen.where("linked").join(far, ["region", "pivot"], "left").where(F.col("far").isNull() | (F.col("d") + eps + 1e-9 < F.col("far"))).select("region", "id")
+        total = members.groupBy("region", "comp").agg(F.count("*").alias("own"))
+        whole = total.groupBy("region").agg(F.sum("own").alias("whole"))
+        # A linked member leaves if all members of other components have been measured and its pivot's window holds none that is not linked.
+        far = seen.groupBy("region", "pivot", "pcomp").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.count("*").alias("met"))
+        far = far.join(total.withColumnRenamed("comp", "pcomp"), ["region", "pcomp"]).join(whole, "region").where("met = whole - own").select("region", "pivot", "far")
+        done = seen.where("linked").join(far, ["region", "pivot"]).where(F.col("far").isNull() | (F.col("d") + eps + 1e-9 < F.col("far"))).select("region", "id")
         done = done.union(chosen.select("region", F.col("pivot").alias("id")))
         rest = members.join(done.distinct(), ["region", "id"], "left_anti")
-        alive = rest.groupBy("region").agg(F.count("*").alias("m")).where("m > 1").select("region")
+        merged = seen.where("linked").select(F.col("comp").alias("a"), F.col("pcomp").alias("b")).distinct()
+        renamed = common.connected_components(merged)
+        rest = rest.join(renamed, rest["comp"] == renamed["node"], "left").select("region", "id", "n", "pos", "most", F.coalesce("component", "comp").alias("comp"))
+        alive = rest.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region")
         members = common.materialize(rest.join(alive, "region"), "regions")
         common.release(spark)
     else:
