@@ -22,6 +22,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score
+
+    out = score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup
 
@@ -68,5 +75,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_substring_dedup, op5_language_id, op6_token_counts, op7_toxicity, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pitman_yor, op3_substring_dedup, op5_language_id, op6_token_counts, op7_toxicity, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
