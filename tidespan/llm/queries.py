@@ -35,6 +35,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_join import links
+
+    return links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, predict
 
@@ -60,6 +66,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import components
 
@@ -75,5 +87,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pitman_yor, op3_substring_dedup, op5_language_id, op6_token_counts, op7_toxicity, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pitman_yor, op3_substring_dedup, op4_vector_join, op5_language_id, op6_token_counts, op7_toxicity, op8_decontamination, op9_jaccard_join, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
