@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import size_in_bytes
 
 #: Input bytes (as the scan reports them) of one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 REQUEST = "block int, p int, payload binary"
 
 

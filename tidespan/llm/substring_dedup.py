@@ -59,6 +59,19 @@ def recompress(h: np.ndarray, at: np.ndarray, rounds: int) -> tuple[np.ndarray,
     return sym, lo, hi, doc
 
 
+def depth(window: int) -> int:
+    """Rounds after which a support is expected to cover at most 0.6 of a window, so that windows have interior symbols.
+
+    A round makes symbols 4/3 as long, and adds a neighbour at each side for runs and for pairs.
+    """
+    r, length, support = 0, 1.0, 1.0
+    while True:
+        length, support = length * 4 / 3, support + length / 3 + 4 * length
+        if support > 0.6 * window:
+            return r
+        r += 1
+
+
 def _long(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, offsets, and ids (null: none) of a block; documents that hold no window are emptied."""
     h, at = T.words(table.column("__text"))
@@ -140,7 +153,7 @@ def _counts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.diff(at)
 
 
-def dedup(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "doc_id", rounds: int = 6, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "doc_id", rounds: int | None = None, texts: bool = False) -> DataFrame:
     """Each document without the words of any ``window``-word sequence that also starts in a document of smaller id.
 
     Columns: ``doc_id``, n_words, n_removed, spans (word positions [from, to) that go, flat), kept_sha256 (of the kept words joined by one space).  With ``texts``, all
@@ -152,6 +165,7 @@ def dedup(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "
     """
     spark = docs.sparkSession
     n = blocks.number(docs)
+    rounds = depth(window) if rounds is None else rounds
     rest = list(docs.columns) if texts else [doc_id]
     inner = {c: f"c{i}" for i, c in enumerate(rest)}
     cols = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"), *(F.col(c).alias(v) for c, v in inner.items() if c != text))
