@@ -73,7 +73,7 @@ class Lexicon:
             else:
                 best[start] = max(w, best.get(start, 0.0))
         if spared:
-            best = {s: w for s, w in best.items() if not any(x <= s and s <= y for x, y in spared)}
+            best = {s: w for s, w in best.items() if not any(x <= s < y for x, y in spared)}
         total = sum(best.values())
         return total, 100.0 * total / len(t)
 
