@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 TOKENIZERS = os.environ.get("TIDESPAN_TOKENIZERS", "/opt/tokenizers")
 #: The split pattern of the public byte-level vocabulary (a fixed value of that vocabulary).
@@ -69,7 +70,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import matches
 
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "start", "n_words", "similarity")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +90,3 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pitman_yor, op3_substring_dedup, op4_vector_join, op5_language_id, op6_token_counts, op7_toxicity, op8_decontamination, op9_jaccard_join, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
