@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _APART = re.compile(" +[^ ]*|[^ ]+").findall
 PROBES = ("", " ", "  two  spaces ", "Plain words, then more.", "naïve café über straße niño", "tabs\tand\nlines\r\n\n", "日本語 \U0001f600 Жз", "1,234.5 + x_y == {z}", "▁marked▁", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "<s> </s> <unk> <0x41>")
 
@@ -134,7 +134,7 @@ class Codec:
 
     def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         """The same ids as int32 arrays.  Where words can be encoded apart, each different word of the batch is encoded
-        once, in one multithreaded call, and remembered for later batches (up to ``REMEMBERED`` words)."""
+        once, in one multithreaded call, and remembered for later batches (about ``REMEMBERED`` words at most, until ``forget``)."""
         if not self.apart:
             return [np.asarray(x, np.int32) for x in self.encode(texts)]
         prefix = " " if self.model["dummy_prefix"] else ""
@@ -149,6 +149,9 @@ class Codec:
             seen[word] = np.asarray(x.ids, np.int32).tobytes()
         return [np.frombuffer(b"".join(map(seen.__getitem__, x)), np.int32) for x in split]
 
+    def forget(self) -> None:
+        self._seen.clear()
+
     def decode(self, ids) -> str:
         """The text of ids; the same as the tokenizer's own decoder, by one join of the pieces' bytes."""
         raw = b"".join(map(self._bytes.__getitem__, ids))
@@ -200,6 +203,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "tok
                 if check:
                     more.append(pa.array([None if t is None else c.decode(x.tolist()) == c.normalise(t) for t, x in zip(texts, ids)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, out, *([check] if check else [])])
+        c.forget()  # the worker goes on to other tasks, which need the memory
 
     return df.mapInArrow(run, schema)
 
