@@ -106,29 +106,26 @@ def fit(docs: DataFrame, per_lang: int = 250, max_langs: int = 200, modulus: int
     """Learn from the text and non-null lang of documents whose crc32 remainder is not ``held_out``.
 
     Bound: ``per_lang`` documents of each language, the first by a hash of the id, of the ``max_langs`` most frequent languages; documents without a
-    letter are not used.  Which documents these are is settled on ids alone by a partial top-k, so a language that holds most rows is never gathered in one task.
+    letter are not used.  Which documents these are is settled on ids alone, so no language is gathered in one task.
     """
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out) & F.col("text").rlike(r"\p{L}"))
-    keys = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    if not langs:
-        return train([], [])
-    part = keys.where(F.col("lang").isin(langs)).groupBy("lang", F.pmod("h", F.lit(1 << 20)).alias("s")).agg(F.count("*").alias("n"))
-    # The bound of the hash range that holds enough documents of each language.
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("lang").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    limits = part.where(F.col("s") < F.lit(1 << 20)).select("lang", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0")).where(F.col("n0") < per_lang).groupBy("lang").agg(F.max("s").alias("s"))
-    limit = {r.lang: r.s for r in limits.collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    # Twice the documents wanted of each language by a range of the hash (and some more, so that chance leaves enough); then the first of those.
+    spot, space = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), 1 << 40
     cond = F.lit(False)
-    for lang, s in limit.items():
-        cond = cond | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= s))
-    got = sorted((r.lang, r.doc_id, r.text) for r in rows.where(cond).collect())
-    kept, seen = [], {}
-    for lang, _, text in got:
+    for r in counts:
+        cond = cond | ((F.col("lang") == r.lang) & (spot < min(space, space * (2 * per_lang + 100) // r.n)))
+    ids = sorted((r.lang, r.spot, r.doc_id) for r in rows.where(cond).select("lang", spot.alias("spot"), "doc_id").collect())
+    taken, seen = [], {}
+    for lang, _, doc_id in ids:
         seen[lang] = seen.get(lang, 0) + 1
         if seen[lang] <= per_lang:
-            kept.append((text, lang))
+            taken.append((lang, doc_id))
+    if not taken:
+        return train([], [])
+    chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "lang string, doc_id long")
+    got = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", "text").collect()
+    kept = [(r[2], r[0]) for r in sorted(map(tuple, got))]
     return train([t for t, _ in kept], [x for _, x in kept], **options)
 
 

@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int =
             f = [lexicon.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), b.column(1)], names=["a", "b", "y"])
 
-    m = np.array([tuple(r) for r in rows.mapInArrow(measure, "a double, b double, y int").orderBy("a", "b", "y").collect()], float).reshape(-1, 3)
+    m = np.array([tuple(r) for r in sorted(rows.mapInArrow(measure, "a double, b double, y int").collect())], float).reshape(-1, 3)
     if len(m):
         share = {t: rates[t] / sum(rates.values()) for t in (0, 1)}
         weight = np.where(m[:, 2] == 1, share[1] / max(1, (m[:, 2] == 1).sum()), share[0] / max(1, (m[:, 2] == 0).sum())) * len(m)
