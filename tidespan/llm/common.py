@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -31,13 +33,15 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(modulus)
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        at = held or tempfile.mkdtemp(prefix="tidespan-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tidespan-"))
     return at.rstrip("/")
 
 
@@ -50,8 +54,14 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files of frames that are no longer referenced."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner drop the shuffle files of frames that are no longer referenced.
+
+    Python's references end first, then those of the JVM's objects that they held, and then the cleaner is told: so three turns.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def size_in_bytes(df: DataFrame) -> int:
