@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Vectors of one cell part; a cell with more is compared part by part.
-PART = 4096
+PART = 32768
 MOST_PIVOTS = 256
 _SLACK = 1e-9
 
@@ -73,7 +73,9 @@ def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, vec: str =
     spark = vectors.sparkSession
     v = F.col(vec)
     ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = vectors.select(F.col(vec_id).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).where(F.coalesce(ok, F.lit(False)) & F.col(vec_id).isNotNull())
+    kind = "float" if vectors.schema[vec].dataType.simpleString() == "array<float>" else "double"
+    same = F.transform(v, lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0.0 becomes 0.0
+    good = vectors.select(F.col(vec_id).cast("long").alias("id"), same.alias("v")).where(F.coalesce(ok, F.lit(False)) & F.col(vec_id).isNotNull())
     points = common.materialize(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "points")
     # Points are told apart by number, as an id may have several.
     points = points.withColumn("pt", F.xxhash64("id", "v"))
@@ -82,7 +84,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, vec: str =
     for dim, n in dims:
         part = _join(points.where(F.size("v") == dim), dim, n, cosine, min(blocks, dim))
         found = part if found is None else found.union(part)
-    out = vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(F.coalesce(ok, F.lit(False)), F.transform(v, lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
+    out = vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(F.coalesce(ok, F.lit(False)), same).alias("v"))
     if found is None:
         return out.select(F.col("id").alias(vec_id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = common.materialize(found, "found")
@@ -103,7 +105,7 @@ def _join(points: DataFrame, dim: int, n: int, cosine: float, m: int) -> DataFra
     edge = [dim * i // m for i in range(m + 1)]
     budget = 2 - 2 * cosine
     share = [budget * (b - a) / dim + _SLACK for a, b in zip(edge, edge[1:])]
-    k = int(min(MOST_PIVOTS, max(1, n // 4096)))
+    k = int(min(MOST_PIVOTS, max(1, n // 8192)))
     chosen = np.array([r.v for r in points.orderBy(F.xxhash64("pt"), "pt").limit(k).collect()], float)
     pivots = _unit(chosen) @ turn
 
@@ -127,39 +129,46 @@ def _join(points: DataFrame, dim: int, n: int, cosine: float, m: int) -> DataFra
                 continue
             parts = np.array([sizes[c] for c in cell])
             own = (pt[row].view(np.uint64) >> np.uint64(7)) % parts.astype(np.uint64)
-            # As home: own part against each other; as other: each part against its own.
+            # A task compares home part i with part j: a row goes to (own, j) if at home, to (i, own), and once to (own, own).
             r1 = np.repeat(np.flatnonzero(home), parts[home])
             j = np.concatenate([np.arange(p) for p in parts[home]]) if home.any() else np.zeros(0, int)
             r2 = np.repeat(np.arange(len(row)), parts)
             i = np.concatenate([np.arange(p) for p in parts])
-            key = np.concatenate([np.stack([cell[r1], own[r1].astype(int), j], 1), np.stack([cell[r2], i, own[r2].astype(int)], 1)])
+            own = own.astype(np.int64)
+            r1, j = r1[j != own[r1]], j[j != own[r1]]
+            key = np.concatenate([np.stack([cell[r1], own[r1], j], 1), np.stack([cell[r2], i, own[r2]], 1)])
+            kind = np.concatenate([np.full(len(r1), 1), np.where(home[r2] & (i == own[r2]), 2, 0)]).astype(np.int8)
             take = np.concatenate([row[r1], row[r2]])
-            side = np.concatenate([np.ones(len(r1), bool), np.zeros(len(r2), bool)])
             for s in range(0, len(take), 20_000):
                 z = slice(s, s + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[z, 0] * 1_000_003 * 1_000_003 + key[z, 1] * 1_000_003 + key[z, 2]), pa.array((key[z, 0] // k).astype(np.int32)), pa.array(side[z]), pa.array(pt[take[z]]), batch.column(1).take(pa.array(take[z])), batch.column(2).take(pa.array(take[z]))], names=["task", "b", "home", "pt", "m", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[z, 0] * 1_000_003 * 1_000_003 + key[z, 1] * 1_000_003 + key[z, 2]), pa.array((key[z, 0] // k).astype(np.int32)), pa.array(kind[z]), pa.array(pt[take[z]]), batch.column(1).take(pa.array(take[z])), batch.column(2).take(pa.array(take[z]))], names=["task", "b", "kind", "pt", "m", "v"])
 
     p = points.select("pt", "m", "v")
     counted = {r.cell: r.n for r in p.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # blocks * pivots rows at most
     sizes = {c: -(-x // PART) for c, x in counted.items()}
 
     def compare(table: pa.Table) -> pa.Table:
-        home = table.column("home").to_numpy()
-        pt, mult, x = table.column("pt").to_numpy(), table.column("m").to_numpy(), _matrix(table.column("v"))
-        b = table.column("b")[0].as_py()
+        pt, kind = table.column("pt").to_numpy(), table.column("kind").to_numpy()
         order = np.argsort(pt, kind="stable")
-        home, pt, mult, x = home[order], pt[order], mult[order], x[order]
-        h, o = np.flatnonzero(home), np.flatnonzero(~home)
+        b = table.column("b")[0].as_py()
+        pt, kind, mult, x = pt[order], kind[order], table.column("m").to_numpy()[order], _matrix(table.column("v"))[order]
+        home = kind > 0
+        h, o = np.flatnonzero(home), np.flatnonzero(kind != 1)
         unit = _unit(x)
         y = unit @ turn
         yb = y[:, edge[b] : edge[b + 1]]
-        sq = (yb * yb).sum(1)
+        # One single-precision product gives all squared distances of a strip; what it lets through (with a margin) is verified in double.
+        sq, one = (yb * yb).sum(1)[:, None], np.ones((len(yb), 1))
+        left = np.concatenate([-2 * yb, sq, one], 1).astype(np.float32)
+        right = np.ascontiguousarray(np.concatenate([yb, one, sq], 1).astype(np.float32)[o].T)
+        bound = np.float32(share[b] + 1e-5)
         links = np.zeros(len(pt), np.int64)
         ea, eb = [], []
-        step = max(1, 2_000_000 // max(1, len(o)))
+        step = max(1, 500_000 // max(1, len(o)))
         for s in range(0, len(h), step):
             hs = h[s : s + step]
-            r, c = np.nonzero(sq[hs][:, None] + sq[o][None, :] - 2 * yb[hs] @ yb[o].T <= share[b] + 1e-7)
+            flat = np.flatnonzero((left[hs] @ right).ravel() <= bound)
+            r, c = np.divmod(flat, max(1, len(o)))
             for q in range(0, len(r), 200_000):
                 i, j = hs[r[q : q + 200_000]], o[c[q : q + 200_000]]
                 other = pt[i] != pt[j]
@@ -176,12 +185,10 @@ def _join(points: DataFrame, dim: int, n: int, cosine: float, m: int) -> DataFra
                 ea.append(i)
                 eb.append(j)
         a, c = (np.concatenate(z) if z else np.zeros(0, int) for z in (ea, eb))
-        # Both rows of one point are one node.
-        node = np.searchsorted(pt, pt)
-        root = _local_roots(len(pt), node[a], node[c])[node]
+        root = _local_roots(len(pt), a, c)
         keep = h[(links[h] > 0)]
         also = np.setdiff1d(np.unique(c), keep)
         rows = np.concatenate([keep, also]).astype(int)
         return pa.table({"pt": pa.array(pt[rows]), "links": pa.array(np.where(home[rows], links[rows], 0)), "root": pa.array(pt[root[rows]])})
 
-    return p.mapInArrow(lambda it: cells(it, sizes), "task long, b int, home boolean, pt long, m long, v array<double>").groupBy("task").applyInArrow(compare, "pt long, links long, root long")
+    return p.mapInArrow(lambda it: cells(it, sizes), f"task long, b int, kind byte, pt long, m long, v {points.schema['v'].dataType.simpleString()}").groupBy("task").applyInArrow(compare, "pt long, links long, root long")
