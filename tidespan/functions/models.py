@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def apply_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -29,3 +30,13 @@ def scored_or_zero(call: Callable[[bytes], str]) -> Callable[[pd.Series], pd.Ser
             return ""
 
     return lambda s: s.map(safe)
+
+
+def save_checkpoint(spark: SparkSession, path: str, epoch: int, score: float, weights: bytes, labels: list[str]) -> None:
+    """Append one model state; ``best_checkpoint`` picks among them."""
+    spark.createDataFrame([(epoch, score, weights, labels)], "epoch int, score double, weights binary, labels array<string>").write.mode("append").parquet(path)
+
+
+def best_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """The state of the highest score; of equal ones the earliest epoch."""
+    return spark.read.parquet(path).orderBy(F.desc("score"), "epoch").limit(1)

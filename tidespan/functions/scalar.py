@@ -124,3 +124,48 @@ def concat_entry(path: Column) -> Column:
 def contains_label(text: Column, label: Column) -> Column:
     """The label occurs in the text without its spaces."""
     return F.coalesce(F.contains(F.replace(text, F.lit(" "), F.lit("")), label), F.lit(False))
+
+
+#: The form fields of each sport.
+SPORT_FIELDS = {"cricket": ("format", "innings", "tournament", "venue")}
+
+
+def sport_fields(sport: Column) -> Column:
+    """Names of a sport's form fields; none for a sport without any."""
+    out = F.array().cast("array<string>")
+    for name, fields in SPORT_FIELDS.items():
+        out = F.when(sport == name, F.array(*map(F.lit, fields))).otherwise(out)
+    return out
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Half to even, on the shortest decimal form of the number."""
+    return F.bround(x, places)
+
+
+def new_id(prefix: str, millis: Column, *seed: Column) -> Column:
+    """``prefix-millis-`` and nine hexadecimal places that the seed decides, so that a repeated task gives the same id."""
+    return F.concat_ws("-", F.lit(prefix), millis.cast("string"), F.substring(F.sha2(F.concat_ws("|", *(s.cast("string") for s in seed)), 256), 1, 9))
+
+
+def short_id(*seed: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *(s.cast("string") for s in seed)), 256), 1, 8)
+
+
+def stills(start: Column, end: Column, count: Column | int = 3) -> Column:
+    """The first ``count`` (at most three) of ``thumbs``."""
+    return F.slice(thumbs(start, end), 1, F.greatest(F.lit(0), F.lit(count)))
+
+
+def broken_rules(**rules: Column) -> Column:
+    """Names of the rules that a row breaks; a rule that can't be decided (null) is broken."""
+    return F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), n) for n, c in rules.items())))
+
+
+def appended(items: Column, item: Column) -> Column:
+    return F.array_append(F.coalesce(items, F.array()), item)
+
+
+def removed_at(items: Column, index: Column | int) -> Column:
+    """The list without its item of that index (from 0); unchanged if there is none."""
+    return F.filter(items, lambda _, i: i != F.lit(index))

@@ -92,3 +92,20 @@ def regions(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     t, m = F.floor(h * 0.15), F.floor(h * 0.6)
     rows = [("helmet", x1, y1, x2, y1 + F.greatest(F.lit(1), t)), ("torso", x1, y1 + t, x2, y1 + m), ("lower", x1, y1 + m, x2, y2), ("glove_left", x1, y1 + m, x1 + F.greatest(F.lit(1), F.floor(w / 3)), y2), ("glove_right", x1 + F.floor(w * 2 / 3), y1 + m, x2, y2)]
     return F.array(*(F.struct(F.lit(n).alias("name"), *(v.cast("int").alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), r))) for n, *r in rows))
+
+
+#: Mean and deviation of the color channels of the images that common backbones learnt from.
+MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def normalised(channels: Column, mean: tuple = MEAN, deviation: tuple = DEVIATION) -> Column:
+    """(x / 255 - mean) / deviation of interleaved channel values 0 to 255."""
+    n = len(mean)
+    m, d = F.array(*map(F.lit, mean)), F.array(*map(F.lit, deviation))
+    return F.transform(channels, lambda x, i: (x / 255.0 - F.get(m, i % n)) / F.get(d, i % n))
+
+
+def has_pixels(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """A region, cut to its frame, is not empty."""
+    zero = F.lit(0)
+    return (F.least(x2, width) > F.greatest(x1, zero)) & (F.least(y2, height) > F.greatest(y1, zero))

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds that may lie between intervals to be merged, for players, practice sessions and general footage.
+TOLERANCE = {"player": 1.0, "practice": 0.2, "general": 0.5}
+
+
 def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 

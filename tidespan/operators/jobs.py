@@ -53,3 +53,47 @@ def eta(progress: Column) -> Column:
 def summary(df: DataFrame, key: str, duration: Column) -> DataFrame:
     """Segments of each key and its duration, rounded to one place (half to even)."""
     return df.groupBy(key).agg(F.count("*").alias("segments"), F.bround(F.max(duration), 1).alias("duration"))
+
+
+#: The stages of a simulated analysis.
+SIMULATED = ("YOLO Detection", "MediaPipe Pose", "DeepFace Recognition", "OSNet Tracking", "Highlight Generation")
+
+
+def simulated(ticks: DataFrame, tick: str, cancelled_at: str) -> DataFrame:
+    """Adds stage, progress and status of a simulated job after each tick (from 0): a stage goes from 0 to 100 in tens, then the next
+    begins.  From ``cancelled_at`` on (null: never) the job stands still at what it was."""
+    c = F.col(cancelled_at)
+    at = F.when(c.isNotNull() & (F.col(tick) >= c), c - 1).otherwise(F.col(tick))
+    stage, inside = F.floor(at / 11), at % 11 * 10
+    over = stage >= len(SIMULATED)
+    name = F.when(at < 0, F.lit(None)).when(over, "Complete").otherwise(F.element_at(F.array(*map(F.lit, SIMULATED)), F.least(stage, F.lit(len(SIMULATED) - 1)).cast("int") + 1))
+    progress = F.when(at < 0, 0).when(over, 100).otherwise(overall_progress(stage, inside.cast("double"), F.lit(len(SIMULATED))))
+    status = F.when(c.isNotNull() & (F.col(tick) >= c) & ~over, "cancelled").when(over, "completed").otherwise("processing")
+    return ticks.withColumn("stage", name).withColumn("progress", progress.cast("long")).withColumn("status", status)
+
+
+def parsed(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns ``x_json`` become variants ``x``; a text that is no JSON stays that text."""
+    for c in columns:
+        df = df.withColumn(c.removesuffix("_json"), F.coalesce(F.try_parse_json(c), F.col(c).cast("variant"))).drop(c)
+    return df
+
+
+def owned(state: DataFrame, user: str, owner: str = "user_id") -> DataFrame:
+    return state.where(F.col(owner) == user)
+
+
+def status_of(log: DataFrame, key: str, wanted: list, order: list[str], fields: list[str]) -> DataFrame:
+    """What a poll returns: the state of the wanted jobs.  The filter reaches the scan of the log."""
+    return latest(log.where(F.col(key).isin(wanted)), key, order, fields)
+
+
+def cascade(children: DataFrame, deleted: DataFrame, parent: str) -> DataFrame:
+    """Rows whose parent was not deleted."""
+    return children.join(deleted.select(parent).distinct(), parent, "left_anti")
+
+
+def missing_keys(required: DataFrame, present: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """Required keys that have no value (or an empty one)."""
+    has = present.where(F.coalesce(F.col(value).cast("string"), F.lit("")) != "").select(key)
+    return required.select(key).distinct().join(has, key, "left_anti")

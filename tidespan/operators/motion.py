@@ -40,6 +40,11 @@ def frame_diff(df: DataFrame, key: list[str], order: str, cells: str, threshold,
     return d.withColumn(out, share_changed(F.col(cells), F.col("__before"), threshold)).drop("__before")
 
 
+#: Fixed values of quick and detailed runs: seconds of stillness that close one, and the most seconds after it.
+STILL_SECONDS = {"quick": 0.3, "detailed": 0.5}
+MOST_AFTER = {"quick": 2.5, "detailed": 3.0}
+
+
 def still_samples(fps, skip, seconds: float = 0.3) -> Column:
     """Samples of stillness that close a run."""
     return F.greatest(F.lit(1), F.floor(F.lit(fps) * seconds / skip).cast("int"))

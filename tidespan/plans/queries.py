@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vision
-from ..operators import association, dataset, intervals, jobs, motion, select
-from ..sources import tables
+from ..operators import association, dataset, intervals, jobs, motion, select, tracks
+from ..sources import clips, tables
 from ..streaming import streams
 
 HOUR = 3_600_000_000
@@ -391,3 +391,146 @@ def rate_limit(spark, d):
 def reference_lock(spark, d):
     e = tables.events(spark, d).select("user_id", F.floor(F.col("us") / (6 * HOUR)).alias("frame"), F.col("event_id").alias("box"), (F.col("k") / 100.0).alias("base"), (F.col("k") >= 90).alias("hit"), F.array(F.col("k").cast("double"), F.col("event_id") % 10 + 1.0).alias("vector"))
     return association.lock_on(e, "user_id", "frame", "box", "base", "hit", 0.25, vision.histogram_similarity).select("user_id", "frame", "box", "score")
+
+
+@query(f"""with {EV}, r as (select *, row_number() over (partition by user_id order by us, event_id) - 1 as i from ev), f as (select user_id, i, k % 4 <> 0 as found, k / 100.0 as sim from r),
+ g as (select *, i - coalesce(max(case when found then i end) over (partition by user_id order by i), -1) as run from f),
+ s as (select *, min(case when run > 2 or (found and i % 5 = 0 and sim < 0.2) then i end) over (partition by user_id) as stop from g)
+ select user_id, max(case when found then i end) as last, count(*) as samples from s where stop is null or i <= stop group by user_id""")
+def tracker_follow(spark, d):
+    """Forward tracking until a run of lost samples or an unlike one."""
+    from pyspark.sql import Window
+
+    i = (F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1).cast("long")
+    s = tables.events(spark, d).select("user_id", i.alias("i"), (F.col("k") % 4 != 0).alias("found"), (F.col("k") / 100.0).alias("sim"))
+    return tracks.follow(s, "user_id", "i", "found", "sim", 2, 5, 0.2)
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = tables.events(spark, d)
+    a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("seed"), F.col("us").alias("ts"))
+    b = e.where("event_type = 'view'").select("user_id", (F.col("k") % 10).alias("track"), F.col("us").alias("tt"))
+    return a, b
+
+
+VOTED = f"""a as (select user_id, event_id as seed, us as ts from ev where event_type = 'click'), b as (select user_id, k % 10 as track, us as tt, event_id from ev where event_type = 'view'),
+ v as (select a.user_id, track, count(distinct seed) as votes, min(seed) as first_seed from a join b on a.user_id = b.user_id and abs(ts - tt) <= {TOL} group by a.user_id, track),
+ w as (select user_id, track from (select *, row_number() over (partition by user_id order by votes desc, first_seed, track) as r from v) where r = 1)"""
+
+
+@query(f"""with {EV}, {VOTED}, x as (select user_id, tt, event_id, case when tt - lag(tt) over (partition by user_id order by tt, event_id) > {12 * HOUR} then 1 else 0 end as n from b semi join w using (user_id, track)),
+ y as (select *, sum(n) over (partition by user_id order by tt, event_id rows unbounded preceding) as g from x), z as (select user_id, greatest(0, min(tt) - {2 * HOUR}) as start, max(tt) + {4 * HOUR} as "end", count(*) as n from y group by user_id, g)
+ select * from z union all select user_id, min(us), max(us), count(*) from ev where user_id not in (select user_id from z) group by user_id""")
+def seeded_track(spark, d):
+    """Sessions of the track that seeds elect; the whole span of users without one."""
+    a, b = _sides(spark, d)
+    first = tables.events(spark, d).groupBy("user_id").agg(F.min("us").alias("start"), F.max("us").alias("end"), F.count("*").alias("n"))
+    return tracks.seeded_segments(a, b, first, "user_id", 12 * HOUR, 2 * HOUR, 4 * HOUR, TOL, None)
+
+
+@query(f"""with {EV} select user_id, k % 10 as track, list(event_id order by us, event_id) as sightings from ev where k % 3 <> 0 and k % 2 = 0 group by all""")
+def track_histories(spark, d):
+    e = tables.events(spark, d).select("user_id", (F.col("k") % 10).alias("track"), "us", "event_id", (F.col("k") % 3 != 0).alias("confirmed"), (F.col("k") % 2).alias("time_since_update"))
+    return tracks.histories(tracks.fresh(e), "user_id", "track", "us", "event_id").select("user_id", "track", F.col("history.event_id").alias("sightings"))
+
+
+@query(f"""with {EV}, b as (select event_id, unnest([0, 1, 2]) as box, k from ev), x as (select event_id, box, k + 10 * box as x1, k as y1, k + 10 * box + 15 + k % 10 as x2, k + 30 + k % 20 as y2, (k + box) % 2 as cls from b)
+ select event_id, box, x1, y1, x2, y2 from x where cls = 0 and x2 - x1 >= 20 and y2 - y1 >= 40""")
+def person_boxes(spark, d):
+    k = F.col("k")
+    box = lambda i: F.struct((k + 10 * i).alias("x1"), k.alias("y1"), (k + 10 * i + 15 + k % 10).alias("x2"), (k + 30 + k % 20).alias("y2"), ((k + i) % 2).alias("cls"))
+    e = tables.events(spark, d).select("event_id", F.array(*(box(i) for i in range(3))).alias("boxes"))
+    return tracks.boxes(e)
+
+
+@query("""select event_id, case when event_id % 3 = 0 then null else cast(json_extract_string(props, '$.k') as integer) end as k, case when event_id % 3 = 0 then event_type end as raw from events""")
+def parsed_requests(spark, d):
+    """JSON texts as variants; a text that is none stays as it is."""
+    e = tables.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(F.col("props")).alias("request_json"))
+    r = jobs.parsed(e, "request_json")
+    text = F.col("event_id") % 3 == 0
+    return r.select("event_id", F.when(~text, F.try_variant_get("request", "$.k", "int")).alias("k"), F.when(text, F.try_variant_get("request", "$", "string")).alias("raw"))
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_custkey = 7")
+def owned_jobs(spark, d):
+    return jobs.owned(tables.read(spark, d, "orders"), 7, "o_custkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("select c_custkey as key from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
+def missing_keys(spark, d):
+    required = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    present = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.when(F.col("o_totalprice") > 300000, F.col("o_orderstatus")).otherwise("").alias("value"))
+    return jobs.missing_keys(required, present)
+
+
+@query("""select c_custkey, list_filter([case when not c_acctbal >= 0 then 'balance' end, case when c_mktsegment not in ('BUILDING', 'MACHINERY') then 'segment' end], lambda x: x is not null) as broken
+ from customer where c_acctbal < 0 or c_mktsegment not in ('BUILDING', 'MACHINERY')""")
+def rejected_requests(spark, d):
+    """Rows that break a rule, with the names of the rules."""
+    c = tables.read(spark, d, "customer")
+    out = c.select("c_custkey", scalar.broken_rules(balance=F.col("c_acctbal") >= 0, segment=F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).alias("broken"))
+    return out.where(F.size("broken") > 0)
+
+
+STAGES = "['YOLO Detection', 'MediaPipe Pose', 'DeepFace Recognition', 'OSNet Tracking', 'Highlight Generation']"
+
+
+@query(f"""with t as (select c_custkey, c_custkey % 70 as tick, case when c_custkey % 3 = 0 then c_custkey % 50 end as cut from customer), a as (select *, case when cut is not null and tick >= cut then cut - 1 else tick end as tk, coalesce(tick >= cut, false) as off from t)
+ select c_custkey, case when tk < 0 then null when tk // 11 >= 5 then 'Complete' else {STAGES}[tk // 11 + 1] end as stage, case when tk < 0 then 0 when tk // 11 >= 5 then 100 else cast(floor((tk // 11 + (tk % 11 * 10) / 100.0::double) / 5 * 100 + 0.5) as bigint) end as progress,
+ case when off and tk // 11 < 5 then 'cancelled' when tk // 11 >= 5 then 'completed' else 'processing' end as status from a""")
+def simulated_stages(spark, d):
+    i = F.col("c_custkey")
+    t = tables.read(spark, d, "customer").select("c_custkey", (i % 70).alias("tick"), F.when(i % 3 == 0, i % 50).alias("cut"))
+    return jobs.simulated(t, "tick", "cut").select("c_custkey", "stage", "progress", "status")
+
+
+@query(f"""with {EV}, l as (select user_id, list(event_id order by us, event_id) as items from ev group by user_id) select user_id, list_append(items, -1) as added, list_concat(items[1:1], items[3:]) as removed from l""")
+def list_edits(spark, d):
+    e = tables.events(spark, d).withColumn("o", F.struct("us", "event_id"))
+    items = F.col("items")
+    return select.ordered_manifest(e, "user_id", "o", "event_id").select("user_id", scalar.appended(items, F.lit(-1).cast("long")).alias("added"), scalar.removed_at(items, 1).alias("removed"))
+
+
+@query(f"""with {EV} select event_id, 'job-' || (us // 1000) || '-' || left(sha256(user_id || '|' || event_id), 9) as id, left(sha256(cast(event_id as varchar)), 8) as short from ev""")
+def new_ids(spark, d):
+    e = tables.events(spark, d)
+    return e.select("event_id", scalar.new_id("job", F.floor(F.col("us") / 1000).cast("long"), F.col("user_id"), F.col("event_id")).alias("id"), scalar.short_id(F.col("event_id")).alias("short"))
+
+
+@query("select o_orderkey, round_even(cast(o_totalprice as decimal(18, 2)), 1)::double as total from orders")
+def rounded_values(spark, d):
+    return tables.read(spark, d, "orders").select("o_orderkey", scalar.rounded(F.col("o_totalprice"), 1).alias("total"))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then ['format', 'innings', 'tournament', 'venue'] else cast([] as varchar[]) end as fields from customer")
+def sport_fields(spark, d):
+    return tables.read(spark, d, "customer").select("c_custkey", scalar.sport_fields(F.when(F.col("c_custkey") % 2 == 0, "cricket").otherwise("chess")).alias("fields"))
+
+
+@query(f"""with {EV}, s as (select event_id, value as s, value + cents % 7 as e, cast(event_id % 4 as integer) as c from ev), t as (select event_id, s, e, c, unnest(range(3)) as i from s)
+ select event_id, cast(i as integer) as pos, case i when 0 then s + 0.2::double when 1 then (s + e) / 2 else greatest(s + 0.2::double, e - 0.2::double) end as at from t where i < c""")
+def still_times(spark, d):
+    e = tables.events(spark, d)
+    s = e.select("event_id", F.posexplode(scalar.stills(F.col("value"), F.col("value") + F.col("cents") % 7, (F.col("event_id") % 4).cast("int"))).alias("pos", "at"))
+    return s
+
+
+@query(f"""with {SPANS}, p as (select *, coalesce(sum(e - s) over (partition by user_id order by s, event_id rows between unbounded preceding and 1 preceding), 0) as p from sp where e > s),
+ q as (select *, least(e, s + ({300 * HOUR} - p)) as f, row_number() over (partition by user_id order by s, event_id) - 1 as i from p where p < {300 * HOUR}),
+ r as (select *, event_id % 5 <> 0 as ok, 'out/v' || user_id || '_clips/clip_' || lpad(cast(i as varchar), 3, '0') || '.mp4' as clip from q)
+ select user_id, count_if(ok) as made, count_if(not ok) as failed, cast(sum(case when ok then f - s end) as bigint) as seconds, list('file ' || chr(39) || clip || chr(39) order by i) filter (ok) as lines from r group by user_id having count_if(ok) > 0""")
+def clip_plans(spark, d):
+    """Planned clips of each user, what came of them, and the list that joins those that were made."""
+    s = _spans(spark, d).withColumn("source", F.concat(F.lit("in/v"), F.col("user_id"), F.lit(".mp4")))
+    p = clips.plan(s, "user_id", "source", "out", 300 * HOUR, tie=["event_id"])
+    p = p.withColumn("done", F.when(F.col("event_id") % 5 != 0, "copy")).withColumn("bytes", F.lit(2048))
+    made = clips.outcomes(p, "user_id").select("user_id", "made", "failed", F.col("seconds").cast("long").alias("seconds"))
+    return made.join(clips.join_list(p, "user_id"), "user_id")
+
+
+@query("""select vec_id, list_transform(range(1, 13), lambda i: round((floor(abs(cast(embedding[i] as double)) * 255) / 255.0::double - (cast([0.485, 0.456, 0.406] as double[]))[(i - 1) % 3 + 1]) / (cast([0.229, 0.224, 0.225] as double[]))[(i - 1) % 3 + 1], 6)) as x from embeddings""")
+def channel_norm(spark, d):
+    e = tables.read(spark, d, "embeddings")
+    raw = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(F.abs(x.cast("double")) * 255))
+    return e.select("vec_id", F.transform(vision.normalised(raw), lambda x: F.round(x, 6)).alias("x"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -64,3 +65,39 @@ def rate_limited_stream(stream: DataFrame, key: str, t: str, limit: int, window:
 
     kind = dict(stream.dtypes)[key]
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {t} long, allowed boolean", "count long, reset long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: What a webhook delivers: one JSON document for each call.
+HOOK = "kind string, job_id string, status string, progress double, payload string, received_at timestamp"
+
+
+def webhooks(spark, path: str, kinds: tuple[str, ...] = ("analysis", "highlight", "upload", "payment")) -> DataFrame:
+    """A stream of calls that a receiver writes as JSON lines under ``path``; other kinds and broken lines are left out."""
+    return spark.readStream.schema(HOOK).option("mode", "DROPMALFORMED").json(path).where(F.col("kind").isin(*kinds))
+
+
+def log_sink(records: DataFrame, path: str, checkpoint: str | None = None):
+    """Append log records as JSON, in a folder for each level (a reader of errors prunes the rest); a stream needs ``checkpoint``."""
+    if records.isStreaming:
+        return records.writeStream.format("json").partitionBy("level").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return records.write.mode("append").partitionBy("level").json(path)
+
+
+class ProgressListener(StreamingQueryListener):
+    """Calls ``tell(name, batch, rows)`` after each batch of a stream, and ``tell(name, None, None)`` when it ends."""
+
+    def __init__(self, tell: Callable[[str | None, int | None, int | None], None]):
+        self.tell, self.names = tell, {}
+
+    def onQueryStarted(self, event):
+        self.names[str(event.id)] = event.name
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.tell(p.name, p.batchId, p.numInputRows)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.tell(self.names.pop(str(event.id), None), None, None)
