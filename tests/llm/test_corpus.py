@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidespan.llm import common, decontamination, jaccard_join, pitman_yor, substring_dedup, text as T, vector_join
+from tidespan.llm import blocks, common, decontamination, jaccard_join, pitman_yor, substring_dedup, text as T, vector_join
 
 
 def ascii_lower(t):
@@ -86,6 +86,15 @@ def test_substring_dedup(docs, window):
     assert removed
 
 
+def test_relays_change_nothing(docs, monkeypatch):
+    """The same results where rows between blocks and ranges pass through relays."""
+    monkeypatch.setattr(blocks, "number", lambda df: 11)
+    run = lambda: [sorted(map(repr, x.collect())) for x in (substring_dedup.dedup(docs), jaccard_join.components(docs), pitman_yor.score(docs))]
+    direct = run()
+    monkeypatch.setattr(blocks, "DIRECT", 4)
+    assert blocks.band(11) == 4 and run() == direct
+
+
 def test_substring_repeated_ids_and_empty(spark):
     t = " ".join(f"w{i}" for i in range(60))
     d = spark.createDataFrame([(5, t), (5, t), (None, t), (9, t)], "doc_id long, text string")

@@ -84,7 +84,7 @@ def sets(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> DataF
 
     from .substring_dedup import _or_empty
 
-    return blocks.finish(dealt, blocks.replies(blocks.requests(dealt, n, emit), merge), _or_empty(then, _BASE), _BASE)
+    return blocks.finish(dealt, blocks.replies(blocks.requests(dealt, n, emit), n, merge), _or_empty(then, _BASE), _BASE)
 
 
 def _tops(ranked: DataFrame, by, few: int) -> DataFrame:

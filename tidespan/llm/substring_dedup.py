@@ -205,7 +205,7 @@ def dedup(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "
         return pa.table([*(table.column(c) for c in ("__block", "__id", *given)), pa.array(keep, pa.string()), pa.array(ranges, pa.list_(pa.int32())), pa.array(words, pa.int64()), pa.array(sha, pa.string())], names=middle.names)
 
     asked = blocks.requests(dealt, n, emit)
-    found = blocks.finish(dealt, blocks.replies(asked, merge), _or_empty(narrow, middle), middle)
+    found = blocks.finish(dealt, blocks.replies(asked, n, merge), _or_empty(narrow, middle), middle)
     found = common.materialize(found, "substring")
     common.release(spark)
     has = F.size("__ranges") > 0
@@ -239,7 +239,7 @@ def dedup(docs: DataFrame, window: int = 50, text: str = "text", doc_id: str = "
         return pa.table([*(table.column(c) for c in given), pa.array(texts_out, pa.string()), table.column("n_words"), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(sha, pa.string())], names=schema.names)
 
     some = found.where(has)
-    cleaned = blocks.finish(some, blocks.replies(blocks.requests(some, n, emit_windows), _merge_windows), _or_empty(cut, schema), schema)
+    cleaned = blocks.finish(some, blocks.replies(blocks.requests(some, n, emit_windows), n, _merge_windows), _or_empty(cut, schema), schema)
     others = found.where(~has).select(*given, "__text", "n_words", F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("spans"), "kept_sha256")
     out = cleaned.union(others)
     if not texts:
