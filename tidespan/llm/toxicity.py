@@ -73,7 +73,8 @@ class Lexicon:
             else:
                 best[start] = max(w, best.get(start, 0.0))
         if spared:
-            best = {s: w for s, w in best.items() if not any(x <= s < y for x, y in spared)}
+            inside = {i for x, y in spared for i in range(x, y)}
+            best = {s: w for s, w in best.items() if s not in inside}
         total = sum(best.values())
         return total, 100.0 * total / len(t)
 
