@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,16 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity.fit(docs, spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")).weights == {}
 
 
+def test_lexicon_whatever_the_partitions(spark):
+    """A word of as many clean as toxic documents is not learnt, though each task holds one document of it."""
+    learnt = [i for i in range(99) if zlib.crc32(str(i).encode()) % 4 != 2][:24]
+    rows = [(i, ("wretched" if k % 2 else "plain") + (" neutral" if k < 12 else ""), k % 2) for k, i in enumerate(learnt)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = lambda n: spark.createDataFrame(spark.sparkContext.parallelize([r[:2] for r in rows], n), "doc_id long, text string")
+    one, many = (toxicity.fit(docs(n), labels, min_docs=6) for n in (1, 24))
+    assert one == many and list(one.weights) == [toxicity.fold("wret").rstrip()]
+
+
 def test_quality_held_out(spark, odd):
     docs, labels = labelled(spark)
     model = quality_gam.fit(docs, labels)

@@ -130,9 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int =
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[toxic].update(_patterns(fold(text), shortest, longest))
-        names = list(set(seen[1]))
-        # A pattern without toxic documents here still tells against itself elsewhere.
-        names += [k for k in seen[0] if k not in seen[1] and seen[0][k] > 1]
+        # A pattern without toxic documents here still tells against itself elsewhere, be it in one clean document.
+        names = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[t][k] for k in names], pa.int64()) for t in (0, 1))], names=["p", "clean", "toxic"])
 
     ratio = n[1] / n[0]
