@@ -276,6 +276,39 @@ def test_decontamination(spark):
     assert decontamination.matches(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def alike(text, item, k=5):
+    """Of every window as long as the item (or the whole of a shorter text) the greatest similarity."""
+    w, t = text.split(), item.split()
+    grams = lambda z: Counter(tuple(z[j : j + k]) for j in range(len(z) - k + 1))
+    b, best = grams(t), 0.0
+    for s in range(max(1, len(w) - len(t) + 1)):
+        a = grams(w[s : s + len(t)])
+        best = max(best, (a & b).total() / max(1, (a | b).total()))
+    return best
+
+
+def against_every_start(spark, items, docs):
+    sets = [(i, j, x) for i, d in enumerate(docs) for j, t in enumerate(items) if (x := alike(d, t)) >= 0.8]
+    got = decontamination.matches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(i, j, pytest.approx(x, abs=1e-6)) for i, j, x in sorted(sets)]
+    assert all(alike(" ".join(docs[r.doc_id].split()[r.start : r.start + r.n_words]), items[r.item_id]) == pytest.approx(r.similarity, abs=1e-6) for r in got)
+    return {(i, j) for i, j, _ in sets}
+
+
+def test_decontamination_slides_over_every_start(spark):
+    """Items whose parts stand in another order, inside longer documents, at either end and alone."""
+    rnd = random.Random(9)
+    word = lambda n: rnd.choices([f"w{i}" for i in range(900)], k=n)
+    items, docs = [word(n) for n in (60, 60, 75, 90)], []
+    for t in items:
+        for cut in (len(t) // 2, len(t) // 3, 7):
+            for before, after in ((40, 40), (0, 30), (30, 0), (3, 2)):
+                docs.append(word(before) + t[cut:] + t[:cut] + word(after))
+        docs += [word(20) + t[:-1] + word(30), word(20) + t[20:40] + t[:20] + t[40:] + word(9), word(20) + t[:30] + word(1) + t[30:] + word(20), word(200)]
+    found = against_every_start(spark, [" ".join(t) for t in items], [" ".join(d) for d in docs])
+    assert (0, 0) in found and len(found) > 40
+
+
 def test_fingerprint(spark):
     d = spark.createDataFrame([(1, 3), (1, 1), (1, 9), (2, -1)], "k int, h long")
     assert {r.k: r.simhash for r in decontamination.fingerprint(d, ["k"], "h").collect()} == {1: 1, 2: -1}

@@ -1,9 +1,9 @@
 """Benchmark decontamination with DataFrame functions only: SimHash windows, multi-index Hamming blocks, exact verification.
 
-A window that is similar enough to an item shares a shingle with it, so only windows that line a document's shingle up with the same
-shingle of an item are looked at (nothing similar is lost by that).  Each window has as many words as the item, and a 64-bit SimHash of its
-words.  Fingerprints are cut into ``radius`` + 1 blocks: two within the radius agree on a whole block, so an equi-join on (size, block,
-value) finds all of them.  Pairs within the radius are verified by the exact similarity of their shingle multisets.
+Windows have as many words as the item and slide over every start.  One that is similar enough has a least number of shingles that the item
+has too, so the starts at which fewer are in the window are passed over (nothing similar is lost by that, in whatever order the shingles stand).
+Each window has a 64-bit SimHash of its words.  Fingerprints are cut into ``radius`` + 1 blocks: two within the radius agree on a whole block, so
+an equi-join on (item, block, value) finds all of them.  Pairs within the radius are verified by the exact similarity of their shingle multisets.
 """
 
 from __future__ import annotations
@@ -51,9 +51,22 @@ def _blocks(simhash: Column, radius: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(edge, edge[1:]))))
 
 
+def _starts(at: Column, m: Column, need: Column, most: Column) -> Column:
+    """Starts up to ``most`` of windows of ``m`` shingles that hold ``need`` or more of the positions ``at`` (ascending, distinct).
+
+    For each position those starts of which it is the first in the window, so no start comes twice.
+    """
+    def of(i: Column) -> Column:
+        low = F.greatest(F.get(at, i + need - 1) - m + 1, F.coalesce(F.get(at, i - 1) + 1, F.lit(0)))
+        high = F.least(F.get(at, i), most)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), of))
+
+
 def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 15, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item with a window that is at least ``similarity`` alike: ids, start (word of the best window; ties: the
-    first), n_words, hamming, similarity (sum of the lesser by sum of the greater shingle counts, rounded to 6 places).
+    """One row per document and item with a window that is at least ``similarity`` alike: ids, start (word of the best window; ties: one
+    with a shingle in line with the item's, then the first), n_words, hamming, similarity (sum of the lesser by sum of the greater shingle counts, rounded to 6 places).
 
     An item of fewer words than ``shingle`` is one shingle.  Null or empty texts and null ids match nothing; rows that repeat an id count as one
     document; other columns are not looked at.  SimHash decides which windows are verified: of windows at the least similarity a
@@ -62,36 +75,47 @@ def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: flo
     item = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("iw")).where(F.col("item").isNotNull() & (F.size("iw") > 0)).dropDuplicates()
     item = item.withColumn("len", F.size("iw"))
     short = sorted(r.k for r in item.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect())  # at most ``shingle`` rows
-    d = docs.select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("w")).where(F.col("doc").isNotNull() & (F.size("w") > 0))
+    d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), words(F.col(text)).alias("w")).where(F.col("doc").isNotNull() & (F.size("w") > 0))
     at_item = at_doc = None
     for k in short:
-        i = item.where(F.least("len", F.lit(shingle)) == k).select("item", "len", F.posexplode(shingle_hashes(F.col("iw"), k)).alias("off", "sh"), F.lit(k).alias("k"))
-        x = d.select("doc", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "sh"), F.lit(k).alias("k"))
+        i = item.where(F.least("len", F.lit(shingle)) == k).select("item", "len", F.explode(shingle_hashes(F.col("iw"), k)).alias("sh"), F.lit(k).alias("k")).distinct()
+        x = d.select("doc", "th", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "sh"), F.lit(k).alias("k"))
         at_item, at_doc = (i if at_item is None else at_item.union(i)), (x if at_doc is None else at_doc.union(x))
     result = "doc long, item long, start int, n_words int, hamming int, similarity double"
     if at_item is None:
         return docs.sparkSession.createDataFrame([], result).withColumnsRenamed({"doc": doc_id, "item": item_id})
     side = F.broadcast(at_item) if at_item.count() <= BROADCAST_ROWS else at_item
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("n") - F.col("len")))
-    spots = at_doc.join(side, ["sh", "k"]).where("n >= len").select("doc", "len", start.alias("start")).distinct()
+    held = at_doc.join(side, ["sh", "k"]).where("n >= len").groupBy("doc", "th", "n", "item", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # Shingles of a window and of the item, and how many of the window's must be the item's.
+    held = held.withColumn("m", F.least("n", "len") - F.col("k") + 1)
+    held = held.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("len") - F.col("k") + 1) * (similarity / (1 + similarity)) - 1e-9).cast("int")))
+    spots = held.where(F.size("at") >= F.col("need")).select("doc", "th", "item", "len", F.explode(_starts(F.col("at"), F.col("m"), F.col("need"), F.greatest(F.lit(0), F.col("n") - F.col("len")))).alias("start"))
     spots = common.materialize(spots, "spots")
-    held = d.join(spots.select("doc").distinct(), "doc", "left_semi")
-    windows = common.materialize(held.join(spots, "doc").select("doc", "start", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww")).dropDuplicates(["doc", "start", "len", "ww"]), "windows")
+    held = d.join(spots.select("doc", "th").distinct(), ["doc", "th"], "left_semi")
+    windows = held.join(spots, ["doc", "th"]).select("doc", "start", "item", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"), (F.col("start") >= F.size("w") - F.col("len")).alias("final"))
+    windows = common.materialize(windows.dropDuplicates(["doc", "start", "item", "len", "ww"]), "windows")
     # A window's words decide its fingerprint, so equal windows of many documents are fingerprinted and verified once.
     wid = F.xxhash64("ww")
-    kinds = windows.select("len", wid.alias("wid"), "ww").dropDuplicates(["len", "wid", "ww"])
-    prints = fingerprint(kinds.select("len", "wid", "ww", F.explode("ww").alias("x")).select("len", "wid", "ww", F.xxhash64("x").alias("h")), ["len", "wid", "ww"], "h")
+    kinds = windows.select("item", "len", wid.alias("wid"), "ww").dropDuplicates(["item", "len", "wid", "ww"])
+    prints = fingerprint(kinds.select("wid", "ww").dropDuplicates(["wid", "ww"]).select("wid", "ww", F.explode("ww").alias("x")).select("wid", "ww", F.xxhash64("x").alias("h")), ["wid", "ww"], "h")
     item_prints = fingerprint(item.select("item", "len", "iw", F.explode("iw").alias("x")).select("item", "len", "iw", F.xxhash64("x").alias("h")), ["item", "len", "iw"], "h")
-    a = prints.select("len", "wid", "ww", "simhash", F.explode(_blocks(F.col("simhash"), radius)).alias("b")).select("len", "wid", "ww", "simhash", "b.*")
+    a = kinds.join(prints, ["wid", "ww"]).select("item", "len", "wid", "ww", "simhash", F.explode(_blocks(F.col("simhash"), radius)).alias("b")).select("item", "len", "wid", "ww", "simhash", "b.*")
     b = item_prints.select("item", "len", "iw", F.col("simhash").alias("other"), F.explode(_blocks(F.col("simhash"), radius)).alias("b")).select("item", "len", "iw", "other", "b.*")
-    near = a.join(b, ["len", "block", "value"]).withColumn("hamming", F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))).cast("int")).where(F.col("hamming") <= radius)
-    near = near.dropDuplicates(["len", "wid", "ww", "item"])
+    near = a.join(b, ["item", "len", "block", "value"]).withColumn("hamming", F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))).cast("int")).where(F.col("hamming") <= radius)
+    near = near.dropDuplicates(["item", "len", "wid", "ww", "iw"])
     k = F.least("len", F.lit(shingle))
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.col("len") - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
     near = near.select("len", "wid", "ww", "item", "hamming", grams(F.col("ww")).alias("gw"), grams(F.col("iw")).alias("gi"))
     times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     lesser = F.aggregate(F.array_distinct("gw"), F.lit(0), lambda s, x: s + F.least(times(F.col("gw"), x), times(F.col("gi"), x)))
     near = near.withColumn("lesser", lesser).withColumn("similarity", F.col("lesser") / (F.size("gw") + F.size("gi") - F.col("lesser"))).where(F.col("similarity") >= similarity)
-    found = windows.withColumn("wid", wid).join(near.select("len", "wid", "ww", "item", "hamming", "similarity"), ["len", "wid", "ww"])
-    best = found.groupBy("doc", "item").agg(F.max_by(F.struct("start", "len", "hamming", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
-    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("b.start").alias("start"), F.col("b.len").alias("n_words"), F.col("b.hamming").alias("hamming"), F.round("b.similarity", 6).alias("similarity"))
+    # Shingles at their offset in the item, before it and after it.
+    first = lambda x: F.array_position(F.col("gi"), x).cast("int") - 1
+    last = lambda x: F.size("gi") - F.array_position(F.reverse("gi"), x).cast("int")
+    some = lambda f: F.exists(F.sequence(F.lit(0), F.size("gw") - 1), lambda i: f(F.get("gw", i), i))
+    held_by = lambda x: F.array_contains(F.col("gi"), x)
+    near = near.select("len", "wid", "ww", "item", "hamming", "similarity", some(lambda x, i: F.get("gi", i) == x).alias("same"), some(lambda x, i: held_by(x) & (i < last(x))).alias("before"), some(lambda x, i: held_by(x) & (i > first(x))).alias("after"))
+    found = windows.withColumn("wid", wid).join(near, ["len", "wid", "ww", "item"])
+    level = F.col("same") | ((F.col("start") == 0) & F.col("before")) | (F.col("final") & F.col("after"))
+    best = found.groupBy("doc", "item").agg(F.max_by(F.struct("start", F.size("ww").alias("n"), "hamming", "similarity"), F.struct("similarity", F.coalesce(level, F.lit(False)), -F.col("start"))).alias("b"))
+    return best.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.col("b.start").alias("start"), F.col("b.n").alias("n_words"), F.col("b.hamming").alias("hamming"), F.round("b.similarity", 6).alias("similarity"))
