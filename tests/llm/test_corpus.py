@@ -309,6 +309,15 @@ def test_decontamination_slides_over_every_start(spark):
     assert (0, 0) in found and len(found) > 40
 
 
+def test_decontamination_of_shorter_documents(spark):
+    """Documents that are an item without its first or last words, or too little of one."""
+    rnd = random.Random(10)
+    items = [rnd.choices([f"w{i}" for i in range(900)], k=n) for n in (60, 40)]
+    docs = [d for t in items for d in (t[:-1], t[1:], t[2:-1], t[:-4], t[: len(t) // 2], t[:3])]
+    found = against_every_start(spark, [" ".join(t) for t in items], [" ".join(d) for d in docs])
+    assert found == {(i + 6 * j, j) for j in range(2) for i in range(4)}
+
+
 def test_fingerprint(spark):
     d = spark.createDataFrame([(1, 3), (1, 1), (1, 9), (2, -1)], "k int, h long")
     assert {r.k: r.simhash for r in decontamination.fingerprint(d, ["k"], "h").collect()} == {1: 1, 2: -1}

@@ -1,6 +1,6 @@
 """Benchmark decontamination with DataFrame functions only: SimHash windows, multi-index Hamming blocks, exact verification.
 
-Windows have as many words as the item and slide over every start.  One that is similar enough has a least number of shingles that the item
+Windows have as many words as the item and slide over every start; a document of fewer words is one window.  One that is similar enough has a least number of shingles that the item
 has too, so the starts at which fewer are in the window are passed over (nothing similar is lost by that, in whatever order the shingles stand).
 Each window has a 64-bit SimHash of its words.  Fingerprints are cut into ``radius`` + 1 blocks: two within the radius agree on a whole block, so
 an equi-join on (item, block, value) finds all of them.  Pairs within the radius are verified by the exact similarity of their shingle multisets.
@@ -85,7 +85,7 @@ def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: flo
     if at_item is None:
         return docs.sparkSession.createDataFrame([], result).withColumnsRenamed({"doc": doc_id, "item": item_id})
     side = F.broadcast(at_item) if at_item.count() <= BROADCAST_ROWS else at_item
-    held = at_doc.join(side, ["sh", "k"]).where("n >= len").groupBy("doc", "th", "n", "item", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    held = at_doc.join(side, ["sh", "k"]).groupBy("doc", "th", "n", "item", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # Shingles of a window and of the item, and how many of the window's must be the item's.
     held = held.withColumn("m", F.least("n", "len") - F.col("k") + 1)
     held = held.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("len") - F.col("k") + 1) * (similarity / (1 + similarity)) - 1e-9).cast("int")))
@@ -105,7 +105,8 @@ def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: flo
     near = near.dropDuplicates(["item", "len", "wid", "ww", "iw"])
     k = F.least("len", F.lit(shingle))
     grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
-    near = near.select("len", "wid", "ww", "item", "hamming", grams(F.col("ww")).alias("gw"), grams(F.col("iw")).alias("gi"))
+    # Written, so that the lambdas below read the arrays instead of building them again for each shingle.
+    near = common.materialize(near.select("len", "wid", "ww", "item", "hamming", grams(F.col("ww")).alias("gw"), grams(F.col("iw")).alias("gi")), "near")
     times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     lesser = F.aggregate(F.array_distinct("gw"), F.lit(0), lambda s, x: s + F.least(times(F.col("gw"), x), times(F.col("gi"), x)))
     near = near.withColumn("lesser", lesser).withColumn("similarity", F.col("lesser") / (F.size("gw") + F.size("gi") - F.col("lesser"))).where(F.col("similarity") >= similarity)
