@@ -38,3 +38,8 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_label_join_has_no_most(spark, tmp_path):
+    spark.range(10_050).selectExpr("id as event_id", "'t' || id as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["label_join"](spark, str(tmp_path)).agg({"label_index": "max", "event_id": "count"}).first().asDict() == {"max(label_index)": 10_049, "count(event_id)": 10_050}

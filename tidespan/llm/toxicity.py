@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int =
     At most ``sample`` documents of each label (the first by a hash of the id) are read for it: that is the documented bound.  A
     pattern is kept if at least ``min_docs`` toxic documents hold it and, after weighing the two samples alike, it is toxic with at least
     ``precision``; a word start makes its longer forms needless.  Its weight is its smoothed log odds.  Pattern counts are
-    summed per task before they are shuffled, and only kept ones reach the driver.  Rows with a null id or label are not used; with no toxic label, the
+    summed per task before they are shuffled, and only kept ones reach the driver (all of them; the sample bounds their number).  Rows with a null id or label are not used; with no toxic label, the
     lexicon is empty and every score low.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int =
 
     ratio = n[1] / n[0]
     counted = rows.mapInArrow(count, "p string, clean long, toxic long").groupBy("p").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    good = counted.where((F.col("toxic") >= min_docs) & (F.col("toxic") >= precision * (F.col("toxic") + ratio * F.col("clean")))).orderBy(F.desc("toxic"), "p").limit(20_000).collect()
+    good = counted.where((F.col("toxic") >= min_docs) & (F.col("toxic") >= precision * (F.col("toxic") + ratio * F.col("clean")))).collect()
     chosen: dict[str, float] = {}
     for r in sorted(good, key=lambda r: (len(r.p.strip()), r.p.endswith(" "), r.p)):
         stem = r.p.rstrip()

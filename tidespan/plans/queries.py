@@ -208,7 +208,7 @@ def label_index(spark, d):
 @query(f"""with {EV}, l as (select event_type, row_number() over (order by event_type) - 1 as i from (select distinct event_type from events)) select event_id, cast(i as integer) as label_index from ev join l using (event_type)""")
 def label_join(spark, d):
     e = tables.read(spark, d, "events")
-    return e.join(F.broadcast(dataset.label_index(e, "event_type").limit(10_000)), "event_type").select("event_id", "label_index")
+    return e.join(dataset.label_index(e, "event_type"), "event_type").select("event_id", "label_index")
 
 
 @query(f"""with {EV}, x as (select *, greatest(0.0, coalesce(max(value) over (partition by user_id order by us, event_id rows between unbounded preceding and 1 preceding), 0.0)) as b from ev) select event_id, greatest(b, value) as best, value > b as improved from x""")
