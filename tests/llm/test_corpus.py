@@ -193,17 +193,133 @@ def test_pitman_yor_adds_up_to_one(spark):
     assert sum(10 ** got[i] for i in probes) < 1
 
 
-def test_table_counts_follow_the_conditional():
-    rng = np.random.default_rng(0)
-    c, p, rest, theta, d = 6, 0.2, 10.0, 1.0, 0.5
+def conditional(c, p, rest, theta, d):
     t = np.arange(1, c + 1)
-    log = pitman_yor.stirling(d)[c, 1 : c + 1] + t * np.log(p) + np.cumsum(np.log(theta + d * (rest + t - 1)))
-    want = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
-    n = 40_000
-    got = pitman_yor.draw_tables(np.full(n, c), np.ones(n, int), np.full(n, p), np.full(n, rest), theta, d, rng)
+    log = pitman_yor.stirling(d, max(c, 2))[c, 1 : c + 1] + t * np.log(p) + np.cumsum(np.log(theta + d * (rest + t - 1)))
+    mass = np.exp(log - log.max())
+    return mass / mass.sum()
+
+
+@pytest.mark.parametrize("c, p, rest, d", [(2, 0.001, 0.0, 0.5), (6, 0.2, 10.0, 0.5), (64, 0.02, 300.0, 0.8)])
+def test_table_counts_follow_the_conditional(c, p, rest, d):
+    want, n = conditional(c, p, rest, 1.0, d), 40_000
+    keys = T.mix(np.arange(n).astype(np.uint64))
+    got, mean = pitman_yor.draw_tables(np.full(n, c), np.full(n, p), np.full(n, rest), 1.0, d, keys, 5)
     assert np.abs(np.bincount(got, minlength=c + 1)[1:] / n - want).max() < 0.02
-    big = pitman_yor.draw_tables(np.array([100_000]), np.array([1]), np.array([0.01]), np.array([50.0]), theta, d, rng)
-    assert 1 <= big[0] <= 100_000
+    assert mean == pytest.approx(want @ np.arange(1, c + 1))
+
+
+@pytest.mark.parametrize("c, p, rest, d", [(100, 0.01, 50.0, 0.5), (600, 0.002, 2000.0, 0.7), (1500, 0.05, 10.0, 0.3), (1500, 0.3, 5000.0, 0.9), (1000, 0.01, 1e5, 0.8)])
+def test_companies_are_near_the_conditional(c, p, rest, d):
+    want, n = conditional(c, p, rest, 1.0, d) @ np.arange(1, c + 1), 4000
+    keys = T.mix(np.arange(n).astype(np.uint64))
+    got, mean = pitman_yor.draw_tables(np.full(n, c), np.full(n, p), np.full(n, rest), 1.0, d, keys, 5)
+    assert got.mean() == pytest.approx(want, rel=0.06) and mean.mean() == pytest.approx(want, rel=0.06)
+    assert got.min() >= 1 and got.max() <= c
+
+
+def test_binomial_draws():
+    keys = T.mix(np.arange(20_000).astype(np.uint64))
+    for n, q in ((5, 0.1), (40, 0.02), (900, 0.3), (3, 1.0), (7, 0.0)):
+        x = pitman_yor._binomial(np.full(len(keys), n), np.full(len(keys), q), keys, 3)
+        assert x.mean() == pytest.approx(n * q, rel=0.03, abs=0.01) and x.std() == pytest.approx(math.sqrt(n * q * (1 - q)), rel=0.04, abs=0.01)
+
+
+def seated_one_by_one(train, probes, strengths=(5.0, 1.0), rounds=300, drop=60, seed=1):
+    """Mean log10 probabilities of the probes by a plain sampler that takes single customers up and seats them again."""
+    rnd, end = random.Random(seed), None
+    pairs = Counter((u, w) for t in train for u, w in zip([0, *t], [*t, end]))
+    words = Counter(w for (_, w), c in pairs.items() for _ in range(c))
+    d1 = pitman_yor.discount_of(sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values()))
+    base, theta0, theta1 = 1 / (len(words) + 1), *strengths
+    d0, seats, root = 0.5, {k: [] for k in pairs}, {w: [] for w in words}  # sizes of the tables of each dish
+    inside, whole, opened = Counter(), 0, 0
+
+    def p1(w):
+        return (sum(root.get(w, ())) - d0 * len(root.get(w, ())) + (theta0 + d0 * opened) * base) / (theta0 + whole)
+
+    def sit(tables, strength, d, others, parent):
+        weights = [n - d for n in tables] + [(strength + d * others) * parent]
+        k = rnd.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return k == len(tables) - 1 and tables[k] == 1
+
+    def rise(tables):
+        k = rnd.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def enter(u, w):
+        nonlocal whole, opened
+        if sit(seats[u, w], theta1, d1, inside[u], p1(w)):
+            inside[u] += 1
+            opened += sit(root[w], theta0, d0, opened, base)
+            whole += 1
+
+    def leave(u, w):
+        nonlocal whole, opened
+        if rise(seats[u, w]):
+            inside[u] -= 1
+            whole -= 1
+            opened -= rise(root[w])
+
+    for (u, w), c in pairs.items():
+        for _ in range(c):
+            enter(u, w)
+    customers = Counter(u for (u, _), c in pairs.items() for _ in range(c))
+    total = [0.0] * len(probes)
+    for r in range(rounds):
+        d0 = pitman_yor.discount_of(sum(sum(t) == 1 for t in root.values()), sum(sum(t) == 2 for t in root.values()))
+        for (u, w), c in pairs.items():
+            for _ in range(c):
+                leave(u, w)
+                enter(u, w)
+        if r >= drop:
+            for i, t in enumerate(probes):
+                total[i] += sum(math.log10((pairs[u, w] - d1 * len(seats.get((u, w), ())) + (theta1 + d1 * inside[u]) * p1(w)) / (theta1 + customers[u])) for u, w in zip([0, *t], [*t, end]))
+    return [x / (rounds - drop) for x in total]
+
+
+def test_pitman_yor_against_single_customers(spark):
+    rnd = random.Random(3)
+    chain = {f"w{i}": [f"w{rnd.randrange(12)}" for _ in range(3)] for i in range(12)}
+
+    def walk(n):
+        out = ["w0"]
+        while len(out) < n:
+            out.append(rnd.choice(chain[out[-1]]))
+        return out
+
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1][:40]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1][:12]
+    train, probes = [walk(rnd.randrange(1, 12)) for _ in ids], [walk(rnd.randrange(1, 9)) for _ in held[:-1]] + [["w1", "never"]]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids + held, train + probes)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(d, sweeps=14, keep=10).collect()}
+    want = seated_one_by_one(train, probes)
+    assert [got[i] for i in held] == pytest.approx(want, rel=0.03)
+
+
+def test_pitman_yor_is_the_same_for_any_blocks(docs, monkeypatch):
+    out = []
+    for n in (1, 4, 32):
+        monkeypatch.setattr(blocks, "number", lambda df, n=n: n)
+        out.append(sorted((r.doc_id, round(r.score, 6), round(r.base_score, 6), r.n_known) for r in pitman_yor.score(docs, sweeps=3, keep=2).collect()))
+    assert out[0] == out[1] == out[2]
+
+
+def test_pitman_yor_ties_repeats_and_length(spark):
+    """Repeated rows and ids count as often as they occur; a null id is learnt from; a very long text is one."""
+    long = " ".join(f"w{i % 700}" for i in range(30_000))
+    d = spark.createDataFrame([(3, "a b"), (3, "a b"), (3, "c"), (None, "a b"), (4, long)], "doc_id long, text string")
+    got = pitman_yor.score(d).collect()
+    assert len(got) == 5 and {r.train_tokens for r in got} == {sum(n for i, n in ((3, 8), (4, 30_001)) if zlib.crc32(str(i).encode()) % 5 != 1) + 3}
+    a, b = (r.score for r in got if r.doc_id == 3 and r.n_tokens == 3)
+    assert a == b and all(math.isfinite(r.score) for r in got)
 
 
 def test_pitman_yor_empty(spark):

@@ -13,6 +13,7 @@ is 2 * n ** 1.5 rows for twice the bytes; answers go back the same way.
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 
@@ -94,9 +95,16 @@ def _turned(table: pa.Table) -> list[tuple[int, bytes]]:
     return sorted(out.items())
 
 
+#: Low bits of a key in which no two ranges differ, so that the bits above them name the range.
+LOW = 24
+
+
+@functools.lru_cache(2)
 def edges(n: int) -> np.ndarray:
-    """First key of each of ``n`` equal ranges of the key space."""
-    return np.array([(p << 64) // n + (1 if (p << 64) % n else 0) for p in range(n)], np.uint64)
+    """First key of each of ``n`` equal ranges of the key space; a multiple of ``1 << LOW``.  ``n`` is below 2 ** 24."""
+    step, rest = divmod(1 << (64 - LOW), n)
+    p = np.arange(n, dtype=np.uint64)
+    return (p * np.uint64(step) + (p * np.uint64(rest) + np.uint64(n - 1)) // np.uint64(n)) << np.uint64(LOW)
 
 
 def requests(docs: DataFrame, ranges: int, emit) -> DataFrame:
@@ -129,14 +137,20 @@ def slices(table: pa.Table) -> list[tuple[int, int, list[np.ndarray]]]:
     return sorted(got, key=lambda g: g[1])
 
 
-def replies(asked: DataFrame, ranges: int, merge) -> DataFrame:
-    """``merge(p, [arrays of each block])`` gives one list of arrays for each block."""
+def replies(asked: DataFrame, ranges: int, merge, side: DataFrame | None = None) -> DataFrame:
+    """``merge(p, [arrays of each block])`` gives one list of arrays for each block.
+
+    With ``side``, a frame of (p, payload) with one row for a range at most, the arrays of that row (none: no arrays) are its third argument.
+    """
     w = band(ranges)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, other: pa.Table | None = None) -> pa.Table:
+        if not table.num_rows:
+            return _rows([])
         got, p = slices(table), table.column("p")[0].as_py()
         parts: list[list] = [[] for _ in range(table.num_rows)]
-        for (row, block, _), x in zip(got, merge(p, [g[2] for g in got])):
+        more = () if other is None else (unpack(other.column("payload")[0].as_py()) if other.num_rows else [],)
+        for (row, block, _), x in zip(got, merge(p, [g[2] for g in got], *more)):
             parts[row].append((block if w else p, pack(x)))
         payload = [bundle(p if w else -1, x) for x in parts]
         return pa.table({"block": table.column("block"), "p": pa.array([p // w if w else p] * len(payload), pa.int32()), "payload": pa.array(payload, pa.binary())})
@@ -145,7 +159,10 @@ def replies(asked: DataFrame, ranges: int, merge) -> DataFrame:
         b = table.column("p")[0].as_py()
         return _rows([(block, b, bundle(b, parts)) for block, parts in _turned(table)])
 
-    out = asked.groupBy("p").applyInArrow(run, REQUEST)
+    if side is None:
+        out = asked.groupBy("p").applyInArrow(lambda table: run(table), REQUEST)
+    else:
+        out = asked.groupBy("p").cogroup(side.groupBy("p")).applyInArrow(lambda table, other: run(table, other), REQUEST)
     return out.groupBy("block", "p").applyInArrow(relay, REQUEST) if w else out
 
 

@@ -50,18 +50,27 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; neither it nor frames made from it can be read any more."""
+    if path := getattr(df, "_written", None):
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of frames that are no longer referenced.
 
-    Python's references end first, then those of the JVM's objects that they held, and then the cleaner is told: so three turns.
+    Without it their files stay until the JVM happens to collect its garbage, which on a large driver heap can be after the job.
     """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    gc.collect()
+    time.sleep(0.05)
+    spark.sparkContext._jvm.System.gc()
 
 
 def size_in_bytes(df: DataFrame) -> int:

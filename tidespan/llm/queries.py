@@ -27,7 +27,7 @@ def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pitman_yor import score
 
     out = score(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
