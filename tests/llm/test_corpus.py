@@ -434,6 +434,40 @@ def test_decontamination_of_shorter_documents(spark):
     assert found == {(i + 6 * j, j) for j in range(2) for i in range(4)}
 
 
+def test_decontamination_keeps_the_least_similar(spark):
+    """Windows between 0.8 and 0.9: none may be lost to the fingerprints."""
+    rnd = random.Random(12)
+    items = [rnd.choices([f"w{i}" for i in range(5000)], k=rnd.choice((24, 41, 60, 113))) for _ in range(60)]
+    docs, n = [], 0
+    for t in items:
+        for part in (0.2 / 1.8, 0.12, 0.07):
+            r = int((len(t) - 4) * part)
+            new = [f"n{rnd.randrange(10**6)}" for _ in range(r)]
+            docs += [rnd.choices(t, k=3) + t[: len(t) - r] + new + ["tail"], t[:5] + t[5 + r :] if r else t]
+    found = against_every_start(spark, [" ".join(t) for t in items], [" ".join(d) for d in docs])
+    assert sum(0.8 <= alike(" ".join(docs[i]), " ".join(items[j])) < 0.9 for i, j in found) > 100
+
+
+def test_decontamination_joins_long_lists(spark, monkeypatch):
+    """The same result where the shingles that a document must hold are joined rather than listed."""
+    rnd = random.Random(13)
+    word = lambda n: rnd.choices([f"w{i}" for i in range(400)], k=n)
+    items = [word(n) for n in (30, 40, 3, 1)]
+    docs = spark.createDataFrame([(i, " ".join(word(20) + items[i % 4] + word(9))) for i in range(20)], "doc_id long, text string")
+    i = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    run = lambda: sorted(map(repr, decontamination.matches(docs, i).collect()))
+    listed = run()
+    monkeypatch.setattr(decontamination, "LISTED", 0)
+    assert len(listed) >= 20 and run() == listed
+
+
+def test_decontamination_of_a_very_long_item(spark):
+    """An item of more words than a 16-bit counter holds, and repeated rows of it."""
+    t = " ".join(f"w{(i * i) % 70_001}" for i in range(70_000))
+    got = decontamination.matches(spark.createDataFrame([(1, t), (1, t), (2, "w1 w4 w9")], "doc_id long, text string"), spark.createDataFrame([(5, t)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.n_words, r.hamming, r.similarity) for r in got] == [(1, 5, 0, 70_000, 0, 1.0)]
+
+
 def test_fingerprint(spark):
     d = spark.createDataFrame([(1, 3), (1, 1), (1, 9), (2, -1)], "k int, h long")
     assert {r.k: r.simhash for r in decontamination.fingerprint(d, ["k"], "h").collect()} == {1: 1, 2: -1}

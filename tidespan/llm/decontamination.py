@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions only: SimHash windows, multi-index Hamming blocks, exact verification.
 
-Windows have as many words as the item and slide over every start; a document of fewer words is one window.  One that is similar enough has a least number of shingles that the item
-has too, so the starts at which fewer are in the window are passed over (nothing similar is lost by that, in whatever order the shingles stand).
-Each window has a 64-bit SimHash of its words.  Fingerprints are cut into ``radius`` + 1 blocks: two within the radius agree on a whole block, so
+Windows have as many words as the item and slide over every start; a document of fewer words is one window.  Two exact rules spare windows that can't be similar enough, in whatever
+order their shingles stand: of an item with n shingles at most a fifth may be missing, so a document without any of one fifth and one more
+of them is passed over in the one scan of all documents; and so are starts at which fewer of the item's shingles than needed are in the window.
+Each window left has a 64-bit SimHash of its words.  Fingerprints are cut into ``radius`` + 1 blocks: two within the radius agree on a whole block, so
 an equi-join on (item, block, value) finds all of them.  Pairs within the radius are verified by the exact similarity of their shingle multisets.
 """
 
@@ -15,6 +16,8 @@ from . import common
 
 #: Item shingles up to this number are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Shingles of which a document must hold one, up to which they are tested within the scan; more are joined.
+LISTED = 20_000
 
 
 def words(text: Column) -> Column:
@@ -30,25 +33,21 @@ def shingle_hashes(w: Column, k: int) -> Column:
 def fingerprint(exploded: DataFrame, keys: list[str], word_hash: str) -> DataFrame:
     """``keys`` and simhash: bit b is set if more than half of the group's words have it set.
 
-    Four 16-bit counters share a long (so a window has under 65,536 words), and 16 sums make the fingerprint.
+    Two 32-bit counters share a long, and 32 sums make the fingerprint.
     """
-    h = F.col(word_hash)
-    bit = lambda b: F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long"))
-    sums = [F.sum(sum((F.shiftleft(bit(4 * g + j), 16 * j) for j in range(1, 4)), bit(4 * g))).alias(f"g{g}") for g in range(16)]
-    counted = exploded.groupBy(*keys).agg(F.count("*").alias("size"), *sums)
-    ones = lambda b: F.shiftrightunsigned(F.col(f"g{b // 4}"), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-    value = None
-    for b in range(64):
-        one = F.shiftleft((ones(b) * 2 > F.col("size")).cast("long"), b)
-        value = one if value is None else value.bitwiseOR(one)
-    return counted.select(*keys, value.alias("simhash"))
-
-
-def _blocks(simhash: Column, radius: int) -> Column:
+    bit = lambda b: f"(shiftrightunsigned({word_hash}, {b}) & 1L)"
+    ones = lambda b: f"(shiftrightunsigned(g{b // 2}, {32 * (b % 2)}) & 4294967295L)"
+    counted = exploded.groupBy(*keys).agg(F.count("*").alias("size"), *(F.expr(f"sum({bit(2 * g)} + shiftleft({bit(2 * g + 1)}, 32)) as g{g}") for g in range(32)))
+    value = " | ".join(f"shiftleft(cast({ones(b)} * 2 > size as bigint), {b})" for b in range(64))
+    return counted.selectExpr(*keys, f"{value} as simhash")
+
+
+def _blocks(simhash: str, radius: int) -> Column:
     """Structs (block, value) of radius+1 blocks that cover all 64 bits."""
     m = radius + 1
     edge = [64 * i // m for i in range(m + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(simhash, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(edge, edge[1:]))))
+    parts = (f"named_struct('block', {i}, 'value', shiftrightunsigned({simhash}, {a}) & {(1 << (b - a)) - 1}L)" for i, (a, b) in enumerate(zip(edge, edge[1:])))
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def _starts(at: Column, m: Column, need: Column, most: Column) -> Column:
@@ -64,58 +63,90 @@ def _starts(at: Column, m: Column, need: Column, most: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - need), of))
 
 
-def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 15, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _some_of_each(item: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(k, first, gram): of each item as many distinct shingles as may be missing in a similar window, and one more, with their first words.
+
+    Those with the longest first words, as these are rare; any others would do.
+    """
+    k = F.least("len", F.lit(shingle))
+    n = F.col("len") - k + 1
+    grams = F.transform(F.sequence(F.lit(0), F.col("len") - k), lambda i: F.struct((-F.length(F.get("iw", i))).alias("order"), F.get("iw", i).alias("first"), F.slice("iw", i + 1, k).alias("gram")))
+    # What stands beside explode() must not use the array, which would go into each of its rows.
+    rows = item.select("kind", "len", F.explode(grams).alias("g"))
+    some = rows.groupBy("kind", k.alias("k"), (n - F.ceil(n * similarity - 1e-9).cast("int") + 1).alias("most")).agg(F.array_sort(F.collect_set("g")).alias("g"))
+    return some.select("k", F.explode(F.slice("g", 1, F.col("most"))).alias("g")).select("k", "g.first", "g.gram")
+
+
+def _holders(docs: DataFrame, chosen: DataFrame, ks: list[int]) -> DataFrame:
+    """Of documents (doc, th, text) those that hold one or more of the chosen shingles, with their words: one scan, and no shuffle of documents."""
+    hashed = lambda k: F.xxhash64(*(F.get("gram", j) for j in range(k)))
+    listed = common.materialize(chosen.select("k", F.xxhash64("first").alias("first"), *(hashed(k).alias(f"h{k}") for k in ks)).distinct(), "listed")
+    if listed.count() <= LISTED:
+        rows = listed.collect()  # LISTED rows at most
+        among = lambda values: "(" + ", ".join(f"{v}L" if v > -(1 << 63) else f"cast({v} as bigint)" for v in sorted(set(values)) or [0]) + ")"
+        gram = lambda k: "xxhash64(" + ", ".join(f"get(w, i + {j})" for j in range(k)) + ")"
+        held = " or ".join(f"{gram(k)} in {among(r[f'h{k}'] for r in rows if r['k'] == k)}" for k in ks)
+        # The words are the one element of an array, so that they are split once and not anew for each position.
+        split = r"filter(split(lower(text), r'[\x20\x09-\x0D]+'), x -> x <> '')"
+        some = f"filter(sequence(0, size(w) - 1), i -> xxhash64(get(w, i)) in {among(r['first'] for r in rows)})"
+        return docs.where(F.expr(f"exists(array({split}), w -> size(w) > 0 and exists({some}, i -> {held}))")).select("doc", "th", words(F.col("text")).alias("w"))
+    docs = docs.select("doc", "th", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    keys = None
+    for k in ks:
+        x = docs.select("doc", "th", F.explode(shingle_hashes(F.col("w"), k)).alias("sh")).join(listed.where(F.col("k") == k).select(F.col(f"h{k}").alias("sh")).distinct(), "sh", "left_semi").select("doc", "th")
+        keys = x if keys is None else keys.union(x)
+    return docs.join(keys.distinct(), ["doc", "th"], "left_semi")
+
+
+def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 24, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item with a window that is at least ``similarity`` alike: ids, start (word of the best window; ties: one
     with a shingle in line with the item's, then the first), n_words, hamming, similarity (sum of the lesser by sum of the greater shingle counts, rounded to 6 places).
 
     An item of fewer words than ``shingle`` is one shingle.  Null or empty texts and null ids match nothing; rows that repeat an id count as one
-    document; other columns are not looked at.  SimHash decides which windows are verified: of windows at the least similarity a
-    few in a thousand can lie beyond the radius of 15; equal windows are at distance 0 and are never lost.
+    document; other columns are not looked at; long items and texts are treated like any others.  SimHash decides which windows are verified.  Equal windows are at distance 0
+    and are never lost; of windows at the least similarity about one in 60 lies beyond a radius of 15, and none of 183,000
+    simulated ones beyond 22 (5 to 300 words, the last of them replaced).
     """
     item = items.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("iw")).where(F.col("item").isNotNull() & (F.size("iw") > 0)).dropDuplicates()
-    item = item.withColumn("len", F.size("iw"))
+    item = common.materialize(item.withColumn("len", F.size("iw")).withColumn("kind", F.monotonically_increasing_id()), "items")
     short = sorted(r.k for r in item.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect())  # at most ``shingle`` rows
-    d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), words(F.col(text)).alias("w")).where(F.col("doc").isNotNull() & (F.size("w") > 0))
+    result = "doc long, item long, start int, n_words int, hamming int, similarity double"
+    if not short:
+        return docs.sparkSession.createDataFrame([], result).withColumnsRenamed({"doc": doc_id, "item": item_id})
+    d = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
+    d = common.materialize(_holders(d, _some_of_each(item, shingle, similarity), short).withColumn("n", F.size("w")), "holders")
     at_item = at_doc = None
     for k in short:
         i = item.where(F.least("len", F.lit(shingle)) == k).select("item", "len", F.explode(shingle_hashes(F.col("iw"), k)).alias("sh"), F.lit(k).alias("k")).distinct()
-        x = d.select("doc", "th", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "sh"), F.lit(k).alias("k"))
+        x = d.select("doc", "th", "n", F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "sh"), F.lit(k).alias("k"))
         at_item, at_doc = (i if at_item is None else at_item.union(i)), (x if at_doc is None else at_doc.union(x))
-    result = "doc long, item long, start int, n_words int, hamming int, similarity double"
-    if at_item is None:
-        return docs.sparkSession.createDataFrame([], result).withColumnsRenamed({"doc": doc_id, "item": item_id})
     side = F.broadcast(at_item) if at_item.count() <= BROADCAST_ROWS else at_item
     held = at_doc.join(side, ["sh", "k"]).groupBy("doc", "th", "n", "item", "len", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # Shingles of a window and of the item, and how many of the window's must be the item's.
     held = held.withColumn("m", F.least("n", "len") - F.col("k") + 1)
     held = held.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("len") - F.col("k") + 1) * (similarity / (1 + similarity)) - 1e-9).cast("int")))
     spots = held.where(F.size("at") >= F.col("need")).select("doc", "th", "item", "len", F.explode(_starts(F.col("at"), F.col("m"), F.col("need"), F.greatest(F.lit(0), F.col("n") - F.col("len")))).alias("start"))
-    spots = common.materialize(spots, "spots")
-    held = d.join(spots.select("doc", "th").distinct(), ["doc", "th"], "left_semi")
-    windows = held.join(spots, ["doc", "th"]).select("doc", "start", "item", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"), (F.col("start") >= F.size("w") - F.col("len")).alias("final"))
+    windows = d.join(spots.drop("n"), ["doc", "th"]).select("doc", "start", "item", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"), (F.col("start") >= F.col("n") - F.col("len")).alias("final"))
     windows = common.materialize(windows.dropDuplicates(["doc", "start", "item", "len", "ww"]), "windows")
     # A window's words decide its fingerprint, so equal windows of many documents are fingerprinted and verified once.
     wid = F.xxhash64("ww")
-    kinds = windows.select("item", "len", wid.alias("wid"), "ww").dropDuplicates(["item", "len", "wid", "ww"])
-    prints = fingerprint(kinds.select("wid", "ww").dropDuplicates(["wid", "ww"]).select("wid", "ww", F.explode("ww").alias("x")).select("wid", "ww", F.xxhash64("x").alias("h")), ["wid", "ww"], "h")
-    item_prints = fingerprint(item.select("item", "len", "iw", F.explode("iw").alias("x")).select("item", "len", "iw", F.xxhash64("x").alias("h")), ["item", "len", "iw"], "h")
-    a = kinds.join(prints, ["wid", "ww"]).select("item", "len", "wid", "ww", "simhash", F.explode(_blocks(F.col("simhash"), radius)).alias("b")).select("item", "len", "wid", "ww", "simhash", "b.*")
-    b = item_prints.select("item", "len", "iw", F.col("simhash").alias("other"), F.explode(_blocks(F.col("simhash"), radius)).alias("b")).select("item", "len", "iw", "other", "b.*")
-    near = a.join(b, ["item", "len", "block", "value"]).withColumn("hamming", F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))).cast("int")).where(F.col("hamming") <= radius)
-    near = near.dropDuplicates(["item", "len", "wid", "ww", "iw"])
+    kinds = common.materialize(windows.select("item", "len", wid.alias("wid"), "ww").dropDuplicates(["item", "len", "wid", "ww"]).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    # Written, as planning a join over the 64 terms of a fingerprint takes far longer than making them.
+    printed = lambda df, w: common.materialize(fingerprint(df.select("kind", F.explode(w).alias("x")).select("kind", F.xxhash64("x").alias("h")), ["kind"], "h"), "prints")
+    blocked = lambda df, name, w: df.select("item", "len", "kind").join(printed(df, w), "kind").select("item", "len", F.col("kind").alias(name), F.col("simhash").alias(f"of_{name}"), F.explode(_blocks("simhash", radius)).alias("b")).select("item", "len", name, f"of_{name}", "b.*")
+    near = blocked(kinds, "kind", "ww").join(blocked(item, "other", "iw"), ["item", "len", "block", "value"]).withColumn("hamming", F.bit_count(F.col("of_kind").bitwiseXOR(F.col("of_other"))).cast("int"))
+    near = near.where(F.col("hamming") <= radius).select("kind", "other", "hamming").distinct()
+    near = near.join(kinds, "kind").join(item.select(F.col("kind").alias("other"), "iw"), "other")
     k = F.least("len", F.lit(shingle))
     grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
-    # Written, so that the lambdas below read the arrays instead of building them again for each shingle.
-    near = common.materialize(near.select("len", "wid", "ww", "item", "hamming", grams(F.col("ww")).alias("gw"), grams(F.col("iw")).alias("gi")), "near")
-    times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    lesser = F.aggregate(F.array_distinct("gw"), F.lit(0), lambda s, x: s + F.least(times(F.col("gw"), x), times(F.col("gi"), x)))
-    near = near.withColumn("lesser", lesser).withColumn("similarity", F.col("lesser") / (F.size("gw") + F.size("gi") - F.col("lesser"))).where(F.col("similarity") >= similarity)
+    near = near.select("len", "wid", "ww", "item", "hamming", grams(F.col("ww")).alias("gw"), grams(F.col("iw")).alias("gi"), F.monotonically_increasing_id().alias("pair"))
+    near = common.materialize(near, "near")
+    count = lambda side: near.select("pair", F.posexplode(side).alias("pos", "gram")).groupBy("pair", "gram").agg(F.count("*").alias(f"n_{side}"), F.min("pos").alias(f"first_{side}"), F.max("pos").alias(f"last_{side}"))
+    both = count("gw").join(count("gi"), ["pair", "gram"]).groupBy("pair").agg(F.sum(F.least("n_gw", "n_gi")).alias("lesser"), F.max(F.col("first_gw") < F.col("last_gi")).alias("before"), F.max(F.col("last_gw") > F.col("first_gi")).alias("after"))
+    near = near.join(both, "pair").withColumn("similarity", F.col("lesser") / (F.size("gw") + F.size("gi") - F.col("lesser"))).where(F.col("similarity") >= similarity)
     # Shingles at their offset in the item, before it and after it.
-    first = lambda x: F.array_position(F.col("gi"), x).cast("int") - 1
-    last = lambda x: F.size("gi") - F.array_position(F.reverse("gi"), x).cast("int")
-    some = lambda f: F.exists(F.sequence(F.lit(0), F.size("gw") - 1), lambda i: f(F.get("gw", i), i))
-    held_by = lambda x: F.array_contains(F.col("gi"), x)
-    near = near.select("len", "wid", "ww", "item", "hamming", "similarity", some(lambda x, i: F.get("gi", i) == x).alias("same"), some(lambda x, i: held_by(x) & (i < last(x))).alias("before"), some(lambda x, i: held_by(x) & (i > first(x))).alias("after"))
+    same = F.exists(F.sequence(F.lit(0), F.size("gw") - 1), lambda i: F.get("gw", i) == F.get("gi", i))
+    near = near.select("len", "wid", "ww", "item", "hamming", "similarity", F.coalesce(same, F.lit(False)).alias("same"), "before", "after")
     found = windows.withColumn("wid", wid).join(near, ["len", "wid", "ww", "item"])
     level = F.col("same") | ((F.col("start") == 0) & F.col("before")) | (F.col("final") & F.col("after"))
     best = found.groupBy("doc", "item").agg(F.max_by(F.struct("start", F.size("ww").alias("n"), "hamming", "similarity"), F.struct("similarity", F.coalesce(level, F.lit(False)), -F.col("start"))).alias("b"))
