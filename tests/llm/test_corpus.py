@@ -437,7 +437,7 @@ def test_decontamination_of_shorter_documents(spark):
 def test_decontamination_keeps_the_least_similar(spark):
     """Windows between 0.8 and 0.9: none may be lost to the fingerprints."""
     rnd = random.Random(12)
-    items = [rnd.choices([f"w{i}" for i in range(5000)], k=rnd.choice((24, 41, 60, 113))) for _ in range(60)]
+    items = [rnd.choices([f"w{i}" for i in range(5000)], k=rnd.choice((24, 41, 60, 113))) for _ in range(24)]
     docs, n = [], 0
     for t in items:
         for part in (0.2 / 1.8, 0.12, 0.07):
@@ -445,7 +445,7 @@ def test_decontamination_keeps_the_least_similar(spark):
             new = [f"n{rnd.randrange(10**6)}" for _ in range(r)]
             docs += [rnd.choices(t, k=3) + t[: len(t) - r] + new + ["tail"], t[:5] + t[5 + r :] if r else t]
     found = against_every_start(spark, [" ".join(t) for t in items], [" ".join(d) for d in docs])
-    assert sum(0.8 <= alike(" ".join(docs[i]), " ".join(items[j])) < 0.9 for i, j in found) > 100
+    assert sum(0.8 <= alike(" ".join(docs[i]), " ".join(items[j])) < 0.9 for i, j in found) > 40
 
 
 def test_decontamination_joins_long_lists(spark, monkeypatch):

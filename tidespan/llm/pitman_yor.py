@@ -17,6 +17,7 @@ add up to one.
 from __future__ import annotations
 
 import functools
+import operator
 import zlib
 
 import numpy as np
@@ -38,10 +39,18 @@ LOW = U64(blocks.LOW)
 EXACT = 64
 SCHEMA = S.StructType([S.StructField("__id", S.LongType()), S.StructField("n_tokens", S.LongType()), S.StructField("n_known", S.LongType()), S.StructField("base_score", S.DoubleType()), S.StructField("score", S.DoubleType())])
 #: One row for a range: its arrays and the sums named in ``SUMS``.
-STATE = S.StructType([S.StructField("p", S.IntegerType()), S.StructField("__block", S.IntegerType()), S.StructField("payload", S.BinaryType()), S.StructField("singles", S.BinaryType()), S.StructField("x", S.ArrayType(S.DoubleType()))])
+STATE = S.StructType([S.StructField("p", S.IntegerType()), S.StructField("__block", S.IntegerType()), S.StructField("payload", S.BinaryType()), S.StructField("dishes", S.BinaryType()), S.StructField("x", S.ArrayType(S.DoubleType()))])
 SUMS = ("tokens", "types", "c1", "c2", "ends", "hapax", "customers", "tables", "w1", "w2")
 
 
+_TAG = U64((1 << 40) - 1)
+_BYTES, _INTS, _REALS = np.zeros(0, np.uint8), np.zeros(0, np.uint32), np.zeros(0, np.float32)
+#: A range without words, dishes and restaurants: words, dishes of each, restaurants of the dishes, customers; means; restaurants, customers, tables.
+_NONE = [np.zeros(0, U64), _INTS, _INTS, _BYTES, _BYTES, _INTS, _REALS, _REALS, _REALS, _INTS, _BYTES, _BYTES, _INTS, _REALS]
+#: Passes over the documents in which they are scored, so that only a share of what blocks and ranges exchange is on disk at once.
+PASSES = 2
+
+
 @functools.lru_cache(4)
 def stirling(discount: float, most: int = EXACT) -> np.ndarray:
     """Logs of the generalised Stirling numbers S(c, t) for c, t <= ``most`` (the weight of all seatings of c customers at t tables)."""
@@ -151,22 +160,19 @@ def _tokens(table: pa.Table, modulus: int, held_out: int):
 
 
 def _merged(got: list) -> dict:
-    """Words and pairs of one range over all blocks; the same, in the same order, for the same requests."""
-    word = np.concatenate([g[0] for g in got])
-    order, begin = blocks.runs(word)
-    index = blocks.spread(np.arange(len(begin)), order, begin)
-    ends = np.cumsum([len(g[0]) for g in got])
-    each = np.concatenate([np.repeat(index[e - len(g[0]) : e], g[1]) for g, e in zip(got, ends)])
-    tag = np.concatenate([(g[2].astype(U64) << U64(8)) | g[3] for g in got])
-    count = np.concatenate([_counts(g[4], g[5]) for g in got])
-    if len(begin) < 1 << 24:
-        code, where = np.unique((each.astype(U64) << U64(40)) | tag, return_inverse=True)
-        w, tag = (code >> U64(40)).astype(np.int64), code & U64((1 << 40) - 1)
-    else:
-        code, where = np.unique(np.rec.fromarrays([each, tag]), return_inverse=True)
-        w, tag = code.f0.astype(np.int64), code.f1
-    c = np.bincount(where, count, len(w)).astype(np.int64)
-    return {"word": word[order[begin]], "index": index, "where": where, "w": w, "tag": tag, "c": c, "cw": np.bincount(w, c, len(begin)).astype(np.int64)}
+    """Words and pairs of one range over all blocks, with counts."""
+    word, index = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    code, where = np.unique(_codes(index, got), return_inverse=True)
+    w = (code >> U64(40)).astype(np.int64)
+    c = np.bincount(where, np.concatenate([_counts(g[4], g[5]) for g in got]), len(w)).astype(np.int64)
+    return {"word": word, "w": w, "tag": code & _TAG, "c": c, "cw": np.bincount(w, c, len(word)).astype(np.int64)}
+
+
+def _codes(index: np.ndarray, got: list) -> np.ndarray:
+    """Place of the word (in the order of the range's words) and restaurant of each pair that blocks ask for, in one number."""
+    if len(index) and index.max() >= 1 << 24:
+        raise OverflowError("a range has more than 16 million words: use more blocks")
+    return (np.repeat(index.astype(U64), np.concatenate([g[1] for g in got])) << U64(40)) | np.concatenate([_whole(g[2], g[3]) for g in got])
 
 
 def _small(count: np.ndarray) -> list[np.ndarray]:
@@ -180,6 +186,15 @@ def _counts(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return out
 
 
+def _halves(tag: np.ndarray) -> list[np.ndarray]:
+    """40 bits as 32 and 8."""
+    return [(tag >> U64(8)).astype(np.uint32), (tag & U64(255)).astype(np.uint8)]
+
+
+def _whole(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(U64) << U64(8)) | low
+
+
 def _first(p: int, got: list) -> dict:
     """The state of a range before the first sweep: each dish has one table."""
     m = _merged(got)
@@ -189,20 +204,19 @@ def _first(p: int, got: list) -> dict:
     alone = m["c"] == 1
     singles = np.bincount(m["w"][alone], minlength=len(m["cw"]))
     arrays = [m["word"][wide], singles[wide].astype(np.uint32), np.ones(len(wide), np.uint32), np.zeros(len(wide)), place[m["w"][live]].astype(np.uint32), m["tag"][live], m["c"][live].astype(np.uint32), np.ones(len(live), np.uint32), np.zeros(len(live))]
-    some = m["c"] > 0
-    tag, where = np.unique(m["tag"][some], return_inverse=True)
-    sums = [tag, np.bincount(where, m["c"][some], len(tag)).astype(np.uint32), np.bincount(where, alone[some], len(tag)).astype(np.uint32)]
+    some, known = m["c"] > 0, m["cw"] > 0
+    dishes = [m["word"][known], np.bincount(m["w"][some], minlength=len(known))[known].astype(np.uint32), *_halves(m["tag"][some]), *_small(m["c"][some])]
     ends = m["cw"][m["word"] == END].sum()
     x = [m["cw"].sum(), (m["cw"] > 0).sum(), alone.sum(), (m["c"] == 2).sum(), ends, (m["cw"] == 1).sum()]
-    return _row(p, arrays, blocks.pack(sums), x)
+    return _row(p, arrays, blocks.pack(dishes), x)
 
 
-def _row(p: int, arrays: list, singles: bytes | None, x: list) -> dict:
+def _row(p: int, arrays: list, dishes: bytes | None, x: list) -> dict:
     """A state row; the root's sums are counted from the arrays, words of one customer included."""
     hapax = x[5]
     tw = arrays[1].astype(np.int64) + np.bincount(arrays[4], arrays[7], len(arrays[0])).astype(np.int64)
     x = [*map(float, x[:6]), float(tw.sum() + hapax), float(arrays[2].sum() + hapax), float((tw == 1).sum() + hapax), float((tw == 2).sum())]
-    return {"p": p, "__block": p, "payload": blocks.pack(arrays), "singles": singles, "x": x}
+    return {"p": p, "__block": p, "payload": blocks.pack(arrays), "dishes": dishes, "x": x}
 
 
 def _sums(state: DataFrame) -> dict[str, float]:
@@ -213,8 +227,8 @@ def _sums(state: DataFrame) -> dict[str, float]:
 def _restaurants(table: pa.Table) -> pa.Table:
     """Customers and tables of dishes of one customer, of each restaurant of a range."""
     got = [g[2] for g in blocks.slices(table)]
-    tag, where = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-    sums = [np.bincount(where, np.concatenate([g[i] for g in got]), len(tag)) for i in (1, 2)]
+    tag, where = np.unique(np.concatenate([_whole(g[0], g[1]) for g in got]), return_inverse=True)
+    sums = [np.bincount(where, np.concatenate([_counts(g[i], g[i + 1]) for g in got]), len(tag)) for i in (2, 4)]
     return pa.table({"p": table.column("p").slice(0, 1), "payload": pa.array([blocks.pack([tag, *sums])], pa.binary())})
 
 
@@ -226,6 +240,14 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == wanted, values[i], 0.0)
 
 
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted keys are, ``len(keys)`` for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, i, len(keys))
+
+
 def _by_restaurant(table: pa.Table, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Restaurants of a range's live dishes, sums over them of one of its arrays, and where each dish's restaurant is."""
     arrays = blocks.unpack(table.column("payload")[0].as_py())
@@ -298,7 +320,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
     n = blocks.number(docs)
     dealt = blocks.dealt(docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")), "__id", n)
 
-    def emit(table):
+    def emit(table, counted=False):
         word, _, _, pair, _, count, _, _ = _tokens(table, modulus, held_out)
         at = np.searchsorted(pair, np.arange(len(word) + 1) * len(word))
         tag = (word >> LOW)[pair % len(word)]
@@ -306,24 +328,28 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
 
         def cut(a, b):
             x = slice(at[a], at[b])
-            return [word[a:b], sizes[a:b], (tag[x] >> U64(8)).astype(np.uint32), (tag[x] & U64(255)).astype(np.uint8), *_small(count[x])]
+            return [word[a:b], sizes[a:b], *_halves(tag[x]), *(_small(count[x]) if counted else ())]
 
         return word, cut
 
     def first(table: pa.Table) -> pa.Table:
         return _state_table([_first(table.column("p")[0].as_py(), [g[2] for g in blocks.slices(table)])])
 
-    state = common.materialize(blocks.requests(dealt, n, emit).groupBy("p").applyInArrow(first, STATE), "seating")
+    state = begun = common.materialize(blocks.requests(dealt, n, functools.partial(emit, counted=True)).groupBy("p").applyInArrow(first, STATE), "seating")
     common.release(docs.sparkSession)
 
     def emit_singles(table):
-        tag, c, t = blocks.unpack(table.column("singles")[0].as_py())
-        return tag << LOW, lambda a, b: [tag[a:b], c[a:b], t[a:b]]
+        _, _, high, low, small, large = blocks.unpack(table.column("dishes")[0].as_py())
+        count = _counts(small, large)
+        tag, where = np.unique(_whole(high, low), return_inverse=True)
+        c, t = (np.bincount(where, x, len(tag)).astype(np.int64) for x in (count, count == 1))
+        return tag << LOW, lambda a, b: [*_halves(tag[a:b]), *_small(c[a:b]), *_small(t[a:b])]
 
     side = common.materialize(blocks.requests(state, n, emit_singles).groupBy("p").applyInArrow(_restaurants, "p int, payload binary"), "restaurants")
     for k in range(sweeps):
         after = common.materialize(_sweep(state, side, n, k, k >= sweeps - keep, strengths, seed), "seating")
-        common.discard(state)
+        if state is not begun:
+            common.discard(state)
         state = after
     g = _sums(state)
     d1, d0, u = discount_of(g["c1"], g["c2"]), discount_of(g["w1"], g["w2"]), 1.0 / (g["types"] + 1)
@@ -336,10 +362,11 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
         tw = singles + np.bincount(at, t, len(word))
         s = np.minimum(s_sum / keep, tw)
         x = table.column("x")[0].as_py()
-        return pa.table({"p": table.column("p"), "__block": table.column("p"), "payload": pa.array([blocks.pack([word, tw, s, np.zeros(0), at, tag, c, t])], pa.binary()), "singles": pa.nulls(1, pa.binary()), "x": pa.array([[tw.sum() + x[5], s.sum() + x[5]]], pa.list_(pa.float64()))}).cast(arrow_schema(STATE))
+        return pa.table({"p": table.column("p"), "__block": table.column("p"), "payload": pa.array([blocks.pack([word, tw, s, np.zeros(0), at, tag, c, t])], pa.binary()), "dishes": pa.nulls(1, pa.binary()), "x": pa.array([[tw.sum() + x[5], s.sum() + x[5]]], pa.list_(pa.float64()))}).cast(arrow_schema(STATE))
 
     mean = common.materialize(state.groupBy("p").applyInArrow(lambda table: means(table), STATE), "seating")
-    common.discard(state)
+    if state is not begun:
+        common.discard(state)
     row = mean.agg(F.sum(F.col("x")[0]).alias("c"), F.sum(F.col("x")[1]).alias("t")).first()
     customers, tables = row.c or 0.0, row.t or 0.0
     root = lambda tw, s: (tw - d0 * s + (strengths[0] + d0 * tables) * u) / (strengths[0] + customers)
@@ -350,28 +377,35 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
         t = t.copy()
         for _, _, (x, sums) in blocks.slices(table) if table.num_rows else []:
             t[np.searchsorted(tag, x)] += sums
-        return pa.table({"p": pa.array([(table if table.num_rows else other).column("p")[0].as_py()], pa.int32()), "kind": pa.array([1], pa.int32()), "payload": pa.array([blocks.pack([tag, c, t])], pa.binary())})
+        return pa.table({"p": pa.array([(table if table.num_rows else other).column("p")[0].as_py()], pa.int32()), "kind": pa.array([1], pa.int32()), "payload": pa.array([blocks.pack([*_halves(tag), *_small(c.astype(np.int64)), t.astype(np.float32)])], pa.binary())})
 
     asked = blocks.requests(mean, n, _asks(7))
     settled = asked.groupBy("p").cogroup(side.groupBy("p")).applyInArrow(settle, "p int, kind int, payload binary")
-    model = common.materialize(settled.unionByName(mean.select("p", F.lit(0).alias("kind"), "payload")).groupBy("p").applyInArrow(lambda table: _joined(table), "p int, payload binary"), "model")
-    common.discard(mean)
-    common.discard(side)
+    model = common.materialize(settled.unionByName(mean.select("p", F.lit(0).alias("kind"), "payload")).unionByName(begun.select("p", F.lit(2).alias("kind"), F.col("dishes").alias("payload"))).groupBy("p").applyInArrow(lambda table: _joined(table), "p int, payload binary"), "model")
+    for x in (mean, side, begun):
+        common.discard(x)
     common.release(docs.sparkSession)
 
     def answer(_, got, owned):
-        m = _merged(got)
-        word, tw, s, _, _, _, _, t, tag, c_u, t_u = owned or [np.zeros(0, U64)] * 11
-        a = np.maximum(m["c"] - d1 * (m["c"] > 0), 0)
-        live = np.flatnonzero(m["c"] > 1)
-        a[live] = m["c"][live] - d1 * t
-        p1 = np.where(m["cw"] > 0, root(1.0, 1.0), root(0.0, 0.0))
-        p1[np.flatnonzero(m["cw"] > 1)] = root(tw, s)
-        own = m["word"] >> LOW
-        more = [m["cw"].astype(np.uint32), p1.astype(np.float32), _at(tag, t_u, own).astype(np.float32), (_at(tag, c_u, own) - m["cw"]).astype(np.int32)]
-        sizes = [len(x[0]) for x in got]
-        parts = [blocks.split(x[m["index"]], sizes) for x in more]
-        return [[x, *y] for x, *y in zip(blocks.split(a.astype(np.float32)[m["where"]], [len(x[2]) for x in got]), *parts)]
+        word, sizes, high, low, small, large, tw, s, t, *owned = owned or _NONE
+        tag, c_u, t_u = _whole(owned[0], owned[1]), _counts(owned[2], owned[3]), owned[4]
+        # What each of the range's words and dishes is worth, the last of either for those never learnt.
+        c = _counts(small, large)
+        of = np.repeat(np.arange(len(word)), sizes)
+        cw = np.append(np.bincount(of, c, len(word)).astype(np.int64), 0)
+        p1 = np.append(np.full(len(word), root(1.0, 1.0)), root(0.0, 0.0))
+        p1[np.flatnonzero(cw > 1)] = root(tw, s)
+        a = np.append(c - d1, 0.0)
+        live = np.flatnonzero(c > 1)
+        a[live] = c[live] - d1 * t
+        code = (of.astype(U64) << U64(40)) | _whole(high, low)
+        asked = np.concatenate([x[0] for x in got])
+        at = _place(word, asked)
+        pairs = _place(code, _codes(at, got))
+        own = asked >> LOW
+        more = [cw[at].astype(np.uint32), p1[at].astype(np.float32), _at(tag, t_u, own).astype(np.float32), (_at(tag, c_u, own) - cw[at]).astype(np.int32)]
+        parts = [blocks.split(x, [len(x[0]) for x in got]) for x in more]
+        return [[x, *y] for x, *y in zip(blocks.split(a[pairs].astype(np.float32), [len(x[2]) for x in got]), *parts)]
 
     def then(table, replies):
         word, w, before, pair, where, _, doc, rows = _tokens(table, modulus, held_out)
@@ -384,16 +418,23 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
         total = lambda v: np.bincount(doc, v, rows)
         return pa.table([table.column("__id"), pa.array(total(np.ones(len(doc))).astype(np.int64)), pa.array(total(c > 0).astype(np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)[where]))], names=SCHEMA.names)
 
-    out = blocks.finish(dealt, blocks.replies(blocks.requests(dealt, n, emit), n, answer, model), or_empty(then, SCHEMA), SCHEMA)
+    out = None
+    for i in range(PASSES):
+        some = dealt.where(F.col("__block") % PASSES == i)
+        part = common.materialize(blocks.finish(some, blocks.replies(blocks.requests(some, n, emit), n, answer, model), or_empty(then, SCHEMA), SCHEMA), "scores")
+        common.release(docs.sparkSession)
+        out = part if out is None else out.union(part)
+    common.discard(model)
     return out.select(F.col("__id").alias(doc_id), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _joined(table: pa.Table) -> pa.Table:
     """The arrays of a range's words and dishes, then those of its restaurants."""
     by = dict(zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()))
-    dishes = blocks.unpack(by[0]) if 0 in by else [np.zeros(0, U64)] * 8
-    owned = blocks.unpack(by[1]) if 1 in by else [np.zeros(0, U64)] * 3
-    return pa.table({"p": table.column("p").slice(0, 1), "payload": pa.array([blocks.pack([*dishes, *owned])], pa.binary())})
+    dishes = blocks.unpack(by[2]) if 2 in by else _NONE[:6]
+    mean = [x.astype(np.float32) for x in operator.itemgetter(1, 2, 7)(blocks.unpack(by[0]))] if 0 in by else _NONE[6:9]
+    owned = blocks.unpack(by[1]) if 1 in by else _NONE[9:]
+    return pa.table({"p": table.column("p").slice(0, 1), "payload": pa.array([blocks.pack([*dishes, *mean, *owned])], pa.binary())})
 
 
 def perplexity(scored: DataFrame, column: str = "score") -> DataFrame:
