@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 
 @functools.lru_cache(2)
 def ranks_encoding(path: str, pattern: str):
@@ -44,8 +46,10 @@ def totals(histogram: DataFrame) -> DataFrame:
     Columns: n_tokens, n_docs, docs_longer (strictly), tokens_longer, docs_to (this length and below), tokens_to,
     tokens_if_cut (sum of min(length, n_tokens)), quantile (docs_to / all documents).  All sums are integers.  For a limit
     between two lengths, ``at_limit`` gives the same figures.  The running sums go over distinct lengths, not documents: ranges of
-    lengths are summed first and only their totals (256 rows) meet in one task.
+    lengths are summed first and only their totals (as many rows as the square root of the greatest length) meet in one task.  The histogram is used twice and
+    written first (as many rows as there are lengths), so that no document is encoded twice.
     """
+    histogram = common.materialize(histogram.select("n_tokens", "n_docs"), "lengths")
     h = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("w"), F.floor(F.sqrt("n_tokens")).cast("long").alias("band"))
     bands = h.groupBy("band").agg(F.sum("n_docs").alias("bd"), F.sum("w").alias("bw"))
     # Lengths between k*k and (k+1)**2 are one band, so there are few bands even where single texts are huge.
