@@ -180,3 +180,123 @@ def test_kernel_is_the_set_kernel():
 
 def test_features_of_empty_texts():
     assert not quality_gam.features(pa.array(["", None, " \n"])).any()
+
+
+def test_automaton_against_a_naive_scan():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdei", k=rnd.randrange(3, 9))) for _ in range(60)]
+    weights = {toxicity.fold(w) if i % 3 == 0 else f" {toxicity.fold(w).strip()[:4]}": 0.1 + rnd.random() for i, w in enumerate(words[:25])}
+    lexicon = toxicity.Lexicon(weights, exceptions=tuple(f"{a} {b}" for a, b in zip(words[:12], words[30:])))
+    some = 0
+    for _ in range(300):
+        text = rnd.choice((" ", ", ", "\n")).join(rnd.choices(words, k=rnd.randrange(0, 40)))
+        t = toxicity.fold(text)
+        total = 0.0
+        spans = [(i, i + len(p)) for e in lexicon.exceptions for p in [toxicity.fold(e)] for i in range(len(t)) if t.startswith(p, i)]
+        for i in range(len(t)):
+            found = [w for p, w in weights.items() if t.startswith(p, i)]
+            if found and not any(a <= i < b - 1 for a, b in spans):
+                total += max(found)
+        got = lexicon.features(text)
+        assert got == (pytest.approx(total), pytest.approx(100 * total / len(t)))
+        some += total > 0
+    assert some > 100
+
+
+def test_learnt_exceptions(spark):
+    """A word that is toxic but for one phrase: the phrase is learnt as an exception."""
+    rnd = random.Random(5)
+    plain = [f"plain{i}" for i in range(50)]
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows, labels = [], []
+    for n, i in enumerate(ids[:1600]):
+        w = rnd.choices(plain, k=20)
+        if n % 2:
+            w[5:6] = ["wretched", rnd.choice(plain)]
+        elif n % 80 == 0:
+            w[5:6] = ["wretched", "excess"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, n % 2))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), min_docs=8)
+    assert lexicon.score("a wretched plain1") > 0.5 > lexicon.score("a wretched excess") and toxicity.fold("wretched excess").strip() in lexicon.exceptions
+
+
+def test_ridge_is_the_exact_kernel_ridge():
+    """With every document a landmark, scores are those of kernel ridge regression with all pairwise kernels of n-gram sets."""
+    rnd = random.Random(4)
+    alphabets = {"x": "abcde ", "y": "cdefg ", "z": "efghi "}
+    texts, langs = zip(*(("".join(rnd.choices(alphabets[k], k=rnd.randrange(20, 60))) + "a", k) for k in list("xyz") * 12))
+    model = language_id.train(list(texts), list(langs), landmarks=99, ridge=0.05)
+    held = ["".join(rnd.choices(a, k=30)) + "a" for a in alphabets.values()]
+    sets = [set(language_id.slots(t).tolist()) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.where(np.array(langs)[:, None] == np.array(model.langs)[None, :], 1.0, -1.0)
+    n, w = len(texts), np.full(len(texts), 1.0)
+    penalty = 0.05 * n / 3
+    one = np.ones((n, 1))
+    system = np.block([[k @ (w[:, None] * k) + penalty * k, k @ (w[:, None] * one)], [(w[:, None] * one).T @ k, np.array([[w.sum()]])]])
+    solved = np.linalg.lstsq(system, np.vstack([k @ (w[:, None] * y), (w[:, None] * y).sum(0, keepdims=True)]), rcond=None)[0]
+    new = np.array([[kernel(set(language_id.slots(t).tolist()), b) for b in sets] for t in held])
+    want = new @ solved[:-1] + solved[-1]
+    got = model.kernel([language_id.presence(t) for t in held]) @ model.mapping @ model.weights + model.offset
+    assert got == pytest.approx(want, abs=5e-3)
+
+
+def test_more_languages_than_landmarks(spark):
+    """Each of 120 languages can be predicted, and more than the stated bound are an error."""
+    names = [f"l{i:03d}" for i in range(120)]
+    word = lambda i: "".join("abcdefghijk"[int(c)] for c in f"{i * 7919 % 99991:05d}")
+    rows = [(j * 1000 + i, f"{word(i)} {word(i + 500)} {word(i)}", n) for i, n in enumerate(names) for j in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d)
+    got, _ = model.predict([f"{word(i)} {word(i + 500)}" for i in range(120)])
+    assert set(model.langs) == set(names) and sum(a == b for a, b in zip(got, names)) > 110
+    with pytest.raises(ValueError):
+        language_id.fit(d, max_langs=100)
+
+
+def test_trees_against_all_cuts():
+    rnd = np.random.default_rng(1)
+    for _ in range(40):
+        g, h = rnd.standard_normal(9), rnd.random(9) + 0.1
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 3.0)
+        first = max(range(1, 9), key=lambda k: gain(0, k) + gain(k, 9))
+        more = [(gain(0, k) + gain(k, first) - gain(0, first), k) for k in range(1, first)] + [(gain(first, k) + gain(k, 9) - gain(first, 9), k) for k in range(first + 1, 9)]
+        best = max(more)
+        cuts = sorted({0, first, 9} | ({best[1]} if best[0] > 1e-9 else set()))
+        want = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 3.0)) for a, b in zip(cuts, cuts[1:])])
+        assert quality_gam._tree(g, h, 3.0) == pytest.approx(want)
+        g2, h2 = rnd.standard_normal((4, 5)), rnd.random((4, 5)) + 0.1
+        parts = lambda i, j: [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, 5)), (slice(i, 4), slice(0, j)), (slice(i, 4), slice(j, 5))]
+        worth = lambda i, j: sum(g2[s].sum() ** 2 / (h2[s].sum() + 3.0) for s in parts(i, j))
+        i, j = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda x: worth(*x))
+        value, table = quality_gam._square(g2, h2, 3.0)
+        assert value == pytest.approx(worth(i, j) - g2.sum() ** 2 / (h2.sum() + 3.0))
+        for s in parts(i, j):
+            assert table[s] == pytest.approx(np.full_like(table[s], g2[s].sum() / (h2[s].sum() + 3.0)))
+
+
+def test_scores_are_sums_of_bins():
+    rnd = np.random.default_rng(6)
+    x = np.round(rnd.random((500, len(quality_gam.NAMES))), 2)
+    m = quality_gam.train(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=8)
+    for row, s in zip(x[:60], m.score(x[:60])):
+        at = [sum(e <= v for e in edge) for v, edge in zip(row, m.edges)]
+        z = m.bias + sum(t[b] for t, b in zip(m.tables, at)) + sum(t[at[f], at[g]] for (f, g), t in zip(m.pairs, m.pair_tables))
+        assert s == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_control_pieces_are_not_read_from_texts(tmp_path):
+    spm = pytest.importorskip("sentencepiece")
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("▁", -3, 1), ("<", -5, 1), ("s", -4, 1), (">", -5, 1)]
+    body = [(1, 2, message((1, 2, p.encode()), (2, 5, np.float32(s).tobytes()), (3, 0, k))) for p, s, k in pieces]
+    raw = message(*body, (2, 2, bytes([3 << 3, 1])), (3, 2, message((1, 2, b"identity"), (3, 0, 1), (4, 0, 0), (5, 0, 1))))
+    (tmp_path / "c.model").write_bytes(raw)
+    other = spm.SentencePieceProcessor(model_file=str(tmp_path / "c.model"))
+    c = sp.Codec(raw)
+    for t in ("<s>", "s <s> s", "<<s>>"):
+        assert c.encode([t])[0] == other.encode(t)
+        assert 1 not in c.encode([t])[0]
+    with pytest.raises(ValueError):
+        sp.Codec(message((1, 2, message((1, 2, b"<unk>"), (3, 0, 2))), (1, 2, message((1, 2, b"own"), (3, 0, 4))), (2, 2, bytes([3 << 3, 1]))))

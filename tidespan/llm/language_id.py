@@ -36,6 +36,18 @@ def presence(text: str) -> np.ndarray:
     return seen
 
 
+def slots(text: str) -> np.ndarray:
+    """The numbers of those slots: a few bytes for each n-gram, and 512 KB at most."""
+    return np.flatnonzero(presence(text)).astype(np.uint32)
+
+
+def _dense(rows: list[np.ndarray]) -> list[np.ndarray]:
+    out = np.zeros((len(rows), WIDTH), bool)
+    for i, x in enumerate(rows):
+        out[i, x] = True
+    return list(out)
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text[:64])) or text is not None and any(map(str.isalpha, text))
 
@@ -45,7 +57,7 @@ class Model:
     """Landmarks as columns over the slots that they use, the Nystroem map and one weight column per language."""
 
     langs: list[str]
-    slots: np.ndarray
+    used: np.ndarray
     landmarks: np.ndarray
     norms: np.ndarray
     mapping: np.ndarray
@@ -55,7 +67,7 @@ class Model:
 
     def kernel(self, seen: list[np.ndarray]) -> np.ndarray:
         """Normalised presence kernel with each landmark: shared slots over the geometric mean of both counts."""
-        x = np.stack([s[self.slots] for s in seen]).astype(np.float32)
+        x = np.stack([s[self.used] for s in seen]).astype(np.float32)
         n = np.sqrt(np.array([max(1, np.count_nonzero(s)) for s in seen], np.float32))
         return (x @ self.landmarks) / (n[:, None] * self.norms[None, :])
 
@@ -74,23 +86,27 @@ class Model:
 
 
 def train(texts: list[str], langs: list[str], landmarks: int = 96, ridge: float = 1e-2) -> Model:
-    """Landmarks are taken in turn from each language; then one-versus-rest kernel ridge regression in the Nystroem space."""
+    """``train_slots`` on texts."""
+    return train_slots([slots(t) for t in texts], langs, landmarks, ridge)
+
+
+def train_slots(seen: list[np.ndarray], langs: list[str], landmarks: int = 96, ridge: float = 1e-2) -> Model:
+    """Landmarks (one of each language at least) are taken in turn from each language; then one-versus-rest kernel ridge regression in the Nystroem space."""
     names = sorted(set(langs))
     if not names:
         z = np.zeros((0, 0), np.float32)
         return Model([], np.zeros(0, int), z, np.zeros(0, np.float32), z, z, np.zeros(0, np.float32))
-    seen = [presence(t) for t in texts]
     order, by = [], {n: [i for i, x in enumerate(langs) if x == n] for n in names}
     for k in range(max(map(len, by.values()))):
         order += [by[n][k] for n in names if k < len(by[n])]
-    chosen = order[:landmarks]
-    marks = np.stack([seen[i] for i in chosen])
-    slots = np.flatnonzero(marks.any(0))
-    m = Model(names, slots, np.ascontiguousarray(marks[:, slots].T.astype(np.float32)), np.sqrt(np.maximum(1, marks.sum(1))).astype(np.float32), np.eye(len(chosen), dtype=np.float32), np.zeros((len(chosen), len(names)), np.float32), np.zeros(len(names), np.float32))
-    value, vector = np.linalg.eigh(m.kernel([seen[i] for i in chosen]).astype(float))
+    chosen = order[: max(landmarks, len(names))]
+    marks = np.stack(_dense([seen[i] for i in chosen]))
+    used = np.flatnonzero(marks.any(0))
+    m = Model(names, used, np.ascontiguousarray(marks[:, used].T.astype(np.float32)), np.sqrt(np.maximum(1, marks.sum(1))).astype(np.float32), np.eye(len(chosen), dtype=np.float32), np.zeros((len(chosen), len(names)), np.float32), np.zeros(len(names), np.float32))
+    value, vector = np.linalg.eigh(m.kernel(list(marks)).astype(float))
     good = value > 1e-6 * value.max()
     m.mapping = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
-    k = np.concatenate([m.kernel(seen[i : i + 256]) for i in range(0, len(seen), 256)]).astype(float) @ m.mapping
+    k = np.concatenate([m.kernel(_dense(seen[i : i + 256])) for i in range(0, len(seen), 256)]).astype(float) @ m.mapping
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     count = np.array([langs.count(x) for x in langs], float)
     w = (len(langs) / len(names) / count)[:, None]
@@ -102,20 +118,24 @@ def train(texts: list[str], langs: list[str], landmarks: int = 96, ridge: float
     return m
 
 
-def fit(docs: DataFrame, per_lang: int = 250, max_langs: int = 200, modulus: int = 3, held_out: int = 1, **options) -> Model:
+def fit(docs: DataFrame, per_lang: int = 250, max_langs: int = 1000, modulus: int = 3, held_out: int = 1, **options) -> Model:
     """Learn from the text and non-null lang of documents whose crc32 remainder is not ``held_out``.
 
-    Bound: ``per_lang`` documents of each language, the first by a hash of the id, of the ``max_langs`` most frequent languages; documents without a
-    letter are not used.  Which documents these are is settled on ids alone, so no language is gathered in one task.
+    Bound: ``per_lang`` documents of each language, the first by a hash of the id; more than ``max_langs`` languages are an error, none is left out.  Documents without a
+    letter are not used.  Which documents these are is settled on ids alone, so no language is gathered in one task; n-gram slots of those
+    documents reach the driver, not their texts, so a very long one counts for 512 KB at most.  Ids are read as long.
     """
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out) & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages: raise max_langs, or clean the labels")
+    if not counts:
+        return train([], [])
     # Twice the documents wanted of each language by a range of the hash (and some more, so that chance leaves enough); then the first of those.
     spot, space = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), 1 << 40
-    cond = F.lit(False)
-    for r in counts:
-        cond = cond | ((F.col("lang") == r.lang) & (spot < min(space, space * (2 * per_lang + 100) // r.n)))
-    ids = sorted((r.lang, r.spot, r.doc_id) for r in rows.where(cond).select("lang", spot.alias("spot"), "doc_id").collect())
+    bounds = docs.sparkSession.createDataFrame([(r.lang, min(space, space * (2 * per_lang + 100) // r.n)) for r in counts], "lang string, bound long")
+    near = rows.join(F.broadcast(bounds), "lang").where(spot < F.col("bound"))  # max_langs rows
+    ids = sorted((r.lang, r.spot, r.doc_id) for r in near.select("lang", spot.alias("spot"), "doc_id").collect())
     taken, seen = [], {}
     for lang, _, doc_id in ids:
         seen[lang] = seen.get(lang, 0) + 1
@@ -124,9 +144,14 @@ def fit(docs: DataFrame, per_lang: int = 250, max_langs: int = 200, modulus: int
     if not taken:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(sorted(set(taken)), "lang string, doc_id long")
-    got = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", "text").collect()
-    kept = [(r[2], r[0]) for r in sorted(map(tuple, got))]
-    return train([t for t, _ in kept], [x for _, x in kept], **options)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([slots(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["lang", "doc_id", "slots"])
+
+    texts = rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", "text")
+    kept = sorted((r.lang, r.doc_id, bytes(r.slots)) for r in texts.mapInArrow(run, "lang string, doc_id long, slots binary").collect())
+    return train_slots([np.frombuffer(x, np.uint32) for _, _, x in kept], [x for x, _, _ in kept], **options)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -160,7 +160,7 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60, pairs:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, modulus: int = 5, held_out: int = 0) -> Model:
     """Learn from at most ``sample`` labelled documents (the first by a hash of the id) whose crc32 remainder is not ``held_out``.
 
-    Rows with a null id or label are not used.  Features are computed on the executors; only they reach the driver.
+    Rows with a null id or label are not used; of several labels of one id the least counts.  Features are computed on the executors; only they reach the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()

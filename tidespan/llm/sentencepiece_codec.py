@@ -91,9 +91,12 @@ class Codec:
         if m["type"] not in (UNIGRAM, BPE) or m["suffix"] or not m["escape"]:
             raise ValueError("only unigram and BPE models with an escaped leading marker are supported")
         pieces = m["pieces"]
+        if odd := [p for p, _, kind in pieces if kind in (USER, UNUSED)]:
+            raise ValueError(f"user-defined and unused pieces are not supported: {odd[:3]}")
         self.unk_id = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         if m["type"] == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in pieces], unk_id=self.unk_id, byte_fallback=m["byte_fallback"])
+            # A control piece is never the reading of a text: here it is named by code points that no text may hold.
+            model = models.Unigram([(f"\ufdd0{i}\ufdd1" if kind == CONTROL else p, s) for i, (p, s, kind) in enumerate(pieces)], unk_id=self.unk_id, byte_fallback=m["byte_fallback"])
         else:
             vocab = {p: i for i, (p, _, _) in enumerate(pieces)}
             model = models.BPE(vocab, self._merges(), unk_token=pieces[self.unk_id][0], fuse_unk=True, byte_fallback=m["byte_fallback"])

@@ -78,6 +78,19 @@ class Lexicon:
         total = sum(best.values())
         return total, 100.0 * total / len(t)
 
+    def neighbours(self, text: str | None) -> set[str]:
+        """Pairs of words of which the lexicon matches in one (folded)."""
+        words, out = fold(text).split(), set()
+        hit = [self._matches(w) for w in words]
+        for i in range(len(words) - 1):
+            if hit[i] or hit[i + 1]:
+                out.add(f"{words[i]} {words[i + 1]}")
+        return out
+
+    def _matches(self, word: str) -> bool:
+        whole, most = f" {word} ", max(map(len, self.weights), default=0)
+        return any(whole[:n] in self.weights for n in range(1, min(most, len(whole)) + 1))
+
     def score(self, text: str | None) -> float:
         total, density = self.features(text)
         b0, b1, b2 = self.coefficients
@@ -107,14 +120,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int = 12, precision: float = 0.97, shortest: int = 4, longest: int = 9, modulus: int = 4, held_out: int = 2) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int = 12, precision: float = 0.97, shortest: int = 4, longest: int = 9, modulus: int = 4, held_out: int = 2, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn lexicon and weights from labelled documents whose crc32 remainder is not ``held_out``.
 
     At most ``sample`` documents of each label (the first by a hash of the id) are read for it: that is the documented bound.  A
     pattern is kept if at least ``min_docs`` toxic documents hold it and, after weighing the two samples alike, it is toxic with at least
     ``precision``; a word start makes its longer forms needless.  Its weight is its smoothed log odds.  Pattern counts are
-    summed per task before they are shuffled, and only kept ones reach the driver (all of them; the sample bounds their number).  Rows with a null id or label are not used; with no toxic label, the
-    lexicon is empty and every score low.
+    summed per task before they are shuffled, and only kept ones reach the driver (all of them; the sample bounds their number).  Rows with a null id or label are not used, a document
+    with several labels is toxic if one of them says so; with no toxic label, the lexicon is empty and every score low.
+
+    ``exceptions`` are phrases in which a pattern is harmless; to these come learnt ones: a matched word with the word after or before it, if at least ``min_docs`` clean
+    documents hold it and, weighed alike, it is clean with at least ``precision``.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rates = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -142,7 +158,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int =
         stem = r.p.rstrip()
         if not any(stem[:k] in chosen for k in range(shortest, len(stem) + 1)):
             chosen[r.p] = math.log((r.toxic + 0.5) / (ratio * r.clean + 0.5)) / 4
-    lexicon = Lexicon(chosen)
+    lexicon = Lexicon(chosen, tuple(exceptions))
+
+    def phrases(batches):
+        seen = (Counter(), Counter())
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[toxic].update(lexicon.neighbours(text))
+        names = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[t][k] for k in names], pa.int64()) for t in (0, 1))], names=["p", "clean", "toxic"])
+
+    met = rows.mapInArrow(phrases, "p string, clean long, toxic long").groupBy("p").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    harmless = met.where((F.col("clean") >= min_docs) & (ratio * F.col("clean") >= precision * (F.col("toxic") + ratio * F.col("clean")))).collect()  # bounded by the sample
+    lexicon = Lexicon(chosen, (*exceptions, *sorted(r.p for r in harmless)))
 
     def measure(batches):
         for b in batches:
