@@ -6,12 +6,13 @@
 3. Regions: ordered by (frequency, hash), a set of n shingles and any set within the distance share one of its first n - ceil(t*n) + 1 shingles.
    These are the virtual pivots that document lies near to: it is replicated to each such region (a document at distance 1 of all
    document pivots has no other Voronoi cell).  Regions with the same members are one.
-4. Regions join recursively: documents of a region are taken as pivots, every member's exact distance to them is found, and its home is
-   the nearest.  Members within the distance are linked to their pivot.  A linked member x leaves if, by the triangle
-   inequality, no member that its pivot does not reach can be near it: d(x, p) + eps < d(y, p) for all those y.  Pivots
-   leave too; the rest is the next round's region.  A region ends when what is left of it is one component, and no link between
-   components is lost.
-5. Components of the links, grown by connected components over distributed edges.
+4. A region of up to ``LEAF`` members is joined in one task: some members are pivots, every member's exact distance to them is found, and its home
+   is the cell of the nearest.  A member goes into another cell too if, by the triangle inequality, a member at home there can be within the
+   distance: d(x, q) <= d(x, home) + 2 eps.  Pairs of a cell that aren't yet in one component are compared exactly.
+5. A larger region first loses members in rounds over Spark: pivots, exact distances, links.  A linked member x leaves if, by the triangle
+   inequality, no member that its pivot does not reach can be near it: d(x, p) + eps < d(y, p) for all those y.  Pivots leave too; what is
+   left goes to 4 as soon as it is small enough, and ends when it is one component.  No link between components is lost.
+6. Components of the links between points, grown over distributed edges; copies take the component of their point.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ from pyspark.sql import types as S
 from . import blocks, common
 from . import text as T
 
+#: Members of a region that is joined in one task.
+LEAF = 1024
+#: Members of the regions that one task joins, about.
+BIN = 4096
+#: Parts of a group of equal sets, so that none is gathered in one task.
+SALTS = 1024
 _BASE = S.StructType([S.StructField("id", S.LongType()), S.StructField("n", S.IntegerType()), S.StructField("sig", S.LongType()), S.StructField("sig2", S.LongType()), S.StructField("alone", S.IntegerType()), S.StructField("anchors", S.ArrayType(S.LongType())), S.StructField("common", S.ArrayType(S.LongType()))])
 
 
@@ -95,12 +102,95 @@ def _tops(ranked: DataFrame, by, few: int) -> DataFrame:
     return part.groupBy("region").agg(F.slice(F.array_sort(F.flatten(F.collect_list("o"))), 1, few).alias("o")).select("region", F.explode("o.pivot").alias("pivot"))
 
 
-def links(base: DataFrame, percent: int, max_rounds: int = 10_000) -> list[DataFrame]:
-    """(a, b) links whose components are those of all pairs at least ``percent`` alike: copies to their point, then members to pivots."""
-    spark = base.sparkSession
+def _root(parent: np.ndarray, i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def _join_region(size: np.ndarray, flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """The first member of each member's component; ``flat[at[i]:at[i+1]]``: numbers of the shingles of member i, of ``size[i]`` in all."""
+    m, eps = len(size), 1 - percent / 100
+    parent = np.arange(m)
+    mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+
+    def distances(i: int, others: np.ndarray | None = None):
+        """Distance of i to the others (all: None), and which are linked."""
+        mark[flat[at[i] : at[i + 1]]] = True
+        if others is None:
+            c = np.concatenate([[0], np.cumsum(mark[flat])])
+            both, n = c[at[1:]] - c[at[:-1]], size
+        else:
+            both, n = np.array([np.count_nonzero(mark[flat[at[j] : at[j + 1]]]) for j in others]), size[others]
+        mark[flat[at[i] : at[i + 1]]] = False
+        union = n + size[i] - both
+        return 1 - both / union, 100 * both >= percent * union
+
+    def join(i: int, others) -> None:
+        for j in others:
+            x, y = sorted((_root(parent, i), _root(parent, int(j))))
+            parent[y] = x
+
+    pivots = np.unique(np.linspace(0, m - 1, max(1, int(np.ceil(np.sqrt(m))))).astype(int))
+    d = np.empty((m, len(pivots)))
+    for k, i in enumerate(pivots):
+        d[:, k], linked = distances(i)
+        join(i, np.flatnonzero(linked))
+    home = d.argmin(1)
+    least = d[np.arange(m), home]
+    for k in range(len(pivots)):
+        cell = np.flatnonzero(d[:, k] <= least + 2 * eps + 1e-9)
+        for x in cell[home[cell] == k].tolist():
+            roots = np.array([_root(parent, int(y)) for y in cell])
+            others = cell[roots != _root(parent, x)]
+            # What the pivots' distances rule out needs no look.
+            others = others[(np.abs(d[others] - d[x]) <= eps + 1e-9).all(1)] if len(others) else others
+            if len(others):
+                join(x, others[distances(x, others)[1]])
+    return np.array([_root(parent, i) for i in range(m)])
+
+
+def _join_bin(table: pa.Table, percent: int) -> pa.Table:
+    """(a, b) links that hold the components of each of a bin's regions together."""
+    region, ids, size = (table.column(c).to_numpy() for c in ("region", "id", "n"))
+    shingles = table.column("common").combine_chunks()
+    shingles = shingles.chunk(0) if isinstance(shingles, pa.ChunkedArray) else shingles
+    length = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(length)])
+    value = shingles.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, region))
+    edge = np.flatnonzero(np.concatenate([[True], region[order][1:] != region[order][:-1], [True]]))
+    a, b = [], []
+    for i, j in zip(edge[:-1], edge[1:]):
+        rows = order[i:j]
+        flat = np.unique(np.concatenate([value[start[r] : start[r + 1]] for r in rows]), return_inverse=True)[1]
+        root = _join_region(size[rows].astype(np.int64), flat, np.concatenate([[0], np.cumsum(length[rows])]), percent)
+        a.append(ids[rows])
+        b.append(ids[rows][root])
+    a, b = (np.concatenate(x) for x in (a, b))
+    return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
+
+
+def copies(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, ids): ids of equal sets, in parts that a hash deals out; and (n, sig, sig2, rep, part): the least id of each set, for each of its parts."""
+    full = base.where("n > 0 and id is not null")
+    some = full.groupBy("n", "sig", "sig2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.min("id").alias("part"), F.collect_set("id").alias("ids"))
+    some = common.materialize(some.select("n", "sig", "sig2", "part", "ids"), "copies")
+    rep = some.groupBy("n", "sig", "sig2").agg(F.min("part").alias("rep"), F.collect_set("part").alias("parts"))  # SALTS parts at most
+    return some, common.materialize(rep, "sets")
+
+
+def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_000) -> list[DataFrame]:
+    """(a, b) links between points whose components are those of all pairs at least ``percent`` alike.
+
+    ``rep``: the points, as ``copies`` gives them.
+    """
     full = base.where("n > 0 and id is not null")
-    rep = full.groupBy("n", "sig", "sig2").agg(F.min("id").alias("rep"))
-    out = [full.join(rep, ["n", "sig", "sig2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
+    # An id with several sets links them.
+    several = full.groupBy("id").agg(F.collect_set(F.struct("n", "sig", "sig2")).alias("s")).where(F.size("s") > 1).select("id", F.explode("s").alias("s")).select("id", "s.*")
+    several = several.join(rep, ["n", "sig", "sig2"]).groupBy("id").agg(F.collect_set("rep").alias("r")).select(F.array_min("r").alias("a"), F.explode("r").alias("b"))
+    out = [several.where("a <> b")]
     points = full.where(F.size("anchors") > 0).join(rep.select("n", "sig", "sig2", F.col("rep").alias("id")), ["n", "sig", "sig2", "id"], "left_semi").dropDuplicates(["id", "n", "sig", "sig2"])
     points = common.materialize(points.select("id", "n", "alone", "anchors", "common"), "points")
     eps = 1 - percent / 100
@@ -114,8 +204,12 @@ def links(base: DataFrame, percent: int, max_rounds: int = 10_000) -> list[DataF
     kept = kept.groupBy("m", "s", "x").agg(F.min(F.struct("p", "region", "low")).alias("r")).select("r.region", "r.low")
     # Of two members, one at least has most >= n; the others need one of those that is small enough.
     a = a.join(kept, "region").where("most >= n or most >= low").select("region", "id", "n", "pos", "most", F.col("id").alias("comp"))
-    members = common.materialize(a, "regions")
+    members, small = common.materialize(a, "regions"), None
     for r in range(max_rounds):
+        sizes = members.groupBy("region").agg(F.count("*").alias("m"))
+        leaf = common.materialize(members.join(sizes.where(F.col("m") <= LEAF).select("region"), "region").select("region", "id"), "leaf")
+        small = leaf if small is None else small.union(leaf)
+        members = common.materialize(members.join(sizes.where(F.col("m") > LEAF).select("region"), "region"), "regions")
         if members.isEmpty():
             break
         # Pivots: the smallest id at first; then members of the smallest and of the largest components of each region.
@@ -156,6 +250,9 @@ def links(base: DataFrame, percent: int, max_rounds: int = 10_000) -> list[DataF
         common.release(spark)
     else:
         raise RuntimeError("regions did not settle")
+    bins = max(1, -(-small.count() // BIN))
+    held = small.join(points.select("id", "n", "common"), "id").withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
+    out.append(common.materialize(held.groupBy("bin").applyInArrow(lambda table: _join_bin(table, percent), "a long, b long"), "links"))
     return out
 
 
@@ -168,8 +265,13 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
     """
     base = common.materialize(sets(docs, k, percent, text, doc_id), "sets")
     common.release(docs.sparkSession)
+    parts, rep = copies(base)
     edges = None
-    for e in links(base, percent):
+    for e in links(base, rep, percent):
         edges = e if edges is None else edges.union(e)
-    found = common.connected_components(edges)
+    grown = common.connected_components(edges)
+    # Parts are joined rather than ids, so that no task holds all copies of a text.
+    named = rep.select("rep", F.explode("parts").alias("part")).join(grown, F.col("rep") == F.col("node"), "left").select("part", F.coalesce("component", "rep").alias("component"))
+    named = parts.join(named.groupBy("part").agg(F.min("component").alias("component")), "part")
+    found = named.select(F.explode("ids").alias("node"), "component").groupBy("node").agg(F.min("component").alias("component"))
     return base.select("id", "n").join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
