@@ -1,9 +1,9 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
 Unit vectors at cosine >= c are at squared distance <= 2 - 2c.  After a fixed rotation the dimensions are split into blocks; some block
-of a linked pair holds no more than its proportional share of that distance.  Each block is range-joined on its own: its
-space is cut into cells around pivots, and a vector is also sent to each cell whose dividing hyperplane lies within the block's
-radius.  Candidates are verified in full double precision where they meet, and each link is counted in the first block that finds it.
+of a linked pair holds no more than its proportional share of that distance.  Each block is range-joined on its own: its first axis is
+cut into slabs at quantiles, a vector is also sent to each slab within the block's radius, and within a slab a sorted window of that radius
+moves along the axis.  Candidates are verified in full double precision where they meet, and each link is counted in the first block that finds it.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from . import text as T
 
-#: Vectors of one cell part; a cell with more is compared part by part.
-PART = 32768
-MOST_PIVOTS = 256
+#: Vectors of a slab, about, and of a part of one; a slab with more (of vectors that are alike, say) is compared part by part.
+SLAB = 65536
+PART = 131072
+#: Vectors of which the quantiles are taken.
+SAMPLE = 4096
 _SLACK = 1e-9
 
 
@@ -37,14 +40,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _cells(y: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home cell of each row, and the marks of all cells that it is sent to."""
-    d = ((y * y).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :]) - 2 * y @ pivots.T
-    home = d.argmin(1)
-    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(2), 0))
-    near = d - d[np.arange(len(y)), home][:, None] <= 2 * (radius + 1e-6) * apart[home] + 1e-9
-    near[np.arange(len(y)), home] = True
-    return home, near
+def _slabs(x: np.ndarray, bounds: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home slab of each value, and the first and last slab within the radius of it."""
+    return tuple(np.searchsorted(bounds, z, "right") for z in (x, x - radius, x + radius))
 
 
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,12 +61,12 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, vec: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
+def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, vec: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """One row per row of ``vectors``: ``vec_id``, n_links (other rows at cosine >= ``cosine``), component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do vectors of different
     lengths.  Equal vectors are one point that counts as often as it occurs.  Rows with one id are different vectors of one component.  ``cosine`` must be
-    above 0.  The work grows with the pairs that share a cell; for data without any structure that nears all pairs, as for every exact method.
+    above 0.  The work grows with the pairs that share a slab window; for data without any structure that is a fixed share of all pairs, as for every exact method.
     """
     spark = vectors.sparkSession
     v = F.col(vec)
@@ -76,9 +74,9 @@ def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, vec: str =
     kind = "float" if vectors.schema[vec].dataType.simpleString() == "array<float>" else "double"
     same = F.transform(v, lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0.0 becomes 0.0
     good = vectors.select(F.col(vec_id).cast("long").alias("id"), same.alias("v")).where(F.coalesce(ok, F.lit(False)) & F.col(vec_id).isNotNull())
-    points = common.materialize(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "points")
     # Points are told apart by number, as an id may have several.
-    points = points.withColumn("pt", F.xxhash64("id", "v"))
+    points = good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")).withColumn("pt", F.monotonically_increasing_id())
+    points = common.materialize(points, "points")
     dims = [(r.dim, r.n) for r in points.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()]
     found = None
     for dim, n in dims:
@@ -105,9 +103,9 @@ def _join(points: DataFrame, dim: int, n: int, cosine: float, m: int) -> DataFra
     edge = [dim * i // m for i in range(m + 1)]
     budget = 2 - 2 * cosine
     share = [budget * (b - a) / dim + _SLACK for a, b in zip(edge, edge[1:])]
-    k = int(min(MOST_PIVOTS, max(1, n // 8192)))
-    chosen = np.array([r.v for r in points.orderBy(F.xxhash64("pt"), "pt").limit(k).collect()], float)
-    pivots = _unit(chosen) @ turn
+    k = -(-n // SLAB)
+    chosen = np.array([r.v for r in points.orderBy(F.xxhash64("pt"), "pt").limit(SAMPLE).collect()], float)
+    bounds = np.quantile((_unit(chosen) @ turn)[:, edge[:-1]], np.arange(1, k) / k, axis=0).T if k > 1 else np.zeros((m, 0))
 
     def cells(batches, sizes=None):
         """Without ``sizes``: (cell, rows) counts; with: the rows for each cell and pair of parts."""
@@ -119,16 +117,17 @@ def _join(points: DataFrame, dim: int, n: int, cosine: float, m: int) -> DataFra
             y = _unit(x) @ turn
             at = []
             for b in range(m):
-                home, near = _cells(y[:, edge[b] : edge[b + 1]], pivots[:, edge[b] : edge[b + 1]], share[b] ** 0.5)
-                row, cell = np.nonzero(near)
-                at.append((row, b * k + cell, home[row] == cell))
+                home, low, high = _slabs(y[:, edge[b]], bounds[b], share[b] ** 0.5 + 1e-6)
+                row = np.repeat(np.arange(len(y)), high - low + 1)
+                slab = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
+                at.append((row, b * k + slab, home[row] == slab))
             row, cell, home = (np.concatenate(z) for z in zip(*at))
             if sizes is None:
                 c, count = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(count.astype(np.int64))], names=["cell", "n"])
                 continue
             parts = np.array([sizes[c] for c in cell])
-            own = (pt[row].view(np.uint64) >> np.uint64(7)) % parts.astype(np.uint64)
+            own = (T.mix(pt[row].astype(np.uint64)) >> np.uint64(7)) % parts.astype(np.uint64)
             # A task compares home part i with part j: a row goes to (own, j) if at home, to (i, own), and once to (own, own).
             r1 = np.repeat(np.flatnonzero(home), parts[home])
             j = np.concatenate([np.arange(p) for p in parts[home]]) if home.any() else np.zeros(0, int)
@@ -160,15 +159,22 @@ def _join(points: DataFrame, dim: int, n: int, cosine: float, m: int) -> DataFra
         # One single-precision product gives all squared distances of a strip; what it lets through (with a margin) is verified in double.
         sq, one = (yb * yb).sum(1)[:, None], np.ones((len(yb), 1))
         left = np.concatenate([-2 * yb, sq, one], 1).astype(np.float32)
-        right = np.ascontiguousarray(np.concatenate([yb, one, sq], 1).astype(np.float32)[o].T)
         bound = np.float32(share[b] + 1e-5)
         links = np.zeros(len(pt), np.int64)
         ea, eb = [], []
-        step = max(1, 500_000 // max(1, len(o)))
+        # Along the first axis of the block, only what lies within the radius can be near.
+        axis, radius = yb[:, 0], share[b] ** 0.5 + 1e-6
+        h, o = h[np.argsort(axis[h], kind="stable")], o[np.argsort(axis[o], kind="stable")]
+        right = np.ascontiguousarray(np.concatenate([yb, one, sq], 1).astype(np.float32)[o].T)
+        step = max(16, 1_000_000 // max(1, len(o)))
         for s in range(0, len(h), step):
             hs = h[s : s + step]
-            flat = np.flatnonzero((left[hs] @ right).ravel() <= bound)
-            r, c = np.divmod(flat, max(1, len(o)))
+            first, last = np.searchsorted(axis[o], axis[hs[0]] - radius), np.searchsorted(axis[o], axis[hs[-1]] + radius, "right")
+            if first == last:
+                continue
+            flat = np.flatnonzero((left[hs] @ right[:, first:last]).ravel() <= bound)
+            r, c = np.divmod(flat, last - first)
+            c += first
             for q in range(0, len(r), 200_000):
                 i, j = hs[r[q : q + 200_000]], o[c[q : q + 200_000]]
                 other = pt[i] != pt[j]
