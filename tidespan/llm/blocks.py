@@ -26,17 +26,24 @@ from .common import size_in_bytes
 
 #: Input bytes (as the scan reports them) of one block.
 BLOCK_BYTES = 5 << 20
+#: Bytes up to which the planner's estimate is taken, and the share of a text's bytes that its file has, about.
+SURE, COMPRESSED = 1 << 42, 0.5
 #: Blocks up to which they send rows to ranges directly.
 DIRECT = 16384
 REQUEST = "block int, p int, payload binary"
 
 
 def number(df: DataFrame) -> int:
-    """Blocks for ``df``; a frame of unknown size gets four for each slot."""
+    """Blocks for ``df``: by its bytes, and as many as there are slots unless it is tiny.
+
+    Beyond ``SURE`` bytes the estimate may be that of a product of sizes, so the texts are measured instead.
+    """
     n = size_in_bytes(df)
-    if n > 1 << 55:
-        return 4 * df.sparkSession.sparkContext.defaultParallelism
-    return max(1, math.ceil(n / BLOCK_BYTES))
+    if n > SURE:
+        texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+        n = COMPRESSED * (df.select(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(16).cast("long")).alias("n")).agg(F.sum("n")).first()[0] or 0)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(n / BLOCK_BYTES), min(slots, math.ceil(n / (BLOCK_BYTES >> 5))))
 
 
 def dealt(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ right side of a hashed split.  A name is a hash of what it stands for, so it is
 get the same symbols except near their ends.  For each symbol we keep its *support*, the words that settled it; a
 symbol is interior to a window if its support lies in it, and then every copy of that window has the symbol too.  So a
 window can only repeat if all its interior symbols occur in another document.  What is left after that exchange is verified window by
-window in a second one, on 96-bit hashes of the words themselves.
+window in a second one, on 128 bits of two hashes of the words themselves that have nothing in common.
 """
 
 from __future__ import annotations
@@ -72,9 +72,12 @@ def depth(window: int) -> int:
         r += 1
 
 
-def _long(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, offsets, and ids (null: none) of a block; documents that hold no window are emptied."""
-    h, at = T.words(table.column("__text"))
+def _long(table: pa.Table, window: int, other: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, offsets, and ids (null: none) of a block; documents that hold no window are emptied.
+
+    ``other``: a second hash of each word, over byte values of its own.
+    """
+    h, at = T.words(table.column("__text"), other=other)
     ids = table.column("__id")
     n = np.diff(at)
     use = (n >= window) & ids.is_valid().to_numpy()
@@ -120,7 +123,7 @@ def _window_keys(table: pa.Table, window: int):
             docs.append(np.full(b - a, i))
     spot, doc = np.concatenate(spots), np.concatenate(docs)
     key = T.windows(h, window)[spot] if len(spot) else np.zeros(0, U64)
-    check = (T.windows(h ^ (h >> U64(31)), window)[spot] >> U64(32)).astype(np.uint32) if len(spot) else np.zeros(0, np.uint32)
+    check = T.windows(_long(table, window, other=True)[0], window)[spot] if len(spot) else np.zeros(0, U64)
     order, begin = blocks.runs(key)  # stable, and spots come by id: a run begins with its smallest id
     return key[order[begin]], check[order[begin]], ids[doc[order[begin]]], (at, ids, spot, doc, check, order, begin)
 

@@ -14,6 +14,7 @@ LOWER[65:91] += 32
 _CHUNK = 1 << 18
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=U64)
+_OTHER = np.random.default_rng(20250913).integers(0, 2**64, 256, dtype=U64)
 _BASE = int(_rng.integers(0, 2**63)) * 8 + 5
 _POW: list = []
 ODD = _rng.integers(0, 2**63, 4096, dtype=U64) * U64(2) + U64(1)
@@ -73,7 +74,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """A 64-bit hash of each word, the same in every process: a polynomial over random byte values, then mixed."""
     out = np.empty(len(starts), U64)
     i = 0
@@ -83,18 +84,18 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         hi = ends[j - 1]
         p, q = _powers(int(hi - lo) + 1)
         c = np.zeros(int(hi - lo) + 1, U64)
-        np.cumsum(_BYTE[data[lo:hi]] * p[: hi - lo], out=c[1:])
+        np.cumsum(values[data[lo:hi]] * p[: hi - lo], out=c[1:])
         s = starts[i:j] - lo
         out[i:j] = (c[ends[i:j] - lo] - c[s]) * q[s]
         i = j
     return mix(out + (ends - starts).astype(U64) * ODD[0])
 
 
-def words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts and the n+1 word offsets."""
+def words(texts, lower: bool = False, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts (``other``: by other byte values) and the n+1 word offsets."""
     data, offsets = buffer(texts, lower)
     starts, ends, at = spans(data, offsets)
-    return hashes(data, starts, ends), at
+    return hashes(data, starts, ends, _OTHER if other else _BYTE), at
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
