@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         at = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tidespan-"))
     return at.rstrip("/")
@@ -68,9 +70,10 @@ def release(spark: SparkSession) -> None:
 
     Without it their files stay until the JVM happens to collect its garbage, which on a large driver heap can be after the job.
     """
-    gc.collect()
-    time.sleep(0.05)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # Python's references, then those of the JVM's objects that they held, then what the cleaner has queued
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def size_in_bytes(df: DataFrame) -> int:
