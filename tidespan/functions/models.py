@@ -32,6 +32,22 @@ def scored_or_zero(call: Callable[[bytes], str]) -> Callable[[pd.Series], pd.Ser
     return lambda s: s.map(safe)
 
 
+def train_head(df: DataFrame, vector: str, label: str, ridge: float = 0.01, rounds: int = 50):
+    """A linear head on pooled vectors (array column): multinomial logistic regression, trained where the rows are."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    x = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    return LogisticRegression(regParam=ridge, maxIter=rounds).fit(x)
+
+
+def apply_head(df: DataFrame, model, vector: str, out: str = "predicted") -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    scored = model.transform(df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))))
+    return scored.withColumn(out, F.col("prediction").cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+
+
 def save_checkpoint(spark: SparkSession, path: str, epoch: int, score: float, weights: bytes, labels: list[str]) -> None:
     """Append one model state; ``best_checkpoint`` picks among them."""
     spark.createDataFrame([(epoch, score, weights, labels)], "epoch int, score double, weights binary, labels array<string>").write.mode("append").parquet(path)

@@ -98,10 +98,25 @@ def missing_fields(**fields: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(c.cast("string"), F.lit("")) == "", n) for n, c in fields.items())))
 
 
+#: Megabytes and types of uploads of each kind.
+UPLOADS = {
+    "video": (500, ("video/mp4", "video/avi", "video/mov", "video/mkv", "video/webm")),
+    "image": (10, ("image/jpeg", "image/jpg", "image/png", "image/webp")),
+    "audio": (50, ("audio/mpeg", "audio/mp3", "audio/wav", "audio/aac")),
+}
+
+
 def acceptable_upload(kind: Column, mime: Column, size: Column) -> Column:
-    """Fixed limits: 500 MB of video, 10 MB of image, 50 MB of audio, each of its kind."""
-    limit = F.when(kind == "video", 500).when(kind == "image", 10).when(kind == "audio", 50)
-    return F.coalesce(mime.startswith(F.concat(kind, F.lit("/"))) & (size <= limit * 1024 * 1024), F.lit(False))
+    """Of a kind that is known, a type of that kind and no larger than its limit."""
+    out = F.lit(False)
+    for name, (limit, types) in UPLOADS.items():
+        out = out | ((kind == name) & mime.isin(*types) & (size <= limit * 1024 * 1024))
+    return F.coalesce(out, F.lit(False))
+
+
+def known_arguments(given: Column, names: list[str]) -> Column:
+    """Of a map of arguments those that a function of these parameters takes."""
+    return F.map_filter(given, lambda k, _: k.isin(*names))
 
 
 def truthy(text: Column) -> Column:
@@ -117,7 +132,8 @@ def clip_name(prefix: str, ordinal: Column) -> Column:
 
 
 def concat_entry(path: Column) -> Column:
-    """A line of a concat list; quotes are escaped and separators made plain."""
+    """A line of a concat list; separators are made plain.  A quote closes the text, stands escaped and opens it again, as a backslash within quotes
+    would be read as itself (a repair: other writers put a lone backslash before the quote)."""
     return F.concat(F.lit("file '"), F.replace(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("'"), F.lit("'\\''")), F.lit("'"))
 
 

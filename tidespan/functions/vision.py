@@ -86,8 +86,10 @@ def accepted(score: Column, team: Column, jersey_color: Column, any_hint: Column
     return team | ~any_hint | (score >= F.when(jersey_color, 0.45).otherwise(0.25))
 
 
-def regions(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Ordered array of structs (name, x1, y1, x2, y2) of the parts of a person's box."""
+def regions(x1: Column, y1: Column, x2: Column, y2: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """Ordered array of structs (name, x1, y1, x2, y2) of the parts of a person's box, cut to its frame first if that is given."""
+    if width is not None:
+        x1, y1, x2, y2 = F.greatest(F.lit(0), x1), F.greatest(F.lit(0), y1), F.least(x2, width - 1), F.least(y2, height - 1)
     h, w = y2 - y1, x2 - x1
     t, m = F.floor(h * 0.15), F.floor(h * 0.6)
     rows = [("helmet", x1, y1, x2, y1 + F.greatest(F.lit(1), t)), ("torso", x1, y1 + t, x2, y1 + m), ("lower", x1, y1 + m, x2, y2), ("glove_left", x1, y1 + m, x1 + F.greatest(F.lit(1), F.floor(w / 3)), y2), ("glove_right", x1 + F.floor(w * 2 / 3), y1 + m, x2, y2)]

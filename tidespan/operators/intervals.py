@@ -39,7 +39,7 @@ def sessionize(df: DataFrame, key: str | list[str], t: str, gap, pre=0, post=0,
 def padding(action: Column, motion: bool = False) -> tuple[Column, Column]:
     """Seconds before and after a session: long afterwards for bowling; motion sessions are tighter."""
     before, bowling = (1.5, 10.0) if motion else (2.0, 12.0)
-    return F.lit(before), F.when(F.lower(action) == "bowling", bowling).otherwise(4.0)
+    return F.lit(before), F.when(action == "bowling", bowling).otherwise(4.0)
 
 
 def merge_islands(df: DataFrame, key: str | list[str], tolerance=0, start: str = "start", end: str = "end", tie: list[str] | None = None) -> DataFrame:

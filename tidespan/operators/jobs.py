@@ -10,6 +10,31 @@ STATES = ("queued", "downloading", "processing", "compiling", "done", "failed")
 STAGE_PROGRESS = {"downloading": 5, "detecting": 40, "tracking": 60, "selecting": 75, "compiling": 90, "done": 100}
 
 
+#: Which states may follow a state.
+NEXT = {"queued": ("downloading", "processing", "failed"), "downloading": ("processing", "failed"), "processing": ("compiling", "done", "failed"), "compiling": ("done", "failed"), "done": (), "failed": ()}
+
+
+def created(requests: DataFrame, job_id: str, payload: str, at: str) -> DataFrame:
+    """First log rows of new jobs: queued, without progress, with their request as JSON text."""
+    fixed = {"status": "queued", "stage": "queued", "message": "Job queued"}
+    return requests.select(F.col(job_id).alias("id"), *(F.lit(v).alias(k) for k, v in fixed.items()), F.lit(0.0).alias("download_percent"), F.lit(0.0).alias("progress"), F.col(payload).alias("request_json"), F.col(at).alias("created_at"), F.col(at).alias("updated_at"))
+
+
+def broken_transitions(log: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
+    """Rows whose state may not follow the one before of their job (rows without a state change nothing and are passed over)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    d = log.where(F.col(status).isNotNull()).withColumn("before", F.lag(status).over(w))
+    allowed = F.lit(False)
+    for a, after in NEXT.items():
+        allowed = allowed | ((F.col("before") == a) & F.col(status).isin(a, *after))
+    return d.where(F.when(F.col("before").isNull(), F.col(status) != "queued").otherwise(~allowed))
+
+
+def user_totals(df: DataFrame, key: str, done: Column, amount: str) -> DataFrame:
+    """Rows of each key, how many of them are done and open, and the rounded sum of an amount."""
+    return df.groupBy(key).agg(F.count("*").alias("orders"), F.count_if(done).alias("done"), F.count_if(~done).alias("open"), F.round(F.sum(amount), 2).alias("total"))
+
+
 def latest(log: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """The state of each job: for each field the last value that is not null (an update with null changes nothing)."""
     at = F.struct(*order)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar, vision
+from ..functions import images, models, scalar, vision
 from ..operators import association, dataset, intervals, jobs, motion, select, tracks
 from ..sources import clips, tables
 from ..streaming import streams
+from . import pipelines
 
 HOUR = 3_600_000_000
 QUERIES: dict = {}
@@ -356,20 +357,20 @@ def ordered_concat(spark, d):
 
 @query("select o_custkey, count(*) as orders, count_if(o_orderstatus = 'F') as done, count_if(o_orderstatus <> 'F') as open, round(sum(o_totalprice), 2) as total from orders group by o_custkey")
 def user_stats(spark, d):
-    o = tables.read(spark, d, "orders")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") != "F").alias("open"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return jobs.user_totals(tables.read(spark, d, "orders"), "o_custkey", F.col("o_orderstatus") == "F", "o_totalprice")
 
 
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def cascade_anti(spark, d):
-    """Rows of a parent without children (what a cascade leaves untouched)."""
-    return tables.read(spark, d, "customer").join(tables.read(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Rows whose parent isn't among the deleted."""
+    gone = tables.read(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return jobs.cascade(tables.read(spark, d, "customer"), gone, "c_custkey").select("c_custkey")
 
 
 @query("select distinct s_suppkey from supplier semi join lineitem on s_suppkey = l_suppkey and l_quantity > 49")
 def existence_semi(spark, d):
-    l = tables.read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
-    return tables.read(spark, d, "supplier").join(l, "s_suppkey", "left_semi").select("s_suppkey").distinct()
+    listed = tables.read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("path"))
+    return tables.existing(tables.read(spark, d, "supplier"), listed, "s_suppkey").select("s_suppkey")
 
 
 @query("""with b as (select vec_id, least(15, cast(floor(abs(cast(unnest(embedding) as double)) * 16) as integer)) as bin from embeddings), c as (select vec_id, bin, count(*) as c from b group by all) select vec_id, bin, round(c / sqrt(sum(c * c) over (partition by vec_id)), 9) as weight from c""")
@@ -382,15 +383,23 @@ def histogram_bins(spark, d):
     return c.select("vec_id", "bin", F.round(F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("vec_id"))), 9).alias("weight"))
 
 
-@query(None)
+@query(f"""with recursive {EV}, r as (select user_id, event_id, us, row_number() over (partition by user_id order by us, event_id) as i from ev),
+ w(user_id, event_id, i, n, upto, allowed) as (select user_id, event_id, i, 1, us + {24 * HOUR}, true from r where i = 1 union all
+ select r.user_id, r.event_id, r.i, case when r.us > upto then 1 when n >= 2 then n else n + 1 end, case when r.us > upto then r.us + {24 * HOUR} else upto end, r.us > upto or n < 2 from w join r on r.user_id = w.user_id and r.i = w.i + 1)
+ select user_id, event_id, us, allowed from w join ev using (user_id, event_id)""")
 def rate_limit(spark, d):
     return streams.rate_limited(tables.events(spark, d).select("user_id", "event_id", "us"), "user_id", "us", "event_id", 2, 24 * HOUR)
 
 
-@query(None)
+@query(f"""with {EV}, e as (select user_id, us // {6 * HOUR} as frame, event_id as box, k / 100.0::double as base, k >= 90 as hit, k::double as a, event_id % 10 + 1.0::double as b from ev),
+ f as (select *, row_number() over (partition by user_id, frame order by base desc, box) as r from e),
+ t as (select user_id, frame, box as spot, a, b from f where hit union all select user_id, frame, 2147483647 as spot, a, b from f where r = 1 and base >= 0.25),
+ l as (select user_id, frame as lf, spot as lb, a as ra, b as rb from (select *, row_number() over (partition by user_id order by frame, spot, a, b) as q from t) where q = 1),
+ s as (select user_id, frame, box, base + case when frame > lf or (frame = lf and box >= lb) then 0.6::double * greatest(0, 1 - sqrt(greatest(0, 1 - (sqrt(a * ra) + sqrt(b * rb)) / sqrt((a + b) * (ra + rb))))) else 0 end as score from e left join l using (user_id)),
+ o as (select *, row_number() over (partition by user_id, frame order by score desc, box) as r from s) select user_id, frame, box, round(score, 9) as score from o where r = 1 and score >= 0.25""")
 def reference_lock(spark, d):
     e = tables.events(spark, d).select("user_id", F.floor(F.col("us") / (6 * HOUR)).alias("frame"), F.col("event_id").alias("box"), (F.col("k") / 100.0).alias("base"), (F.col("k") >= 90).alias("hit"), F.array(F.col("k").cast("double"), F.col("event_id") % 10 + 1.0).alias("vector"))
-    return association.lock_on(e, "user_id", "frame", "box", "base", "hit", 0.25, vision.histogram_similarity).select("user_id", "frame", "box", "score")
+    return association.lock_on(e, "user_id", "frame", "box", "base", "hit", 0.25, vision.histogram_similarity).select("user_id", "frame", "box", F.round("score", 9).alias("score"))
 
 
 @query(f"""with {EV}, r as (select *, row_number() over (partition by user_id order by us, event_id) - 1 as i from ev), f as (select user_id, i, k % 4 <> 0 as found, k / 100.0 as sim from r),
@@ -529,8 +538,224 @@ def clip_plans(spark, d):
     return made.join(clips.join_list(p, "user_id"), "user_id")
 
 
-@query("""select vec_id, list_transform(range(1, 13), lambda i: round((floor(abs(cast(embedding[i] as double)) * 255) / 255.0::double - (cast([0.485, 0.456, 0.406] as double[]))[(i - 1) % 3 + 1]) / (cast([0.229, 0.224, 0.225] as double[]))[(i - 1) % 3 + 1], 6)) as x from embeddings""")
+@query("""select vec_id, list_transform(range(1, len(embedding) + 1), lambda i: round((floor(abs(cast(embedding[i] as double)) * 255) / 255.0::double - (cast([0.485, 0.456, 0.406] as double[]))[(i - 1) % 3 + 1]) / (cast([0.229, 0.224, 0.225] as double[]))[(i - 1) % 3 + 1], 6)) as x from embeddings""")
 def channel_norm(spark, d):
     e = tables.read(spark, d, "embeddings")
-    raw = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(F.abs(x.cast("double")) * 255))
+    raw = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255))
     return e.select("vec_id", F.transform(vision.normalised(raw), lambda x: F.round(x, 6)).alias("x"))
+
+
+RUNS = f"""r as (select user_id, cents > 5000 as moving, row_number() over (partition by user_id order by us, event_id) - 1 as i from ev), n as (select user_id, max(i) as last_i from r group by user_id),
+ m as (select *, case when i - lag(i) over (partition by user_id order by i) > 3 then 1 else 0 end as b from r where moving), g as (select *, sum(b) over (partition by user_id order by i rows unbounded preceding) as g from m),
+ q as (select user_id, min(i) as f, max(i) as l from g group by user_id, g)"""
+
+
+@query(f"""with {EV}, {RUNS}, v as (select user_id, last_i, (last_i + 1) * 3 as total, ((last_i + 1) * 3 - 2) / 30.0::double as duration from n),
+ p as (select user_id, greatest(0, f * 3 / 30.0::double - 0.5) as s, least(duration, case when l + 3 <= last_i then (l + 3) * 3 else total end / 30.0::double + 2.0) as e from q join v using (user_id)),
+ x as (select *, case when s <= max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) + 0.2 then 0 else 1 end as b from p where e - s >= 0.3),
+ y as (select *, sum(b) over (partition by user_id order by s, e rows unbounded preceding) as g from x) select user_id, min(s) as start, max(e) as "end" from y group by user_id, g""")
+def practice_segments(spark, d):
+    """Movement segments of practice videos, bounded by the length of the video."""
+    from pyspark.sql import Window
+
+    i = (F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1).cast("long")
+    samples = tables.events(spark, d).select("user_id", i.alias("sample_idx"), (F.col("cents") > 5000).alias("moving"))
+    total = F.count("*") * 3
+    videos = samples.groupBy("user_id").agg(total.alias("total_frames"), ((total - 2) / 30.0).alias("duration"))
+    return pipelines.practice(samples, videos, "user_id")
+
+
+#: Events on a coarse clock: one row for each user and four hours, as second t and position x.
+COARSE = f"""{EV}, c as (select user_id, cast((us - {BASE_US}) // {4 * HOUR} as double) as t, cast(max(cents) as double) as x from ev group by 1, 2)"""
+
+
+def _coarse(spark: SparkSession, d: str) -> DataFrame:
+    return tables.events(spark, d).groupBy("user_id", F.floor((F.col("us") - BASE_US) / (4 * HOUR)).cast("double").alias("t")).agg(F.max("cents").cast("double").alias("x"))
+
+
+MOVING = f"""{COARSE}, mv as (select *, abs(x - lag(x) over (partition by user_id order by t)) as dist, greatest(0.001, t - lag(t) over (partition by user_id order by t)) as dt, count(*) over (partition by user_id) as n from c),
+ mf as (select user_id, t from mv where n >= 3 and dist >= 3 and dist / dt >= 20)"""
+
+
+def _sessions(rows: str, out: str) -> str:
+    return f"""{out}_x as (select *, case when t - lag(t) over (partition by user_id order by t) > 2.5 then 1 else 0 end as b from {rows}), {out}_y as (select *, sum(b) over (partition by user_id order by t rows unbounded preceding) as g from {out}_x),
+ {out} as (select user_id, min(t) as s, max(t) as e, count(*) as n from {out}_y group by user_id, g)"""
+
+
+@query(f"""with {MOVING}, {_sessions("mf", "z")} select user_id, greatest(0, s - 1.5) as start, e + 4.0 as "end", n from z""")
+def motion_sessions(spark, d):
+    return motion.motion_segments(_coarse(spark, d).withColumn("y", F.lit(0.0)), "user_id", "t", "x", "y", 4.0, speed=20.0)
+
+
+@query(f"""with {MOVING}, {_sessions("mf", "z")}, {_sessions("c", "w")}, v as (select user_id, user_id % 3 = 0 as bowling, max(t) as duration from c group by user_id),
+ a as (select user_id, greatest(0, s - 1.5) as s, e + case when bowling then 10 else 4 end as e from z join v using (user_id)),
+ b as (select user_id, greatest(0, s - 2.0) as s, e + case when bowling then 12 else 4 end as e from w join v using (user_id)),
+ o as (select * from a union all select * from b where user_id not in (select user_id from a)),
+ f as (select *, row_number() over (partition by user_id order by s, e) as r from o), g as (select user_id, greatest(0, s) as s, least(duration, e) as e from f join v using (user_id) where r <= 50 and e > 0),
+ h as (select *, coalesce(sum(e - s) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding), 0) as used from g where e > s)
+ select user_id, s as start, least(e, s + (120 - used)) as "end" from h where used < 120""")
+def highlight_segments(spark, d):
+    """Motion segments or else sessions, padded by action, the first of them clamped and capped."""
+    c = _coarse(spark, d)
+    seeds = c.select("user_id", F.col("t").alias("time_s"), "x", F.lit(0.0).alias("y"))
+    videos = c.groupBy("user_id").agg(F.max("t").alias("duration")).withColumn("action", F.when(F.col("user_id") % 3 == 0, "bowling").otherwise("batting"))
+    return pipelines.highlights(c.select("user_id", "t"), seeds, videos, "user_id")
+
+
+@query("select c_custkey, case c_custkey % 3 when 0 then 12.0 else 4.0 end::double as post, case c_custkey % 3 when 0 then 10.0 else 4.0 end::double as motion_post, 2.0::double as pre, 1.5::double as motion_pre from customer")
+def padding_presets(spark, d):
+    action = F.when(F.col("c_custkey") % 3 == 0, "bowling").when(F.col("c_custkey") % 3 == 1, "Bowling").otherwise("batting")
+    (a, b), (x, y) = intervals.padding(action), intervals.padding(action, True)
+    return tables.read(spark, d, "customer").select("c_custkey", b.alias("post"), y.alias("motion_post"), a.alias("pre"), x.alias("motion_pre"))
+
+
+@query(f"""with {EV} select event_id, contains(replace('ab ' || k || ' 7', ' ', ''), 'b' || k // 10) as held, k % 3 = 0 as flag, case when k % 4 = 0 then 25 else k end as clips,
+ k % 5 = 0 or k % 3 > 0 or k % 7 = 0 as named, (k % 4 = 1 and cents * 40000 <= 524288000) or (k % 4 = 2 and cents * 40000 <= 10485760) or (k % 4 = 3 and cents * 40000 <= 52428800) as fits from ev""")
+def text_rules(spark, d):
+    """Labels in read texts, flags and numbers of settings, requests that name somebody, uploads within their limits."""
+    k = F.col("k")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), k % 4 + 1)
+    return tables.events(spark, d).select("event_id", scalar.contains_label(F.concat(F.lit("ab "), k, F.lit(" 7")), F.concat(F.lit("b"), F.floor(k / 10))).alias("held"),
+        scalar.truthy(F.when(k % 3 == 0, " Yes").otherwise("off")).alias("flag"), scalar.whole_number(F.when(k % 4 == 0, "x").otherwise(k.cast("string"))).alias("clips"),
+        scalar.identified(F.when(k % 5 == 0, "Team").otherwise("one"), F.when(k % 3 == 0, "N/A").otherwise(k.cast("string")), F.when(k % 7 == 0, "red").otherwise(" ")).alias("named"),
+        scalar.acceptable_upload(pick("video", "video", "image", "audio"), pick("video/ogg", "video/mp4", "image/png", "audio/wav"), F.col("cents") * 40000).alias("fits"))
+
+
+@query(f"""with {EV} select event_id, greatest(0, (k - 5 + cents) / 2.0::double) as middle, case k % 3 when 0 then '5-10 minutes' when 1 then '10-20 minutes' else '20-40 minutes' end as eta,
+ case when k % 10 = 0 then 0 else floor(k / (k % 10)::double * 100 + 0.5) end::bigint as percent, case when k % 3 = 0 then 0.0 else k * 60 + k % 60 end::double as seconds from ev""")
+def time_estimates(spark, d):
+    k = F.col("k")
+    choice = F.when(k % 3 == 0, "10").when(k % 3 == 1, "10-20").otherwise("20+")
+    return tables.events(spark, d).select("event_id", scalar.midpoint(k - 5, F.col("cents")).alias("middle"), scalar.eta_by_length(choice).alias("eta"), scalar.percent(k, k % 10).cast("long").alias("percent"), scalar.timecode_strict(F.when(k % 3 == 0, " ").otherwise(F.concat_ws(":", k, k % 60))).alias("seconds"))
+
+
+PIXELS = """px as (select vec_id, i, list_transform([embedding[i], embedding[i + 1], embedding[i + 2]], lambda x: cast(floor(abs(cast(x as double)) * 255) as integer) % 256) as p from embeddings, unnest(range(1, len(embedding) - 1, 3)) t(i))"""
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as regions of pixels of three components each (the rest is left)."""
+    byte = lambda i: (F.floor(F.abs(F.get("embedding", i).cast("double")) * 255).cast("int") % 256)
+    return tables.read(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.size("embedding") - 3, F.lit(3)), lambda i: F.array(byte(i), byte(i + 1), byte(i + 2))).alias("pixels"))
+
+
+@query(f"""with {PIXELS} select vec_id, [floor(sum(p[1]) / count(*)), floor(sum(p[2]) / count(*)), floor(sum(p[3]) / count(*))]::integer[] as mean,
+ list(cast(round(p[1] * 0.114::double + p[2] * 0.587::double + p[3] * 0.299::double) as integer) order by i) as gray from px group by vec_id""")
+def region_colors(spark, d):
+    """Mean color of a region, and its pixels in gray."""
+    return _pixels(spark, d).select("vec_id", images.mean_color(F.col("pixels")).alias("mean"), images.gray(F.col("pixels")).alias("gray"))
+
+
+HSV8 = f"""{PIXELS}, hs as (select vec_id, p[1]::double as b, p[2]::double as g, p[3]::double as r, greatest(p[1], p[2], p[3])::double as top, (greatest(p[1], p[2], p[3]) - least(p[1], p[2], p[3]))::double as d from px),
+ hh as (select *, case when d = 0 then 0 when top = r then (g - b) * 30.0::double / d when top = g then (b - r) * 30.0::double / d + 60 else (r - g) * 30.0::double / d + 120 end as h0, case when top = 0 then 0 else round(d * 255.0::double / top) end as sat from hs)"""
+
+
+@query(f"""with {HSV8}, bn as (select vec_id, cast(floor(round(case when h0 < 0 then h0 + 180 else h0 end) % 180 * 16 / 180) * 16 + floor(sat * 16 / 256) as integer) as bin from hh),
+ cn as (select vec_id, bin, count(*) as n from bn group by all) select vec_id, bin, round(n / sqrt(sum(n * n) over (partition by vec_id)), 9) as weight from cn""")
+def color_histograms(spark, d):
+    """The filled bins of each region's histogram of 16 hues by 16 saturations."""
+    h = images.color_histogram(_pixels(spark, d), ["vec_id"], "pixels")
+    return h.select("vec_id", F.posexplode("histogram").alias("bin", "weight")).where("weight > 0").select("vec_id", "bin", F.round("weight", 9).alias("weight"))
+
+
+@query("""with g as (select vec_id, list_transform(embedding, lambda x: cast(floor(abs(cast(x as double)) * 255) as integer) % 256) as c from embeddings),
+ i as (select vec_id, c, y, x from g, unnest(range(0, len(c) // 8 // 4)) a(y), unnest(range(0, 2)) b(x))
+ select vec_id, list(cast(round((c[(y * 4 + 1) * 8 + x * 4 + 2] + c[(y * 4 + 1) * 8 + x * 4 + 3] + c[(y * 4 + 2) * 8 + x * 4 + 2] + c[(y * 4 + 2) * 8 + x * 4 + 3]) / 4.0::double) as integer) order by y, x) as cells from i group by vec_id""")
+def quarter_frames(spark, d):
+    """Vectors as gray frames of eight columns, at a quarter of their size."""
+    cells = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 255).cast("int") % 256)
+    return tables.read(spark, d, "embeddings").select("vec_id", images.quarter(cells, F.lit(8)).alias("cells"))
+
+
+HUE = lambda c: f"case when greatest({c}[1], {c}[2], {c}[3]) = least({c}[1], {c}[2], {c}[3]) then 0 when {c}[3] = greatest({c}[1], {c}[2], {c}[3]) then ({c}[2] - {c}[1]) / (greatest({c}[1], {c}[2], {c}[3]) - least({c}[1], {c}[2], {c}[3])) when {c}[2] = greatest({c}[1], {c}[2], {c}[3]) then 2 + ({c}[1] - {c}[3]) / (greatest({c}[1], {c}[2], {c}[3]) - least({c}[1], {c}[2], {c}[3])) else 4 + ({c}[3] - {c}[2]) / (greatest({c}[1], {c}[2], {c}[3]) - least({c}[1], {c}[2], {c}[3])) end / 6"
+SAT = lambda c: f"case when greatest({c}[1], {c}[2], {c}[3]) = 0 then 0 else (greatest({c}[1], {c}[2], {c}[3]) - least({c}[1], {c}[2], {c}[3])) / greatest({c}[1], {c}[2], {c}[3]) end"
+
+
+@query(f"""with {EV}, c as (select event_id, [k % 7 * 40 / 255.0::double, k % 5 * 60 / 255.0::double, k % 3 * 120 / 255.0::double] as a, [event_id % 4 * 80 / 255.0::double, k % 11 * 25 / 255.0::double, event_id % 6 * 50 / 255.0::double] as b from ev),
+ x as (select event_id, {HUE("a")} as h1, {HUE("b")} as h2, {SAT("a")} as s1, {SAT("b")} as s2, greatest(a[1], a[2], a[3]) as v1, greatest(b[1], b[2], b[3]) as v2 from c),
+ y as (select event_id, h1 - floor(h1) as h1, h2 - floor(h2) as h2, s1, s2, v1, v2 from x)
+ select event_id, round(h1, 9) as hue, round(sqrt(power(least(abs(h1 - h2), 1 - abs(h1 - h2)) * 2, 2) + power(s1 - s2, 2) + power(v1 - v2, 2)), 9) as distance from y""")
+def color_distances(spark, d):
+    k, i = F.col("k"), F.col("event_id")
+    a, b = F.array(k % 7 * 40, k % 5 * 60, k % 3 * 120), F.array(i % 4 * 80, k % 11 * 25, i % 6 * 50)
+    return tables.events(spark, d).select("event_id", F.round(vision.hsv(a)[0], 9).alias("hue"), F.round(vision.color_distance(a, b), 9).alias("distance"))
+
+
+@query(f"""with {EV}, s as (select event_id, k % 4 = 0 as team, k % 3 > 0 as hinted, k % 2 = 0 as colored, k / 100.0::double as score from ev)
+ select event_id, team or not hinted or score >= case when colored then 0.45 else 0.25 end as accepted, cast(trunc(event_id % 1000 / 0.5::double) as integer) as x from s""")
+def acceptance_rules(spark, d):
+    """Which candidates are accepted, and their place in the frame before it was resized."""
+    k = F.col("k")
+    return tables.events(spark, d).select("event_id", vision.accepted(k / 100.0, k % 4 == 0, k % 2 == 0, k % 3 > 0).alias("accepted"), vision.rescaled(F.col("event_id") % 1000, 0.5).alias("x"))
+
+
+@query(f"""with {EV}, b as (select event_id, greatest(0, k - 20) as x1, greatest(0, k % 30 - 5) as y1, least(k + 40, 99) as x2, least(k % 30 + 90, 99) as y2 from ev), c as (select *, y2 - y1 as h, x2 - x1 as w from b),
+ r as (select *, cast(floor(h * 0.15::double) as integer) as t, cast(floor(h * 0.6::double) as integer) as m from c),
+ o as (select event_id, unnest([{{'name': 'helmet', 'a': x1, 'b': y1, 'c': x2, 'd': y1 + greatest(1, t)}}, {{'name': 'torso', 'a': x1, 'b': y1 + t, 'c': x2, 'd': y1 + m}}, {{'name': 'lower', 'a': x1, 'b': y1 + m, 'c': x2, 'd': y2}},
+ {{'name': 'glove_left', 'a': x1, 'b': y1 + m, 'c': x1 + greatest(1, w // 3), 'd': y2}}, {{'name': 'glove_right', 'a': x1 + w * 2 // 3, 'b': y1 + m, 'c': x2, 'd': y2}}]) as z from r)
+ select event_id, z.name as name, z.a as x1, z.b as y1, z.c as x2, z.d as y2, z.c > z.a and z.d > z.b as filled from o""")
+def body_regions(spark, d):
+    """Parts of each box, cut to a frame of 100 by 100, one row for each."""
+    k, size = F.col("k"), F.lit(100)
+    r = tables.events(spark, d).select("event_id", F.explode(vision.regions(k - 20, k % 30 - 5, k + 40, k % 30 + 90, size, size)).alias("r")).select("event_id", "r.*")
+    return r.withColumn("filled", vision.has_pixels(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), size, size))
+
+
+@query("""with h as (select label, list(list_transform(embedding, lambda x: abs(cast(x as double))) order by vec_id) as h from embeddings group by label)
+ select label, list_transform(list_reduce(h, lambda s, v: list_transform(list_zip(s, v), lambda z: (z[1] + z[2]) / 2)), lambda x: round(x, 9)) as mean from h""")
+def folded_histograms(spark, d):
+    e = tables.read(spark, d, "embeddings").select("label", F.struct("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("h")).alias("s"))
+    h = e.groupBy("label").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return h.select("label", F.transform(vision.folded_mean(F.col("s.h")), lambda x: F.round(x, 9)).alias("mean"))
+
+
+@query("select o_custkey, count(*) as segments, round_even(max(o_totalprice), 1) as duration from orders group by o_custkey")
+def job_summary(spark, d):
+    return jobs.summary(tables.read(spark, d, "orders"), "o_custkey", F.col("o_totalprice").cast("decimal(18,2)")).select("o_custkey", "segments", F.col("duration").cast("double").alias("duration"))
+
+
+LOG = f"""{EV}, lg as (select user_id, us, event_id, case k % 6 when 0 then 'queued' when 1 then 'downloading' when 2 then 'processing' when 3 then 'compiling' when 4 then 'done' end as status from ev)"""
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k") % 6
+    return tables.events(spark, d).select("user_id", "us", "event_id", F.when(k < 5, F.element_at(F.array(*map(F.lit, jobs.STATES)), k + 1)).alias("status"))
+
+
+@query(f"with {LOG} select user_id, arg_max(status, (us, event_id)) filter (status is not null) as status, max(us) as updated_at from lg where user_id in (1, 2, 3, 5, 8, 13) group by user_id")
+def job_polls(spark, d):
+    """What polls of six jobs return (a poll names its jobs)."""
+    return jobs.status_of(_log(spark, d), "user_id", [1, 2, 3, 5, 8, 13], ["us", "event_id"], ["status"])
+
+
+@query(f"""with {LOG}, s as (select user_id, arg_max(status, (us, event_id)) filter (status is not null) as status from lg group by user_id)
+ select user_id, case when user_id % 2 = 0 and status not in ('done', 'failed', 'completed') then 'cancelled' else status end as status from s""")
+def cancelled_jobs(spark, d):
+    state = jobs.latest(_log(spark, d), "user_id", ["us", "event_id"], ["status"]).select("user_id", "status")
+    return jobs.cancel(state, state.where("user_id % 2 = 0"), "user_id").select("user_id", "status")
+
+
+@query(f"""with {LOG}, x as (select *, lag(status) over (partition by user_id order by us, event_id) as p from lg where status is not null)
+ select event_id, user_id, p as before, status from x where case when p is null then status <> 'queued' else not (p = status or (p = 'queued' and status in ('downloading', 'processing')) or (p = 'downloading' and status = 'processing') or (p = 'processing' and status in ('compiling', 'done')) or (p = 'compiling' and status = 'done')) end""")
+def broken_transitions(spark, d):
+    return jobs.broken_transitions(_log(spark, d), "user_id", ["us", "event_id"]).select("event_id", "user_id", "before", "status")
+
+
+@query(f"""with {EV} select 'job-' || event_id as id, 'queued' as status, 'queued' as stage, 'Job queued' as message, 0.0::double as download_percent, 0.0::double as progress, props as request_json, us as created_at, us as updated_at from ev join events using (event_id)""")
+def created_jobs(spark, d):
+    e = tables.events(spark, d).join(tables.read(spark, d, "events").select("event_id", "props"), "event_id")
+    return jobs.created(e.withColumn("id", F.concat(F.lit("job-"), F.col("event_id"))), "id", "props", "us")
+
+
+@query(f"""with {EV} select event_id, map_from_entries(list_filter([{{'k': 'fps', 'v': k}}, {{'k': 'mode', 'v': k % 7}}, {{'k': 'n' || k % 3, 'v': 1}}], lambda x: x.k in ('fps', 'mode', 'n1'))) as given from ev""")
+def known_arguments(spark, d):
+    """Of given arguments those that a function takes."""
+    k = F.col("k")
+    given = F.create_map(F.lit("fps"), k, F.lit("mode"), k % 7, F.concat(F.lit("n"), k % 3), F.lit(1))
+    return tables.events(spark, d).select("event_id", scalar.known_arguments(given, ["fps", "mode", "n1"]).alias("given"))
+
+
+@query(None)
+def trained_head(spark, d):
+    """Labels predicted by a linear head trained on the vectors."""
+    e = tables.read(spark, d, "embeddings")
+    return models.apply_head(e, models.train_head(e, "embedding", "label"), "embedding").select("vec_id", "label", "predicted")

@@ -28,6 +28,8 @@ class FramesReader(DataSourceReader):
         self.fps = float(options.get("fps", "0")) or 30.0
         self.skip = int(options.get("skip", "1"))
         self.begin, self.stop = int(options.get("begin", "0")), int(options.get("stop", str(2**62)))
+        if self.begin < 0 or self.stop <= self.begin:
+            self.begin, self.stop = 0, 2**62  # an invalid range stands for the whole video
 
     def partitions(self):
         return [InputPartition(p) for p in self.paths]

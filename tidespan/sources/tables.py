@@ -33,9 +33,10 @@ def append_labels(df: DataFrame, path: str) -> None:
 
 
 def write_manifest(df: DataFrame, key: str, path: str) -> None:
-    """One JSON document per key with its segments in order of start."""
+    """One JSON document per key with its segments in order of start, and its ``meta`` (a map; that of the first segment that has one) if ``df`` has such a column."""
     s = F.array_sort(F.collect_list(F.struct("start", "end", "clip", "thumbs", "label")))
-    df.groupBy(F.col(key).alias("video_path")).agg(s.alias("segments")).select(F.to_json(F.struct("video_path", "segments")).alias("value")).write.mode("overwrite").text(path)
+    meta = [F.min_by("meta", F.struct(F.col("meta").isNull(), "start", "end")).alias("meta")] if "meta" in df.columns else []
+    df.groupBy(F.col(key).alias("video_path")).agg(s.alias("segments"), *meta).select(F.to_json(F.struct("video_path", "segments", *(["meta"] if meta else []))).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
