@@ -1,7 +1,8 @@
 """A training corpus in five stages, each over all that the one before kept.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as parquet and read
-again as the next one's docs.  All but the last return the columns of documents.  Rows without an id are kept by the filters.
+again as the next one's docs.  All but the last return the columns of documents (others that the table has, whatever their names, go along).  Rows without an id
+and rows with a null or empty text are kept by the filters; texts of any length are read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -16,18 +17,21 @@ from tidespan.llm.queries import TOKENIZERS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go.  The lexicon learns from the labels of these documents."""
+    """Documents that score 0.3 or more go.  The lexicon learns from the labels of these documents (of several labels of an id, a toxic one counts); without labels nothing goes."""
     common.reachable(spark)
     lexicon = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, lexicon, out="__toxicity").where("`__toxicity` < 0.3").drop("__toxicity")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that reach each other by links of 0.8 over five-word shingles, the one of smallest id stays."""
+    """Of documents that reach each other by links of 0.8 over five-word shingles, the one of smallest id stays; of rows with one id, the one of least text."""
     common.reachable(spark)
-    found = jaccard_join.components(docs, k=5, percent=80)
+    found = common.materialize(jaccard_join.components(docs, k=5, percent=80).where("doc_id is not null"), "groups")
     away = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("r"), F.first(F.struct(*docs.columns)).alias("f"))
+    one = one.select(F.coalesce("r", "f").alias("r")).select("r.*")  # all texts null: any of the rows
+    return docs.join(away.union(again), "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

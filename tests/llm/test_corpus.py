@@ -497,3 +497,59 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert got[63].text == " ".join(texts[63].split()[:20]) and got[63].n_chars == len(got[63].text)
     assert all(got[i].text == texts[i] for i in range(60)) and got[62].text == texts[62]
     assert all(r.round_trip for r in got.values() if r.text is not None)
+
+
+def test_pipeline_with_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, extra columns with clashing names; then tables without rows."""
+    rnd = random.Random(21)
+    vocab = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)]
+    word = lambda n: " ".join(rnd.choices(vocab, k=n))
+    a, long = word(60), word(9000)
+    rows = [(1, a), (1, a), (2, a), (3, None), (3, None), (4, ""), (5, word(70)), (5, word(70)), (None, a), (None, None), (6, long), (7, " \n "), (8, "one")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, id int, n int, start int"
+    docs = spark.createDataFrame([(i, t, None, None, None, "c", 1, 2, None) for i, t in rows], schema)
+    labels, items = "doc_id long, quality int, toxic int", "item_id long, text string"
+
+    def run(name, d, l, i):
+        for table, df in (("documents", d), ("labels", l), ("benchmark", i)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        return corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+
+    got = run("odd", docs, spark.createDataFrame([(1, None, None), (None, 1, 1), (5, 1, 0)], labels), spark.createDataFrame([(None, a), (1, None), (2, "")], items))
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
+    by = {r.doc_id: r for r in got}
+    assert by[1].text == a and by[5].text == min(t for i, t in rows if i == 5) and by[6].text == long and by[3].text is None and by[4].text == ""
+    assert all(r.component_id == "c" and (r.id, r.n, r.start) == (1, 2, None) for r in got)
+    empty = run("empty", docs.where("false"), spark.createDataFrame([], labels), spark.createDataFrame([], items))
+    assert empty == []
+
+
+def test_vector_join_over_slabs(spark, monkeypatch):
+    """Several slabs and parts of 20,000 vectors, against all products: links, components, repeated and null ids."""
+    monkeypatch.setattr(vector_join, "SLAB", 3000)
+    monkeypatch.setattr(vector_join, "PART", 2500)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_000, 16)).astype(np.float32)
+    x[10_000:12_000] = x[:2000] + 0.12 * rng.standard_normal((2000, 16)).astype(np.float32)
+    x[15_000:18_000] = x[7] + 0.08 * rng.standard_normal((3000, 16)).astype(np.float32)
+    import pyarrow as pa
+
+    d = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 16).cast(pa.list_(pa.float32()))}))
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    count, root = np.zeros(len(x), int), np.arange(len(x))
+    pairs = []
+    for i in range(0, len(x), 1000):
+        a, b = np.nonzero(u[i : i + 1000] @ u.T >= 0.95)
+        count += np.bincount(a + i, minlength=len(x))
+        pairs.append(np.stack([a + i, b], 1))
+    pairs = np.concatenate(pairs)
+    while True:
+        low = np.minimum.reduceat(root[pairs[:, 1]], np.searchsorted(pairs[:, 0], np.arange(len(x))))
+        if (low == root).all():
+            break
+        root = low
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_join.links(d).collect()}
+    assert got == {i: (int(count[i]) - 1, int(root[i])) for i in range(len(x))}
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(((r.vec_id or 0), r.n_links, r.component_id) for r in vector_join.links(odd).collect()) == [(0, 0, None), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]

@@ -65,7 +65,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, vec: str =
     """One row per row of ``vectors``: ``vec_id``, n_links (other rows at cosine >= ``cosine``), component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do vectors of different
-    lengths.  Equal vectors are one point that counts as often as it occurs.  Rows with one id are different vectors of one component.  ``cosine`` must be
+    lengths; a row without an id has none and a null component.  Equal vectors are one point that counts as often as it occurs.  Rows with one id are different vectors of one component.  ``cosine`` must be
     above 0.  The work grows with the pairs that share a slab window; for data without any structure that is a fixed share of all pairs, as for every exact method.
     """
     spark = vectors.sparkSession
@@ -82,7 +82,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, vec: str =
     for dim, n in dims:
         part = _join(points.where(F.size("v") == dim), dim, n, cosine, min(blocks, dim))
         found = part if found is None else found.union(part)
-    out = vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(F.coalesce(ok, F.lit(False)), same).alias("v"))
+    out = vectors.select(F.col(vec_id).cast("long").alias("id"), F.when(F.coalesce(ok, F.lit(False)) & F.col(vec_id).isNotNull(), same).alias("v"))
     if found is None:
         return out.select(F.col("id").alias(vec_id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = common.materialize(found, "found")
