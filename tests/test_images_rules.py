@@ -82,3 +82,15 @@ def test_head_learns(spark):
     d = spark.createDataFrame([(i, [rnd.gauss(3 * (i % 3 == k), 1) for k in range(3)], i % 3 if i else None) for i in range(300)], "i int, v array<double>, y int")
     out = models.apply_head(d, models.train_head(d, "v", "y"), "v").collect()
     assert len(out) == 300 and sum(r.predicted == r.y for r in out) > 250
+
+
+def test_frames_of_any_store(spark, tmp_path):
+    raw = bytes(range(250)) * 2
+    (tmp_path / "v.raw").write_bytes(raw)
+    from tidespan.sources import frames
+
+    run = lambda **o: [(r.frame_idx, r.t_sec, bytes(r.pixels)) for r in frames.scan(spark, str(tmp_path / "v.raw"), 3, 4, **o).orderBy("frame_idx").collect()]
+    want = [(i, i / 10, raw[12 * i : 12 * i + 12]) for i in range(41)]
+    assert run(fps=10) == run(fps=10, begin=7, stop=3) == want
+    assert run(fps=10, skip=4, begin=2, stop=20) == want[2:20:4] and run(begin=50) == []
+    assert [x[0] for x in run(count=4)] == [5, 15, 25, 35]

@@ -32,13 +32,15 @@ MOST_SAMPLES = 100_000
 def practice(samples: DataFrame, videos: DataFrame, key: str = "video_id", batting: bool = True, fps: float = 30.0, skip: int = 3, mode: str = "quick") -> DataFrame:
     """Movement segments of practice videos from samples (key, sample_idx, moving): runs, padding, bounds, least duration, merged.
 
-    videos: (key, total_frames, duration).  An end is bounded by the duration before the length is tested.  Fixed values by practice type:
+    videos: (key, total_frames) and their duration (if it is not given, that of the frames).  An end is bounded by the duration before the length is tested.  Fixed values by practice type:
     least duration, padding before and after; by mode (quick or detailed) the stillness that closes a run and the most padding after it.
     """
     least, before, after = (0.3, 0.5, 2.0) if batting else (0.4, 0.8, 2.5)
     still = max(1, int(fps * motion.STILL_SECONDS[mode] / skip))
     if mode == "detailed":
         samples = samples.where(F.col("sample_idx") < MOST_SAMPLES)
+    if "duration" not in videos.columns:
+        videos = videos.withColumn("duration", F.col("total_frames") / fps)
     runs = motion.hysteresis_runs(samples, key, "sample_idx", "moving", still).join(videos, key)
     end = F.coalesce(F.col("closed") * skip, F.col("total_frames")) / fps
     s = runs.select(key, F.greatest(F.lit(0.0), F.col("first") * skip / fps - before).alias("start"), F.least("duration", end + min(after, motion.MOST_AFTER[mode])).alias("end"))

@@ -759,3 +759,14 @@ def trained_head(spark, d):
     """Labels predicted by a linear head trained on the vectors."""
     e = tables.read(spark, d, "embeddings")
     return models.apply_head(e, models.train_head(e, "embedding", "label"), "embedding").select("vec_id", "label", "predicted")
+
+
+@query(f"""with {EV} select event_id, ['-i', 'in.mp4', '-ss', k || '.0', '-t', '5.0', '-c:v', 'libx264', '-preset', 'ultrafast', '-tune', 'fastdecode', '-crf', '28', '-c:a', 'aac', '-b:a', '96k', '-avoid_negative_ts', 'make_zero', '-y', 'c.mp4'] as encode,
+ ['-i', 'a' || k, '-i', 'b', '-filter_complex', '[0:v]setpts=PTS-STARTPTS[v0];[0:a]asetpts=PTS-STARTPTS[a0];[1:v]setpts=PTS-STARTPTS[v1];[1:a]asetpts=PTS-STARTPTS[a1];[v0][v1]concat=n=2:v=1:a=0[outv];[a0][a1]concat=n=2:v=0:a=1[outa]',
+ '-map', '[outv]', '-map', '[outa]', '-c:v', 'libx264', '-preset', 'fast', '-crf', '23', '-c:a', 'aac', '-b:a', '128k', '-avoid_negative_ts', 'make_zero', '-y', 'out.mp4'] as joined, greatest(120, k * 3) as timeout from ev""")
+def clip_commands(spark, d):
+    """The encoder's arguments of a cut and of a join by a filter graph."""
+    k = F.col("k")
+    encode = clips.encode_args(F.lit("in.mp4"), k.cast("double"), k + 5.0, F.lit("c.mp4"))
+    joined = clips.graph_args(F.array(F.concat(F.lit("a"), k), F.lit("b")), F.lit("out.mp4"))
+    return tables.events(spark, d).select("event_id", encode.alias("encode"), joined.alias("joined"), clips.second_timeout(k).alias("timeout"))

@@ -44,14 +44,46 @@ def copy_args(source: Column, start: Column, end: Column, clip: Column) -> Colum
     return _args("-ss", F.coalesce(start, F.lit(0.0)), "-to", end, "-i", source, "-c", "copy", "-avoid_negative_ts", "make_zero", "-y", clip)
 
 
-def encode_args(source: Column, start: Column, end: Column, clip: Column) -> Column:
+#: The encoder's options of a first attempt, of a second one, and of joined clips.
+FIRST = ("-c:v", "libx264", "-preset", "ultrafast", "-tune", "fastdecode", "-crf", "28", "-c:a", "aac", "-b:a", "96k", "-avoid_negative_ts", "make_zero")
+SECOND = ("-c:v", "libx264", "-preset", "veryfast", "-crf", "28", "-c:a", "aac", "-b:a", "96k", "-avoid_negative_ts", "make_zero")
+JOINED = ("-c:v", "libx264", "-preset", "fast", "-crf", "23", "-c:a", "aac", "-b:a", "128k", "-avoid_negative_ts", "make_zero")
+
+
+def encode_args(source: Column, start: Column, end: Column, clip: Column, options: tuple[str, ...] = FIRST) -> Column:
+    """Cut and encode; ``SECOND`` are the options of another attempt."""
     begin = F.coalesce(start, F.lit(0.0))
-    return _args("-i", source, "-ss", begin, "-t", end - begin, "-c:v", "libx264", "-preset", "ultrafast", "-crf", 28, "-c:a", "aac", "-y", clip)
+    return _args("-i", source, "-ss", begin, "-t", end - begin, *options, "-y", clip)
+
+
+def second_timeout(seconds: Column) -> Column:
+    """Of the second attempt: three times the length, two minutes at least."""
+    return F.greatest(F.lit(120), F.floor(seconds * 3).cast("int"))
+
+
+def list_args(listing: Column, output: Column) -> Column:
+    """Join the clips of a concat list without encoding."""
+    return _args("-f", "concat", "-safe", 0, "-i", listing, "-c", "copy", "-y", output)
+
+
+def graph_args(clips: Column, output: Column) -> Column:
+    """Join clips by a filter graph, for those that a list can't join: each starts at 0, pictures and sound are joined apart."""
+    at = F.sequence(F.lit(0), F.size(clips) - 1)
+    each = lambda form: F.transform(at, lambda i: F.format_string(form, *[i] * form.count("%d")))
+    parts = F.array_join(each("[%d:v]setpts=PTS-STARTPTS[v%d];[%d:a]asetpts=PTS-STARTPTS[a%d]"), ";")
+    joined = lambda kind, tail: F.concat(F.array_join(each(f"[{kind}%d]"), ""), F.format_string(tail, F.size(clips)))
+    graph = F.concat_ws(";", parts, joined("v", "concat=n=%d:v=1:a=0[outv]"), joined("a", "concat=n=%d:v=0:a=1[outa]"))
+    inputs = F.flatten(F.transform(clips, lambda c: F.array(F.lit("-i"), c)))
+    return F.concat(inputs, _args("-filter_complex", graph, "-map", "[outv]", "-map", "[outa]", *JOINED, "-y", output))
+
+
+#: Fixed value: the filter that brings clips to one rate and shape.
+UNIFORM = "fps={fps},scale={width}:{height}:force_original_aspect_ratio=decrease,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2"
 
 
 def uniform_args(source: Column, clip: Column, fps: int = FPS, width: int = WIDTH, height: int = HEIGHT) -> Column:
     """One frame rate and size for clips to be joined, bars where the shape differs."""
-    return _args("-i", source, "-vf", f"fps={fps},scale={width}:{height}:force_original_aspect_ratio=decrease,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2", "-c:v", "libx264", "-c:a", "aac", "-y", clip)
+    return _args("-i", source, "-vf", UNIFORM.format(fps=fps, width=width, height=height), "-c:v", "libx264", "-c:a", "aac", "-y", clip)
 
 
 def still_args(source: Column, at: Column, image: Column) -> Column:

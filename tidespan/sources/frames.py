@@ -5,7 +5,8 @@ The decoder is the one part that needs Python workers; without one installed, ra
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -46,5 +47,20 @@ class FramesReader(DataSourceReader):
                 i += self.skip
 
 
+def scan(spark: SparkSession, path: str, width: int, height: int, fps: float = 30.0, skip: int = 1, begin: int = 0, stop: int | None = None, count: int | None = None) -> DataFrame:
+    """The same rows from any store that Spark reads (files of up to 2 GB), cut to frames in the JVM: every ``skip``-th frame of a range (the whole video if the
+    range is invalid), or ``count`` evenly spaced ones.  A frame that the file holds in part is left out.
+    """
+    from ..operators.dataset import sample_positions
+
+    size = width * height
+    total = F.floor(F.length("content") / size).cast("int")
+    low, high = (begin, stop if stop is not None else 2**31 - 1) if begin >= 0 and (stop is None or stop > begin) else (0, 2**31 - 1)
+    some = sample_positions(count, total) if count else F.sequence(F.lit(low), F.least(total, F.lit(high)) - 1, F.lit(skip))
+    index = F.when(total > (0 if count else low), some.cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(index, lambda i: F.struct(i.cast("long").alias("frame_idx"), (i / (fps or 30.0)).alias("t_sec"), F.substring("content", i * size + 1, F.lit(size)).alias("pixels")))
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("video"), F.explode(cut).alias("f")).select("video", "f.*")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FramesSource)

@@ -53,18 +53,26 @@ def rate_limited(df: DataFrame, key: str, t: str, tie: str, limit: int, window:
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def rate_limited_stream(stream: DataFrame, key: str, t: str, limit: int, window: int) -> DataFrame:
-    """Streaming: (key, t, allowed); the state of a key is its count and the end of its window."""
+def rate_limited_stream(stream: DataFrame, key: str, t: str, limit: int, window: int, forget_ms: int | None = None) -> DataFrame:
+    """Streaming: (key, t, allowed); the state of a key is its count and the end of its window.
+
+    With ``forget_ms``, a key without events for so long (of wall time; its window must be over by then) loses its state, so that state doesn't grow with all keys ever seen.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, reset = state.get if state.exists else (0, -1)
         pdf = pd.concat(list(batches)).sort_values(t)
         flags, count, reset = allow(pdf[t].tolist(), limit, window, count, None if reset < 0 else reset)
         state.update((count, reset))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame({key: k[0], t: pdf[t], "allowed": flags})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {t} long, allowed boolean", "count long, reset long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {t} long, allowed boolean", "count long, reset long", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
 
 
 #: What a webhook delivers: one JSON document for each call.
