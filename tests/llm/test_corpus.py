@@ -141,8 +141,11 @@ def test_jaccard_join(docs, k, percent):
     assert len(set(expected.values())) < len(expected)
 
 
-def test_jaccard_family_needs_rounds(spark):
-    """Many near copies of one text, some of which only reach each other through others."""
+@pytest.mark.parametrize("leaf, salts", [(1024, 1024), (8, 2)])
+def test_jaccard_family_needs_rounds(spark, monkeypatch, leaf, salts):
+    """Many near copies of one text, some of which only reach each other through others: in one task, and in rounds."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "SALTS", salts)
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(100)]
     rows = []
@@ -151,11 +154,28 @@ def test_jaccard_family_needs_rounds(spark):
         for _ in range(rnd.randrange(0, 5)):
             w[rnd.randrange(100)] = f"e{rnd.random()}"
         rows.append((i, " ".join(w)))
+    rows += [(100 + i, rows[i % 3][1]) for i in range(20)]
     sets = {i: {tuple(t.split()[j : j + 4]) for j in range(97)} for i, t in rows}
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard_join.components(d, 4, 85).collect()} == components(sets, 85)
 
 
+def test_region_join_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for m in (2, 5, 40, 130):
+        base = rng.integers(0, 400, 60)
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.03, 0.1, 0.5]), rng.integers(0, 400, 60), base)) for _ in range(m)]
+        extra = rng.integers(0, 6, m)  # shingles that no other document holds
+        size = np.array([len(x) for x in sets]) + extra
+        root = jaccard_join._join_region(size, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]), 80)
+        want = np.arange(m)
+        linked = [(i, j) for i in range(m) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (size[i] + size[j] - k)]
+        for _ in range(m):
+            for i, j in linked:
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+        assert (root == want).all()
+
+
 def test_jaccard_odd_rows(spark):
     d = spark.createDataFrame([(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (8, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.component_id) for r in jaccard_join.components(d, 4, 85).collect()) == [("7", 7), ("7", 7), ("8", 8), ("None", None)]

@@ -247,7 +247,7 @@ def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_00
         rest = rest.join(renamed, rest["comp"] == renamed["node"], "left").select("region", "id", "n", "pos", "most", F.coalesce("component", "comp").alias("comp"))
         alive = rest.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region")
         members = common.materialize(rest.join(alive, "region"), "regions")
-        common.release(spark)
+        common.release(base.sparkSession)
     else:
         raise RuntimeError("regions did not settle")
     bins = max(1, -(-small.count() // BIN))
