@@ -86,8 +86,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star rounds, each a shuffle on the node, until nothing changes; edges stay
     distributed, and the number of rounds grows with the logarithm of the longest chain.  Hot nodes are pre-aggregated
-    by the partial ``min``; the minima are written before they are joined, so that both sides of a join are plain shuffles and adaptive
-    execution can split a hot node's edges.  Each round replaces an edge by at most one, so the edge list never grows.
+    by the partial ``min``; the minima of the large stars are written before they are joined, so that both sides of that join are plain shuffles and adaptive
+    execution can split a hot node's edges (small stars join on their far nodes, which have few edges).  Each round replaces an edge by at most one, so the edge list never grows.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialize(e, "cc")
@@ -100,11 +100,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: neighbours above the node hang from the smallest neighbour
         big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the node and its neighbours below hang from the smallest of them
-        big = materialize(big, "cc")
-        least = materialize(big.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = materialize(small, "cc")
-        for x in (e, low, big, least):
+        for x in (e, low):
             discard(x)
         e = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
