@@ -29,7 +29,7 @@ from . import text as T
 #: Members of a region that is joined in one task.
 LEAF = 1024
 #: Members of the regions that one task joins, about.
-BIN = 4096
+BIN = 1024
 #: Parts of a group of equal sets, so that none is gathered in one task.
 SALTS = 1024
 _BASE = S.StructType([S.StructField("id", S.LongType()), S.StructField("n", S.IntegerType()), S.StructField("sig", S.LongType()), S.StructField("sig2", S.LongType()), S.StructField("alone", S.IntegerType()), S.StructField("anchors", S.ArrayType(S.LongType())), S.StructField("common", S.ArrayType(S.LongType()))])
