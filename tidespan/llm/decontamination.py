@@ -128,6 +128,7 @@ def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: flo
     spots = held.where(F.size("at") >= F.col("need")).select("doc", "th", "item", "len", F.explode(_starts(F.col("at"), F.col("m"), F.col("need"), F.greatest(F.lit(0), F.col("n") - F.col("len")))).alias("start"))
     windows = d.join(spots.drop("n"), ["doc", "th"]).select("doc", "start", "item", "len", F.slice("w", F.col("start") + 1, F.col("len")).alias("ww"), (F.col("start") >= F.col("n") - F.col("len")).alias("final"))
     windows = common.materialize(windows.dropDuplicates(["doc", "start", "item", "len", "ww"]), "windows")
+    common.discard(d)
     # A window's words decide its fingerprint, so equal windows of many documents are fingerprinted and verified once.
     wid = F.xxhash64("ww")
     kinds = common.materialize(windows.select("item", "len", wid.alias("wid"), "ww").dropDuplicates(["item", "len", "wid", "ww"]).withColumn("kind", F.monotonically_increasing_id()), "kinds")
@@ -141,6 +142,8 @@ def matches(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: flo
     grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
     near = near.select("len", "wid", "ww", "item", "hamming", grams(F.col("ww")).alias("gw"), grams(F.col("iw")).alias("gi"), F.monotonically_increasing_id().alias("pair"))
     near = common.materialize(near, "near")
+    for x in (kinds, item):
+        common.discard(x)
     count = lambda side: near.select("pair", F.posexplode(side).alias("pos", "gram")).groupBy("pair", "gram").agg(F.count("*").alias(f"n_{side}"), F.min("pos").alias(f"first_{side}"), F.max("pos").alias(f"last_{side}"))
     both = count("gw").join(count("gi"), ["pair", "gram"]).groupBy("pair").agg(F.sum(F.least("n_gw", "n_gi")).alias("lesser"), F.max(F.col("first_gw") < F.col("last_gi")).alias("before"), F.max(F.col("last_gw") > F.col("first_gi")).alias("after"))
     near = near.join(both, "pair").withColumn("similarity", F.col("lesser") / (F.size("gw") + F.size("gi") - F.col("lesser"))).where(F.col("similarity") >= similarity)

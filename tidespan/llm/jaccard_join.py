@@ -181,18 +181,24 @@ def copies(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     return some, common.materialize(rep, "sets")
 
 
-def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_000) -> list[DataFrame]:
-    """(a, b) links between points whose components are those of all pairs at least ``percent`` alike.
+def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_000) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(a, b) links between points whose components are those of all pairs at least ``percent`` alike, and what can be discarded once those are read.
 
     ``rep``: the points, as ``copies`` gives them.
     """
+    written = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        written.append(common.materialize(df, tag))
+        return written[-1]
+
     full = base.where("n > 0 and id is not null")
     # An id with several sets links them.
     several = full.groupBy("id").agg(F.collect_set(F.struct("n", "sig", "sig2")).alias("s")).where(F.size("s") > 1).select("id", F.explode("s").alias("s")).select("id", "s.*")
     several = several.join(rep, ["n", "sig", "sig2"]).groupBy("id").agg(F.collect_set("rep").alias("r")).select(F.array_min("r").alias("a"), F.explode("r").alias("b"))
     out = [several.where("a <> b")]
     points = full.where(F.size("anchors") > 0).join(rep.select("n", "sig", "sig2", F.col("rep").alias("id")), ["n", "sig", "sig2", "id"], "left_semi").dropDuplicates(["id", "n", "sig", "sig2"])
-    points = common.materialize(points.select("id", "n", "alone", "anchors", "common"), "points")
+    points = keep(points.select("id", "n", "alone", "anchors", "common"), "points")
     eps = 1 - percent / 100
     a = points.select("id", "n", F.posexplode("anchors").alias("pos", "region"), "alone")
     # What comes before the first shingle that two sets share is shared by none of them: of a set with ``pos`` shingles before it, at most
@@ -204,12 +210,12 @@ def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_00
     kept = kept.groupBy("m", "s", "x").agg(F.min(F.struct("p", "region", "low")).alias("r")).select("r.region", "r.low")
     # Of two members, one at least has most >= n; the others need one of those that is small enough.
     a = a.join(kept, "region").where("most >= n or most >= low").select("region", "id", "n", "pos", "most", F.col("id").alias("comp"))
-    members, small = common.materialize(a, "regions"), None
+    members, small = keep(a, "regions"), None
     for r in range(max_rounds):
         sizes = members.groupBy("region").agg(F.count("*").alias("m"))
-        leaf = common.materialize(members.join(sizes.where(F.col("m") <= LEAF).select("region"), "region").select("region", "id"), "leaf")
+        leaf = keep(members.join(sizes.where(F.col("m") <= LEAF).select("region"), "region").select("region", "id"), "leaf")
         small = leaf if small is None else small.union(leaf)
-        members = common.materialize(members.join(sizes.where(F.col("m") > LEAF).select("region"), "region"), "regions")
+        members = keep(members.join(sizes.where(F.col("m") > LEAF).select("region"), "region"), "regions")
         if members.isEmpty():
             break
         # Pivots: the smallest id at first; then members of the smallest and of the largest components of each region.
@@ -230,7 +236,7 @@ def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_00
         measured = pairs.join(left, "id").join(right, "pivot").select("id", "pivot", "n1", "n2", F.size(F.array_intersect("c1", "c2")).alias("i"))
         union = F.col("n1") + F.col("n2") - F.col("i")
         measured = measured.groupBy("id", "pivot").agg(F.max(F.col("i") * 100 >= union * percent).alias("linked"), F.min(1 - F.col("i") / union).alias("d"))
-        measured = common.materialize(measured, "distances")
+        measured = keep(measured, "distances")
         hits = measured.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         out.append(hits)
         seen = near.join(measured, ["id", "pivot"])
@@ -246,14 +252,14 @@ def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_00
         renamed = common.connected_components(merged)
         rest = rest.join(renamed, rest["comp"] == renamed["node"], "left").select("region", "id", "n", "pos", "most", F.coalesce("component", "comp").alias("comp"))
         alive = rest.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region")
-        members = common.materialize(rest.join(alive, "region"), "regions")
+        members = keep(rest.join(alive, "region"), "regions")
         common.release(base.sparkSession)
     else:
         raise RuntimeError("regions did not settle")
     bins = max(1, -(-small.count() // BIN))
     held = small.join(points.select("id", "n", "common"), "id").withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
-    out.append(common.materialize(held.groupBy("bin").applyInArrow(lambda table: _join_bin(table, percent), "a long, b long"), "links"))
-    return out
+    out.append(keep(held.groupBy("bin").applyInArrow(lambda table: _join_bin(table, percent), "a long, b long"), "links"))
+    return out, written
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -267,9 +273,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text
     common.release(docs.sparkSession)
     parts, rep = copies(base)
     edges = None
-    for e in links(base, rep, percent):
+    found, written = links(base, rep, percent)
+    for e in found:
         edges = e if edges is None else edges.union(e)
     grown = common.connected_components(edges)
+    for x in written:
+        common.discard(x)
     # Parts are joined rather than ids, so that no task holds all copies of a text.
     named = rep.select("rep", F.explode("parts").alias("part")).join(grown, F.col("rep") == F.col("node"), "left").select("part", F.coalesce("component", "rep").alias("component"))
     named = parts.join(named.groupBy("part").agg(F.min("component").alias("component")), "part")
