@@ -81,16 +81,13 @@ class Lexicon:
     def neighbours(self, text: str | None) -> set[str]:
         """Pairs of words of which the lexicon matches in one (folded)."""
         words, out = fold(text).split(), set()
-        hit = [self._matches(w) for w in words]
-        for i in range(len(words) - 1):
-            if hit[i] or hit[i + 1]:
-                out.add(f"{words[i]} {words[i + 1]}")
+        most = max(map(len, self.weights), default=0)
+        held = {w: any(f" {w} "[:n] in self.weights for n in range(1, min(most, len(w) + 2) + 1)) for w in set(words)}
+        for a, b in zip(words, words[1:]):
+            if held[a] or held[b]:
+                out.add(f"{a} {b}")
         return out
 
-    def _matches(self, word: str) -> bool:
-        whole, most = f" {word} ", max(map(len, self.weights), default=0)
-        return any(whole[:n] in self.weights for n in range(1, min(most, len(whole)) + 1))
-
     def score(self, text: str | None) -> float:
         total, density = self.features(text)
         b0, b1, b2 = self.coefficients
