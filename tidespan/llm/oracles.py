@@ -38,4 +38,23 @@ OP9 = f"""with recursive d as (select doc_id, {WORDS.format(ASCII_LOWER)} as w f
  links(a, b) as materialized (select x.doc_id, y.doc_id from x join x y on x.g = y.g and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))), {REACH}
  select doc_id, len(s) as n_shingles, coalesce(low, doc_id) as component_id from s left join low on low.a = doc_id"""
 
-ORACLE_SQL = {"op3_substring_dedup": OP3, "op4_vector_join": OP4, "op8_decontamination": OP8, "op9_jaccard_join": OP9}
+#: Ten rounds, written out: a CTE for the assignment and one for the centroids of each.
+KMEANS = """v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+ where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ c0 as materialized (select cast(row_number() over (order by sha256('3:' || vec_id)) - 1 as integer) as c, e from v qualify c < 8),
+ """ + ",\n ".join(
+    f"""a{r} as materialized (select vec_id, v.e, arg_min(c, (list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c{r}.e[i]) * (v.e[i] - c{r}.e[i]))), c)) as c,
+ min(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c{r}.e[i]) * (v.e[i] - c{r}.e[i])))) as d from v, c{r} group by all)"""
+    + (f""", m{r} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as e from (select c, i, sum(e[i]) as s, count(*) as n from a{r}, range(1, 65) t(i) group by c, i) group by c),
+ c{r + 1} as materialized (select c, coalesce(m{r}.e, c{r}.e) as e from c{r} left join m{r} using (c))""" if r < 10 else "")
+    for r in range(11)
+)
+OP11 = f"""with {KMEANS}, s as (select c, sum(d) as s from a10 group by c) select vec_id, c as cluster, cast(d as bigint) as distance, cast(s as bigint) as cluster_inertia,
+ cast((select sum(d) from a10) as bigint) as inertia, sha256(array_to_string(c10.e, ',')) as centroid_sha256 from a10 join s using (c) join c10 using (c)"""
+
+OP13 = """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+ where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ p as (select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i])) as bigint) as score from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 50 = 0)
+ select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from p qualify rank <= 5"""
+
+ORACLE_SQL = {"op3_substring_dedup": OP3, "op4_vector_join": OP4, "op8_decontamination": OP8, "op9_jaccard_join": OP9, "op11_centroids": OP11, "op13_topk_lists": OP13}

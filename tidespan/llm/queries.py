@@ -89,4 +89,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pitman_yor, op3_substring_dedup, op4_vector_join, op5_language_id, op6_token_counts, op7_toxicity, op8_decontamination, op9_jaccard_join, op10_quality)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ptolemaic_kmeans import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dim=64, salt="3:")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import detect, listed, strongest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("crc32(cast(cast(doc_id as string) as binary)) div 10")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    # A tenth of the documents gets a planted repeat: from word a on, the p words from there over and over.
+    n, a, p = (F.col(c) for c in "nap")
+    some = docs.where((h % 10 == 0) & (F.size(words) > 0)).select("doc_id", words.alias("w"), g.alias("g")).withColumn("n", F.size("w")).withColumn("a", F.col("g") % n).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("w", F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
+    rest = docs.where(~F.coalesce((h % 10 == 0) & (F.size(words) > 0), F.lit(False)))
+    found = detect(rest.unionByName(some.select("doc_id", F.array_join(planted, " ").alias("text"))))
+    best = strongest("runs")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed("runs").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_topk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk_lists import search
+
+    return search(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pitman_yor, op3_substring_dedup, op4_vector_join, op5_language_id, op6_token_counts, op7_toxicity, op8_decontamination, op9_jaccard_join, op10_quality, op11_centroids, op12_periodic_runs, op13_topk_lists)}
