@@ -9,7 +9,7 @@ from ..functions import images, models, scalar, vision
 from ..operators import association, dataset, intervals, jobs, motion, select, tracks
 from ..sources import clips, tables
 from ..streaming import streams
-from . import pipelines
+from . import pipelines, tracked
 
 HOUR = 3_600_000_000
 QUERIES: dict = {}
@@ -770,3 +770,8 @@ def clip_commands(spark, d):
     encode = clips.encode_args(F.lit("in.mp4"), k.cast("double"), k + 5.0, F.lit("c.mp4"))
     joined = clips.graph_args(F.array(F.concat(F.lit("a"), k), F.lit("b")), F.lit("out.mp4"))
     return tables.events(spark, d).select("event_id", encode.alias("encode"), joined.alias("joined"), clips.second_timeout(k).alias("timeout"))
+
+
+for more in (tracked,):
+    QUERIES |= more.QUERIES
+    ORACLE_SQL |= getattr(more, "ORACLE_SQL", {})
