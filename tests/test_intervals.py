@@ -149,3 +149,28 @@ def test_if_empty(spark):
     b = spark.createDataFrame([("x", 2), ("y", 3)], "k string, v int")
     assert rows(select.if_empty(a, b, "k"), "k", "v") == [("x", 1), ("y", 3)]
     assert rows(select.if_empty(a.where("false"), b, "k"), "k", "v") == [("x", 2), ("y", 3)]
+
+
+@pytest.mark.parametrize("least, cell", [(0.3, 16.0), (0.05, 1.0), (1.0, 500.0)])
+def test_boxes_meet_in_cells_once(spark, least, cell):
+    rnd = random.Random(6)
+
+    def boxes(n, first):
+        out = []
+        for i in range(n):
+            w, h, x, y = rnd.choice([1, 16, 64, 64, 900]) * rnd.choice([1, 1, 1.5]), rnd.choice([1, 16, 64, 64, 900]), rnd.choice([rnd.uniform(-100, 100), -16.0, 0.0]), rnd.choice([rnd.uniform(-50, 50), 0.0])
+            out.append((rnd.choice("kl"), first + i, rnd.randrange(30), (x, y, x + w, y + h)))
+        return out + [("k", first + n, 3, (0.0, 0.0, 0.0, 10.0)), ("k", first + n + 1, 3, (None, 0.0, 1.0, 1.0)), (None, first + n + 2, 3, (0.0, 0.0, 64.0, 64.0)), ("k", first + n + 3, 3, None), ("k", first + n + 4, None, (0.0, 0.0, 64.0, 64.0))]
+
+    a, b = boxes(120, 0), boxes(150, 1000)
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    got = association.overlapping(spark.createDataFrame(a, f"k string, seed int, ts int, a {box}"), spark.createDataFrame(b, f"k string, point int, tt int, b {box}"), "k", "ts", "tt", 4, least, cell=cell)
+    want = []
+    for k, i, t, p in a:
+        for m, j, u, q in b:
+            if k and k == m and p and q and None not in p + q and t is not None and u is not None and abs(t - u) <= 4:
+                both = max(0.0, min(p[2], q[2]) - max(p[0], q[0])) * max(0.0, min(p[3], q[3]) - max(p[1], q[1]))
+                if both / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both + 1e-6) >= least:
+                    want.append((i, j))
+    assert rows(got, "seed", "point") == sorted(want) and (want or least == 1)
+    assert association.overlapping(spark.createDataFrame([], f"k string, seed int, ts int, a {box}"), spark.createDataFrame(b, f"k string, point int, tt int, b {box}"), "k", "ts", "tt", 4, least).count() == 0

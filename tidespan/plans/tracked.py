@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import tracker, tracks
+from ..operators import association, tracker, tracks
 from ..sources import tables
 
 #: Vectors of a video and of a frame.
@@ -30,3 +30,30 @@ def tracked_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"tracked_boxes": tracked_boxes}
+
+
+#: Ids apart that a seed and a sighting may be, and the least overlap of their boxes.
+NEAR, OVERLAP = 60, 0.3
+
+
+def boxes_meet(spark: SparkSession, d: str) -> DataFrame:
+    """The track that most seeds of each label elect: a third of the vectors are seeds, the others sightings; near in time and overlapping counts."""
+    x = lambda i: F.col("embedding")[i].cast("double")
+    left, top, width, height = 90 * x(0), 90 * x(1), 30 + 90 * F.abs(x(2)) + F.when(F.col("vec_id") % 11 == 0, 500.0).otherwise(0.0), 60 + 90 * F.abs(x(3))
+    box = F.struct(left.alias("x1"), top.alias("y1"), (left + width).alias("x2"), (top + height).alias("y2"))
+    e = tables.read(spark, d, "embeddings").where(F.size("embedding") >= 16).select("label", "vec_id", box.alias("box"))
+    a = e.where("vec_id % 3 = 0").select("label", F.col("vec_id").alias("seed"), F.col("vec_id").alias("ts"), F.col("box").alias("a"))
+    b = e.where("vec_id % 3 <> 0").select("label", (F.col("vec_id") % 7).alias("track"), F.col("vec_id").alias("tt"), F.col("box").alias("b"))
+    pairs = association.overlapping(a, b, "label", "ts", "tt", NEAR, OVERLAP)
+    return association.elect(association.votes(pairs, "label", "seed", "track", "seed"), "label", "track").select("label", "track", "votes", "first_seed")
+
+
+QUERIES["boxes_meet"] = boxes_meet
+ORACLE_SQL = {
+    "boxes_meet": f"""with e as (select label, vec_id, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings where len(embedding) >= 16),
+ o as (select label, vec_id, 90 * x[1] as x1, 90 * x[2] as y1, 90 * x[1] + (30 + 90 * abs(x[3]) + case when vec_id % 11 = 0 then 500 else 0 end) as x2, 90 * x[2] + (60 + 90 * abs(x[4])) as y2 from e),
+ p as (select a.label, a.vec_id as seed, b.vec_id % 7 as track, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as common,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as areas from o a join o b on a.label = b.label and abs(a.vec_id - b.vec_id) <= {NEAR} and a.vec_id % 3 = 0 and b.vec_id % 3 <> 0),
+ v as (select label, track, count(distinct seed) as votes, min(seed) as first_seed from p where common / (areas - common + 1e-6) >= {OVERLAP} group by label, track)
+ select label, track, votes, first_seed from v qualify row_number() over (partition by label order by votes desc, first_seed, track) = 1"""
+}
