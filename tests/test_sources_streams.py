@@ -29,6 +29,50 @@ def test_frames(spark, tmp_path):
     assert [(r.frame_idx, r.t_sec, bytes(r.pixels)[0]) for r in got] == [(0, 0.0, 0), (3, 0.3, 12), (6, 0.6, 24), (9, 0.9, 36)]
 
 
+def test_frames_reads_what_a_filter_leaves(spark, tmp_path, monkeypatch):
+    rnd = random.Random(1)
+    paths = [str(tmp_path / f"{n}.raw") for n in "ab"]
+    data = {p: rnd.randbytes(6 * n + 5) for p, n in zip(paths, (1000, 37))}  # the last frame is cut off
+    for p, raw in data.items():
+        with open(p, "wb") as f:
+            f.write(raw)
+    frames.register(spark)
+    whole = spark.createDataFrame([(p, i, i / 29.97, bytearray(raw[6 * i : 6 * i + 6])) for p, raw in data.items() for i in range(len(raw) // 6)], "video string, frame_idx long, t_sec double, pixels binary")
+    for where in ("t_sec >= 3.3 and t_sec < 7.1", f"frame_idx > 20 and frame_idx <= 30 and video = '{paths[0]}'", f"t_sec = {30 / 29.97!r}", f"t_sec > {30 / 29.97!r} and t_sec <= {33 / 29.97!r}", "t_sec < -1 or frame_idx = 5", "frame_idx in (3, 4) and t_sec is not null", "frame_idx > 5000", "video is null", "t_sec >= 'NaN'"):
+        for skip in (1, 4):
+            source = spark.read.format("frames").options(paths=",".join(paths), width="3", height="2", fps="29.97", skip=str(skip), part_frames="50").load()
+            assert sorted(map(tuple, source.where(where).collect())) == sorted(map(tuple, whole.where(f"frame_idx % {skip} = 0").where(where).collect())), (where, skip)
+    # bytes that are read, counted in this process
+    read = []
+    real = frames.opened
+
+    def counting(path):
+        size, make = real(path)
+
+        class Spy:
+            def __enter__(self):
+                self.f = make()
+                return self
+
+            def __exit__(self, *_):
+                self.f.close()
+
+            def read_at(self, n, at):
+                read.append((at, n))
+                return self.f.read_at(n, at)
+
+        return size, Spy
+
+    monkeypatch.setattr(frames, "opened", counting)
+    reader = frames.FramesReader({"paths": ",".join(paths), "width": "3", "height": "2", "fps": "10", "part_frames": "30"})
+    odd = frames.GreaterThan(("pixels",), b"")
+    assert list(reader.pushFilters([frames.GreaterThanOrEqual(("t_sec",), 20.0), frames.LessThan(("t_sec",), 30.0), odd])) == [odd]
+    parts = reader.partitions()
+    assert [(p.first, p.stop) for p in parts] == [(200, 230), (230, 260), (260, 290), (290, 300)]
+    got = [x for p in parts for b in reader.read(p) for x in b.column("frame_idx").to_pylist()]
+    assert got == list(range(200, 300)) and sum(n for _, n in read) == 100 * 6 and min(a for a, _ in read) == 1200
+
+
 def test_stream_sessions_equal_batch(spark, tmp_path):
     rnd = random.Random(2)
     data = [(k, i, rnd.randrange(400)) for i, k in enumerate(rnd.choices(["a", "b"], k=60))] + [("c", 100, 0), ("c", 101, 10), ("c", 102, 21)]
