@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import training
 from ..operators import association, tracker, tracks
 from ..sources import tables
 
@@ -57,3 +58,13 @@ ORACLE_SQL = {
  v as (select label, track, count(distinct seed) as votes, min(seed) as first_seed from p where common / (areas - common + 1e-6) >= {OVERLAP} group by label, track)
  select label, track, votes, first_seed from v qualify row_number() over (partition by label order by votes desc, first_seed, track) = 1"""
 }
+
+
+def trained_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of all vectors, as eight frames of eight numbers, by the best of five epochs."""
+    e = tables.read(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    done = training.train(e, "embedding", "label", "vec_id", classes=10, frames=8, rate=0.01, decay=0.01)
+    return training.predicted(e, done.best, "embedding").select("vec_id", "label", "predicted")
+
+
+QUERIES["trained_epochs"] = trained_epochs

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from . import stores
+
 #: Bytes of a partition and of a batch, about.
 PART_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 SCHEMA = pa.schema([("video", pa.string()), ("frame_idx", pa.int64()), ("t_sec", pa.float64()), ("pixels", pa.binary())])
@@ -43,10 +45,8 @@ class Range(InputPartition):
 
 
 def opened(path: str):
-    """(size, a seekable file) of a path or URI."""
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    """(size, how to open it) of a path or URI."""
+    store, at = stores.resolve(path)
     return store.get_file_info(at).size, lambda: store.open_input_file(at)
 
 
