@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import training
-from ..operators import association, tracker, tracks
+from ..operators import association, correlation, tracker, tracks
 from ..sources import tables
 
 #: Vectors of a video and of a frame.
@@ -68,3 +68,28 @@ def trained_epochs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["trained_epochs"] = trained_epochs
+
+
+#: Vectors of a video of frames of eight by eight.
+SHOTS = 40
+
+
+def shifted_frames(spark: SparkSession, d: str) -> DataFrame:
+    """A video is the picture of its first vector, moving by one cell right each frame and one down every third, round the borders, with the vector of each frame as noise."""
+    from pyspark.sql import Window
+
+    e = tables.read(spark, d, "embeddings").where(F.size("embedding") == 64)
+    video, at = F.expr(f"vec_id div {SHOTS}"), F.col("vec_id") % SHOTS
+    x = e.select(video.alias("video"), at.alias("frame"), "embedding").withColumn("base", F.first("embedding").over(Window.partitionBy("video").orderBy("frame")))
+    old = lambda i: F.pmod(F.floor(i / 8) - F.expr("frame div 3"), F.lit(8)) * 8 + F.pmod(i % 8 - F.col("frame"), F.lit(8))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("base", old(i).cast("int")).cast("double") + 0.25 * F.get("embedding", i).cast("double"))
+    return x.select("video", "frame", cells.alias("cells"))
+
+
+def correlated_track(spark: SparkSession, d: str) -> DataFrame:
+    """Where a correlation filter finds each video's target; a dense solve is the test."""
+    out = correlation.correlate(shifted_frames(spark, d), "video", "frame", "cells", 8, fade=False)
+    return out.select("video", "frame", "dx", "dy", F.round("peak", 6).alias("peak"), "found")
+
+
+QUERIES["correlated_track"] = correlated_track
