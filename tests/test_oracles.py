@@ -8,7 +8,7 @@ import pytest
 from tidespan.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
 
 
 def plain(v):

@@ -56,3 +56,91 @@ def save_checkpoint(spark: SparkSession, path: str, epoch: int, score: float, we
 def best_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """The state of the highest score; of equal ones the earliest epoch."""
     return spark.read.parquet(path).orderBy(F.desc("score"), "epoch").limit(1)
+
+
+#: The settings of the models that a detection uses; the detector's confidence is the request's.
+MODEL_SETTINGS = {
+    "detector": {"model": "yolov8x.pt", "classes": [0], "tracking": True},
+    "landmarks": {"pose": True, "face": True, "hands": False, "holistic": False},
+    "face": {"model": "FaceNet", "distance_metric": "cosine", "enforce_detection": False},
+    "appearance": {"model": "osnet_x1_0", "max_dist": 0.6, "min_confidence": 0.3},
+}
+
+
+def model_settings(confidence):
+    """A struct of the settings of each model, for a request's confidence threshold."""
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    part = lambda name, more=(): F.struct(*(value(v).alias(k) for k, v in MODEL_SETTINGS[name].items()), *more).alias(name)
+    return F.struct(part("detector", (confidence.alias("confidence"),)), *(part(n) for n in MODEL_SETTINGS if n != "detector"))
+
+
+def detections(frames: DataFrame, load: Callable[[], Callable[[list], list]], content: str, out: str = "boxes", fields: str = "x1 double, y1 double, x2 double, y2 double, cls int, conf double") -> DataFrame:
+    """Adds ``out``, an array of boxes, by a detector of frames.
+
+    ``load()`` gives a function of a list of contents that returns a list of lists of tuples; it is loaded once for each task and sees a batch at a time.  A batch that fails is tried frame by frame, and a frame that
+    fails has no boxes; a null content has none either.
+    """
+    kind = f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in fields.split(','))}>>"
+    names = [f.split()[0] for f in fields.split(",")]
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        detect = load()
+
+        def one(x) -> list:
+            try:
+                return detect([x])[0]
+            except Exception:
+                return []
+
+        for b in batches:
+            some = b[b.notna()]
+            try:
+                found = detect(list(some))
+            except Exception:
+                found = [one(x) for x in some]
+            boxes = dict(zip(some.index, found))
+            yield pd.Series([[dict(zip(names, box)) for box in boxes.get(i, [])] for i in b.index], b.index)
+
+    return frames.withColumn(out, run(F.col(content)))
+
+
+def read_texts(crops: DataFrame, load: Callable[[], Callable[[object], list[str]]], content: str, every: int, sample: str, out: str = "texts") -> DataFrame:
+    """Adds ``out``, the texts that a reader finds on each crop of every ``every``-th sample; none on other samples, on a null crop, and where the reader fails."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        read = load()
+
+        def one(x) -> list:
+            try:
+                return [str(t) for t in read(x)]
+            except Exception:
+                return []
+
+        for b in batches:
+            yield pd.Series([[] if x is None else one(x) for x in b], b.index)
+
+    now = F.col(content).isNotNull() & (F.col(sample) % every == 0)
+    # Rows that aren't read go around the reader.
+    some = crops.where(now).withColumn(out, run(F.col(content)))
+    return some.unionByName(crops.where(~F.coalesce(now, F.lit(False))).withColumn(out, F.array().cast("array<string>")))
+
+
+def scored(df: DataFrame, load: Callable[[], Callable[[object], str]], content: str, out: str = "answer") -> DataFrame:
+    """Adds the answer of a remote scorer as text, empty where it fails or the content is null."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = load()
+
+        def one(x) -> str:
+            try:
+                return "" if x is None else call(x)
+            except Exception:
+                return ""
+
+        for b in batches:
+            yield pd.Series([one(x) for x in b], b.index)
+
+    return df.withColumn(out, run(F.col(content)))

@@ -122,3 +122,46 @@ def missing_keys(required: DataFrame, present: DataFrame, key: str = "key", valu
     """Required keys that have no value (or an empty one)."""
     has = present.where(F.coalesce(F.col(value).cast("string"), F.lit("")) != "").select(key)
     return required.select(key).distinct().join(has, key, "left_anti")
+
+
+def snapshot(log: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """A log in one row for each job: for each field a struct of ``order`` and ``value``, the last that is not null, and updated_at.  The form that ``merged`` adds up."""
+    last = lambda f: F.max(F.when(F.col(f).isNotNull(), F.struct(*order, F.col(f).alias("value"))))
+    return log.groupBy(key).agg(*(last(f).alias(f) for f in fields), F.max(order[0]).alias("updated_at"))
+
+
+def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """One snapshot of two, field by field.  Rows that both have seen do no harm, nor does the order in which they came."""
+    both = first.unionByName(second)
+    return both.groupBy(key).agg(*(F.max(c).alias(c) for c in first.columns if c != key))
+
+
+def state_of(snapshots: DataFrame, key: str) -> DataFrame:
+    """What ``latest`` gives for the whole log."""
+    return snapshots.select(key, *(F.col(c) if c == "updated_at" else F.col(f"{c}.value").alias(c) for c in snapshots.columns if c != key))
+
+
+def compact(log: DataFrame, folder: str, key: str, order: list[str], fields: list[str], batch: str = "batch") -> DataFrame:
+    """The snapshot of a log that grows by numbered batches: the newest one in ``folder``, merged with the batches after it, is written beside it and returned.
+
+    A snapshot is a folder ``upto=<batch>``, complete when its success file is there; one that was cut off is not seen and is written again.  Without new batches nothing is written.  Batches
+    must not change once a later one has been compacted; only the tail of the log is read if it is partitioned by ``batch``.
+    """
+    spark = log.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [p.getPath() for p in store.listStatus(at)] if store.exists(at) else []
+    upto = max((int(p.getName()[5:]) for p in done if p.getName().startswith("upto=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=None)
+    tail = log if upto is None else log.where(F.col(batch) > upto)
+    new = tail.agg(F.max(batch)).first()[0]
+    before = None if upto is None else spark.read.parquet(f"{folder}/upto={upto}")
+    if new is None:
+        return snapshot(log, key, order, fields) if before is None else before
+    some = snapshot(tail, key, order, fields)
+    (some if before is None else merged(before, some, key)).write.mode("overwrite").parquet(f"{folder}/upto={new}")
+    return spark.read.parquet(f"{folder}/upto={new}")
+
+
+def as_rows(df: DataFrame, table) -> DataFrame:
+    """``df`` with all fields of the job table, in its order; what a job does not have yet is null."""
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.fields))

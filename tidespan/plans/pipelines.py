@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import intervals, motion, select
+from ..functions import images, scalar, vision
+from ..operators import association, intervals, motion, select
+from ..sources import scratch
 
 
 def highlights(detections: DataFrame, seeds: DataFrame, videos: DataFrame, key: str = "video_id", most_seconds: float = 120.0, segments: int = 50, speed: float = 20.0) -> DataFrame:
@@ -45,3 +47,46 @@ def practice(samples: DataFrame, videos: DataFrame, key: str = "video_id", batti
     end = F.coalesce(F.col("closed") * skip, F.col("total_frames")) / fps
     s = runs.select(key, F.greatest(F.lit(0.0), F.col("first") * skip / fps - before).alias("start"), F.least("duration", end + min(after, motion.MOST_AFTER[mode])).alias("end"))
     return intervals.merge_islands(s.where(F.col("end") - F.col("start") >= least), key, 0.2).drop("n")
+
+
+#: How much a cell must change, and the share of cells that must, for a frame to count as moving.
+CELL_CHANGE, MOVING_SHARE = 20, 0.02
+
+
+def movement(frames: DataFrame, videos: DataFrame, width: int, key: str = "video_id", pixels: str = "pixels", batting: bool = True, fps: float = 30.0, skip: int = 3, mode: str = "quick", change=CELL_CHANGE, share: float = MOVING_SHARE) -> DataFrame:
+    """From sampled frames to movement segments: gray, a quarter of the size, blurred, compared with the frame before, then the runs of ``practice``.
+
+    frames (key, sample_idx, ``pixels``: an array of (blue, green, red) row by row, ``width`` in a row); videos as in ``practice``.  Every step but the blur is a column expression, and all
+    windows are over the key.  The first frame of a video has nothing to compare with and counts neither as moving nor as still.
+    """
+    small = frames.select(key, "sample_idx", images.quarter(images.gray(F.col(pixels)), F.lit(width)).alias("cells"))
+    soft = small.select(key, "sample_idx", images.blurred(F.col("cells"), F.lit(width // 4)).alias("cells"))
+    changed = motion.frame_diff(soft, [key], "sample_idx", "cells", change)
+    return practice(changed.select(key, "sample_idx", (F.col("changed") > share).alias("moving")), videos, key, batting, fps, skip, mode)
+
+
+def seeds(candidates: DataFrame, jersey: str | None = None, helmet: tuple | None = None, glove: tuple | None = None, pad: tuple | None = None, shirt: tuple | None = None, color_threshold: float = 0.28, key: str = "video_id") -> DataFrame:
+    """The seeds of a player: the best accepted candidate of each frame, as (key, frame, box, score).
+
+    candidates: key, frame, box, x1, y1, x2, y2, width and height of the frame, ``text`` (what was read on it), ``vector`` (its color histogram) and mean colors (blue, green, red) ``helmet``, ``glove_left`` and
+    ``torso``, null where a region is empty.  Boxes below the least size go.  Hints are colors; a number on the jersey, sure colors or a like shirt lock the reference, to which later candidates are compared.  Without any hint the
+    best candidate of each frame is taken.
+    """
+    x = candidates.where(vision.box_ok(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    like = lambda region, hint: 1 - vision.color_distance(F.col(region), F.array(*map(F.lit, hint)))
+    hints = {f"__{region}": like(region, hint) for region, hint in (("helmet", helmet), ("glove_left", glove), ("torso", pad)) if hint}
+    x = x.withColumns(hints)  # columns of their own, so that no expression holds a color's many times
+    count = sum((F.col(c).isNotNull().cast("int") for c in hints), F.lit(0))
+    mean = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in hints), F.lit(0.0)) / F.nullif(count, F.lit(0))
+    x = x.withColumn("__sure", F.coalesce(mean >= 1 - color_threshold, F.lit(False)))
+    x = x.withColumn("__read", scalar.contains_label(F.col("text"), F.lit(jersey)) if jersey else F.lit(False))
+    x = x.withColumn("__shirt", F.coalesce(like("torso", shirt), F.lit(0.0)) if shirt else F.lit(0.0))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    center = vision.center_bias(0.5 * (F.col("x1") + F.col("x2")), 0.5 * (F.col("y1") + F.col("y2")), F.col("width"), F.col("height"))
+    base = vision.player_score(F.col("__read"), F.col("__sure"), F.col("__shirt"), F.lit(0.0), center, w * h / (F.col("width") * F.col("height")))
+    x = x.withColumn("__base", base).withColumn("__lock", F.col("__read") | F.col("__sure") | (F.col("__shirt") >= 0.6))
+    # The lock needs all candidates before it can score any again: they are scored once and written.
+    x = scratch.written(x.select(key, "frame", "box", "vector", "__base", "__lock"), "candidates")
+    any_hint = bool(jersey or helmet or glove or pad or shirt)
+    found = association.lock_on(x, key, "frame", "box", "__base", "__lock", (0.45 if shirt else 0.25) if any_hint else float("-inf"), vision.histogram_similarity)
+    return found.select(key, "frame", "box", "score")

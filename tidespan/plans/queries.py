@@ -9,7 +9,7 @@ from ..functions import images, models, scalar, vision
 from ..operators import association, dataset, intervals, jobs, motion, select, tracks
 from ..sources import clips, tables
 from ..streaming import streams
-from . import long_keys, pipelines, tracked
+from . import long_keys, media, pipelines, tracked
 
 HOUR = 3_600_000_000
 QUERIES: dict = {}
@@ -772,6 +772,6 @@ def clip_commands(spark, d):
     return tables.events(spark, d).select("event_id", encode.alias("encode"), joined.alias("joined"), clips.second_timeout(k).alias("timeout"))
 
 
-for more in (long_keys, tracked):
+for more in (long_keys, media, tracked):
     QUERIES |= more.QUERIES
     ORACLE_SQL |= getattr(more, "ORACLE_SQL", {})
