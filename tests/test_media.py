@@ -77,16 +77,15 @@ def test_models_that_fail(spark):
 
 
 def test_movement_of_a_square(spark):
-    def frame(at):
-        return [[200, 200, 200] if at <= i % 16 < at + 6 and 4 <= i // 16 < 12 else [10, 10, 10] for i in range(256)]
-
-    places = [0] * 10 + list(range(0, 10, 2)) + [10] * 10
-    data = [("v", i, frame(a)) for i, a in enumerate(places)] + [("still", i, frame(3)) for i in range(12)] + [("one", 0, frame(0)), ("odd", 0, None), ("odd", 1, frame(0)), ("odd", 2, None)]
-    d = spark.createDataFrame(data, "video_id string, sample_idx int, pixels array<array<int>>").repartition(3)
+    places = [0] * 10 + list(range(0, 40, 8)) + [40] * 10
+    data = [("v", i, a) for i, a in enumerate(places)] + [("still", i, 3) for i in range(12)] + [("one", 0, 0), ("odd", 0, None), ("odd", 1, 0), ("odd", 2, None)]
+    i, at = F.sequence(F.lit(0), F.lit(64 * 64 - 1)), F.col("at")
+    cell = lambda i: F.array_repeat(F.when((i % 64).between(at, at + 23) & F.floor(i / 64).between(16, 47), 200).otherwise(10), 3)
+    d = spark.createDataFrame(data, "video_id string, sample_idx int, at int").repartition(3).withColumn("pixels", F.when(at.isNotNull(), F.transform(i, cell)))
     videos = d.groupBy("video_id").agg((F.count("*") * 3).alias("total_frames"))
-    got = pipelines.movement(d, videos, 16).collect()
+    got = pipelines.movement(d, videos, 64).collect()
     assert [r.video_id for r in got] == ["v"] and (got[0].start, got[0].end) == pytest.approx((11 * 0.1 - 0.5, 2.5))  # from the first change to the video's end
-    assert pipelines.movement(d.where("false"), videos, 16).count() == 0
+    assert pipelines.movement(d.where("false"), videos, 64).count() == 0
 
 
 CANDIDATES = "video_id string, frame int, box int, x1 int, y1 int, x2 int, y2 int, width int, height int, text string, helmet array<int>, glove_left array<int>, torso array<int>, vector array<double>"
