@@ -300,3 +300,31 @@ def test_control_pieces_are_not_read_from_texts(tmp_path):
         assert 1 not in c.encode([t])[0]
     with pytest.raises(ValueError):
         sp.Codec(message((1, 2, message((1, 2, b"<unk>"), (3, 0, 2))), (1, 2, message((1, 2, b"own"), (3, 0, 4))), (2, 2, bytes([3 << 3, 1]))))
+
+
+def test_an_id_that_is_repeated_weighs_once(spark, monkeypatch):
+    """20,000 rows of one id: one of them is learnt from, and no more than the bound reach the driver."""
+    import random
+
+    from tidespan.llm import language_id, quality_gam, toxicity
+
+    rnd = random.Random(4)
+    plain = [(i, f"{'vile' if i % 4 == 0 else 'mild'} {' '.join(rnd.choices(['one', 'two', 'three', 'four'], k=20))} {i}", "en" if i % 2 else "fr") for i in range(120)]
+    base = spark.createDataFrame(plain, "doc_id long, text string, lang string")
+    many = base.union(spark.range(20_000).selectExpr("7L as doc_id", "concat('mild other text ', id) as text", "'en' as lang")).repartition(4)
+    labels = spark.createDataFrame([(i, i % 3 % 2, int(i % 4 == 0)) for i, *_ in plain], "doc_id long, quality int, toxic int")
+    seen = {}
+    for module, name in ((quality_gam, "train"), (language_id, "train_slots")):
+        real = getattr(module, name)
+
+        def spy(x, y, *rest, real=real, name=name, **more):
+            seen[name] = len(y)
+            return real(x, y, *rest, **more)
+
+        monkeypatch.setattr(module, name, spy)
+    a = [quality_gam.fit(d, labels) and seen["train"] for d in (base, many)]
+    b = [language_id.fit(d) and seen["train_slots"] for d in (base, many)]
+    assert a[0] == a[1] < 120 and b[0] == b[1] <= 120
+    one, other = (toxicity.fit(d, labels, min_docs=3) for d in (base, many))
+    assert one.weights.keys() == other.weights.keys() and any("viie" in w for w in one.weights)
+    assert one.weights == pytest.approx(other.weights)

@@ -65,6 +65,11 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def one_of_each(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row for each of ``keys``, with its text of least hash (null if all are): tasks keep one text each, so a key that is repeated is not gathered."""
+    return rows.groupBy(*keys).agg(F.min_by(text, F.struct(F.xxhash64(text), F.col(text))).alias(text))
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of frames that are no longer referenced.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import one_of_each, remainder
 
 #: Hash slots of one n-gram length; byte n-grams of 1 to 4 bytes are hashed apart.
 SLOTS = 1 << 15
@@ -121,12 +121,12 @@ def train_slots(seen: list[np.ndarray], langs: list[str], landmarks: int = 96, r
 def fit(docs: DataFrame, per_lang: int = 250, max_langs: int = 1000, modulus: int = 3, held_out: int = 1, **options) -> Model:
     """Learn from the text and non-null lang of documents whose crc32 remainder is not ``held_out``.
 
-    Bound: ``per_lang`` documents of each language, the first by a hash of the id; more than ``max_langs`` languages are an error, none is left out.  Documents without a
+    Bound: ``per_lang`` documents of each language, the first by a hash of the id (of several texts of one id and language the one of least hash); more than ``max_langs`` languages are an error, none is left out.  Documents without a
     letter are not used.  Which documents these are is settled on ids alone, so no language is gathered in one task; n-gram slots of those
     documents reach the driver, not their texts, so a very long one counts for 512 KB at most.  Ids are read as long.
     """
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out) & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages: raise max_langs, or clean the labels")
     if not counts:
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, per_lang: int = 250, max_langs: int = 1000, modulus: in
     spot, space = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), 1 << 40
     bounds = docs.sparkSession.createDataFrame([(r.lang, min(space, space * (2 * per_lang + 100) // r.n)) for r in counts], "lang string, bound long")
     near = rows.join(F.broadcast(bounds), "lang").where(spot < F.col("bound"))  # max_langs rows
-    ids = sorted((r.lang, r.spot, r.doc_id) for r in near.select("lang", spot.alias("spot"), "doc_id").collect())
+    ids = sorted((r.lang, r.spot, r.doc_id) for r in near.select("lang", spot.alias("spot"), F.col("doc_id").cast("long").alias("doc_id")).distinct().collect())
     taken, seen = [], {}
     for lang, _, doc_id in ids:
         seen[lang] = seen.get(lang, 0) + 1
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, per_lang: int = 250, max_langs: int = 1000, modulus: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([slots(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["lang", "doc_id", "slots"])
 
-    texts = rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", "text")
+    texts = rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), ["lang", "doc_id"])
+    texts = one_of_each(texts, ["lang", "doc_id"]).select("lang", "doc_id", "text")
     kept = sorted((r.lang, r.doc_id, bytes(r.slots)) for r in texts.mapInArrow(run, "lang string, doc_id long, slots binary").collect())
     return train_slots([np.frombuffer(x, np.uint32) for _, _, x in kept], [x for x, _, _ in kept], **options)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import remainder
+from .common import one_of_each, remainder
 
 NAMES = ("log_words", "mean_word", "sd_word", "upper", "digit", "sign", "pipe", "line", "end_mark", "non_ascii", "distinct_words", "same_as_before", "distinct_lines", "longest_run", "sign_words", "distinct_bigrams")
 _CLASS = np.zeros((256, 7))
@@ -160,12 +160,12 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60, pairs:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, modulus: int = 5, held_out: int = 0) -> Model:
     """Learn from at most ``sample`` labelled documents (the first by a hash of the id) whose crc32 remainder is not ``held_out``.
 
-    Rows with a null id or label are not used; of several labels of one id the least counts.  Features are computed on the executors; only they reach the driver.
+    Rows with a null id or label are not used; of several labels of one id the least counts, and of several texts the one of least hash, so that an id weighs once however often it is repeated.  Ids are read as long.  Features are computed on the executors; only they reach the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     picked = docs.sparkSession.createDataFrame([Row(doc_id=r.doc_id, y=int(r.quality)) for r in ids], "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    rows = one_of_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "y"]).select("doc_id", "text", "y")
 
     def measure(batches):
         for b in batches:

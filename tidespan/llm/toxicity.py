@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import discard, materialize, one_of_each, remainder
 
 #: Look-alikes (Cyrillic, Greek) and the Latin letters they stand for.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝмтвнкαεορτυχικνβ", "aeopcyxijshdqwmtbhkaeoptuxiknb", strict=True))
 #: Digits and signs put for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "i"}
-#: Phrases in which a lexicon word is harmless.
+#: Phrases in which a word of a lexicon that is given is harmless; a lexicon that is learnt learns its own.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "idiot proof", "pond scum", "pathetic fallacy", "scum line")
 _TABLE = {c: " " for c in range(128) if not chr(c).isalnum()} | {ord(a): b for a, b in SUBSTITUTES.items()} | {ord(a): b for a, b in LOOKALIKES.items()} | {ord("l"): "i"} | {0x200B: None, 0x200C: None, 0x200D: None, 0x00AD: None}
 _TABLE |= {0xFF01 + k: _TABLE.get(0x21 + k, chr(0x21 + k)) for k in range(94)}
@@ -117,14 +117,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int = 12, precision: float = 0.97, shortest: int = 4, longest: int = 9, modulus: int = 4, held_out: int = 2, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int = 12, precision: float = 0.97, shortest: int = 4, longest: int = 9, modulus: int = 4, held_out: int = 2, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learn lexicon and weights from labelled documents whose crc32 remainder is not ``held_out``.
 
     At most ``sample`` documents of each label (the first by a hash of the id) are read for it: that is the documented bound.  A
     pattern is kept if at least ``min_docs`` toxic documents hold it and, after weighing the two samples alike, it is toxic with at least
     ``precision``; a word start makes its longer forms needless.  Its weight is its smoothed log odds.  Pattern counts are
     summed per task before they are shuffled, and only kept ones reach the driver (all of them; the sample bounds their number).  Rows with a null id or label are not used, a document
-    with several labels is toxic if one of them says so; with no toxic label, the lexicon is empty and every score low.
+    with several labels is toxic if one of them says so, of several texts of one id that of least hash is read (ids are read as long); with no toxic label, the lexicon is empty and every score low.
 
     ``exceptions`` are phrases in which a pattern is harmless; to these come learnt ones: a matched word with the word after or before it, if at least ``min_docs`` clean
     documents hold it and, weighed alike, it is clean with at least ``precision``.
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int =
         return Lexicon({}, coefficients=(-4.0, 2.0, 1.0))
     ids = [r for t in (0, 1) for r in known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     picked = docs.sparkSession.createDataFrame([Row(doc_id=r.doc_id, toxic=int(r.toxic)) for r in ids], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").where(F.length("text") > 0)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
+    rows = materialize(one_of_each(some, ["doc_id", "toxic"]).select("text", "toxic"), "labelled")  # read three times below
     n = [sum(r.toxic == t for r in ids) for t in (0, 1)]
 
     def count(batches):
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, min_docs: int =
         share = {t: rates[t] / sum(rates.values()) for t in (0, 1)}
         weight = np.where(m[:, 2] == 1, share[1] / max(1, (m[:, 2] == 1).sum()), share[0] / max(1, (m[:, 2] == 0).sum())) * len(m)
         lexicon.coefficients = tuple(map(float, logistic(np.log1p(m[:, :2]), m[:, 2], weight)))
+    discard(rows)
     return lexicon
 
 
