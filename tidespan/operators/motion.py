@@ -45,11 +45,6 @@ STILL_SECONDS = {"quick": 0.3, "detailed": 0.5}
 MOST_AFTER = {"quick": 2.5, "detailed": 3.0}
 
 
-def still_samples(fps, skip, seconds: float = 0.3) -> Column:
-    """Samples of stillness that close a run."""
-    return F.greatest(F.lit(1), F.floor(F.lit(fps) * seconds / skip).cast("int"))
-
-
 def hysteresis_runs(df: DataFrame, key: str | list[str], index: str, moving: str, still: int) -> DataFrame:
     """(key, first, last, closed): runs that open at a moving sample and close at the ``still``-th still sample in a row.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models, scalar
 from ..operators import jobs
-from ..sources import clips, tables
+from ..sources import clip_sink, clips, frames, scratch, tables
 from . import pipelines
 
 QUERIES: dict = {}
@@ -183,3 +185,23 @@ def model_configs(spark: SparkSession, d: str) -> DataFrame:
     """The models' settings of requests with different confidence thresholds."""
     x = tables.read(spark, d, "documents").select("doc_id", models.model_settings(F.col("n_chars") % 100 / 100.0).alias("m"))
     return x.select("doc_id", F.col("m.detector.model").alias("detector"), "m.detector.confidence", "m.detector.classes", "m.detector.tracking", "m.landmarks.hands", F.col("m.face.distance_metric").alias("face_metric"), F.col("m.appearance.max_dist").alias("most_distance"), F.col("m.appearance.min_confidence").alias("least_confidence"))
+
+
+#: Vectors of a raw video of frames of eight by eight bytes, and how many evenly spaced frames of it are read.
+RAW, READ = 48, 5
+
+
+@query(f"""with b as (select vec_id // {RAW} as video, row_number() over (partition by vec_id // {RAW} order by vec_id) - 1 as i, count(*) over (partition by vec_id // {RAW}) as n, {BYTES} as p from embeddings where len(embedding) = 64)
+ select 'v' || video as video, cast(i as bigint) as frame_idx, i / 30.0::double as t_sec, upper(array_to_string(list_transform(p, lambda x: printf('%02x', x)), '')) as pixels from b
+ where i in (select unnest(list_transform(range(0, {READ}), lambda j: least(n - 1, cast(floor(j * n / {READ}.0::double + n / {2 * READ}.0::double) as bigint)))))""")
+def frames_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors are put together to raw videos, written by the sink with a commit, and evenly spaced frames of each are read again."""
+    e = tables.read(spark, d, "embeddings").where(F.size("embedding") == 64)
+    hexed = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex((F.floor(F.abs(x.cast("double")) * 1000) % 256).cast("long")), 2, "0")), "")
+    v = e.select(F.concat(F.lit("v"), F.expr(f"vec_id div {RAW}")).alias("video"), "vec_id", hexed.alias("x")).groupBy("video").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("f"))
+    rows = v.select("video", F.concat("video", F.lit(".raw")).alias("clip"), F.lit(0.0).alias("start"), (F.size("f") / 30.0).alias("end"), F.unhex(F.array_join("f.x", "")).alias("content"))
+    clip_sink.register(spark)
+    path = f"{scratch.folder(spark)}/raw-{uuid.uuid4().hex}"
+    rows.write.format("clips").mode("append").options(path=path, least_bytes="1").save()
+    at = F.regexp_extract("video", r"-(v[0-9]+)\.raw$", 1)
+    return frames.scan(spark, f"{path}/clips/*/*.raw", 8, 8, count=READ).distinct().select(at.alias("video"), "frame_idx", "t_sec", F.hex("pixels").alias("pixels"))

@@ -46,7 +46,7 @@ def practice(samples: DataFrame, videos: DataFrame, key: str = "video_id", batti
     runs = motion.hysteresis_runs(samples, key, "sample_idx", "moving", still).join(videos, key)
     end = F.coalesce(F.col("closed") * skip, F.col("total_frames")) / fps
     s = runs.select(key, F.greatest(F.lit(0.0), F.col("first") * skip / fps - before).alias("start"), F.least("duration", end + min(after, motion.MOST_AFTER[mode])).alias("end"))
-    return intervals.merge_islands(s.where(F.col("end") - F.col("start") >= least), key, 0.2).drop("n")
+    return intervals.merge_islands(s.where(F.col("end") - F.col("start") >= least), key, intervals.TOLERANCE["practice"]).drop("n")
 
 
 #: How much a cell must change, and the share of cells that must, for a frame to count as moving.

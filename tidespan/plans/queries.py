@@ -375,12 +375,12 @@ def existence_semi(spark, d):
 
 @query("""with b as (select vec_id, least(15, cast(floor(abs(cast(unnest(embedding) as double)) * 16) as integer)) as bin from embeddings), c as (select vec_id, bin, count(*) as c from b group by all) select vec_id, bin, round(c / sqrt(sum(c * c) over (partition by vec_id)), 9) as weight from c""")
 def histogram_bins(spark, d):
-    """Binned counts of each vector over their Euclidean norm."""
-    from pyspark.sql import Window
-
-    e = tables.read(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
-    c = e.groupBy("vec_id", F.least(F.lit(15), F.floor(F.abs(F.col("x").cast("double")) * 16)).cast("int").alias("bin")).agg(F.count("*").alias("c"))
-    return c.select("vec_id", "bin", F.round(F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("vec_id"))), 9).alias("weight"))
+    """Counts of a vector's components by size, over their norm: one array expression for each row."""
+    bins = F.transform("embedding", lambda x: F.least(F.lit(15), F.floor(F.abs(x.cast("double")) * 16)).cast("int"))
+    counted = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.size(F.filter("bins", lambda x: x == b)).cast("long"))
+    c = tables.read(spark, d, "embeddings").select("vec_id", bins.alias("bins")).select("vec_id", counted.alias("c"))
+    c = c.select("vec_id", F.sqrt(F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x * x)).alias("norm"), F.posexplode("c").alias("bin", "n"))
+    return c.where("n > 0").select("vec_id", "bin", F.round(F.col("n") / F.col("norm"), 9).alias("weight"))
 
 
 @query(f"""with recursive {EV}, r as (select user_id, event_id, us, row_number() over (partition by user_id order by us, event_id) as i from ev),
@@ -629,13 +629,13 @@ def time_estimates(spark, d):
     return tables.events(spark, d).select("event_id", scalar.midpoint(k - 5, F.col("cents")).alias("middle"), scalar.eta_by_length(choice).alias("eta"), scalar.percent(k, k % 10).cast("long").alias("percent"), scalar.timecode_strict(F.when(k % 3 == 0, " ").otherwise(F.concat_ws(":", k, k % 60))).alias("seconds"))
 
 
-PIXELS = """px as (select vec_id, i, list_transform([embedding[i], embedding[i + 1], embedding[i + 2]], lambda x: cast(floor(abs(cast(x as double)) * 255) as integer) % 256) as p from embeddings, unnest(range(1, len(embedding) - 1, 3)) t(i))"""
+PIXELS = """px as (select vec_id, i, list_transform([embedding[i], embedding[i + 1], embedding[i + 2]], lambda x: coalesce(cast(floor(abs(cast(x as double)) * 255) as integer) % 256, 0)) as p from embeddings, unnest(range(1, len(embedding) + 1, 3)) t(i))"""
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors as regions of pixels of three components each (the rest is left)."""
-    byte = lambda i: (F.floor(F.abs(F.get("embedding", i).cast("double")) * 255).cast("int") % 256)
-    return tables.read(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.size("embedding") - 3, F.lit(3)), lambda i: F.array(byte(i), byte(i + 1), byte(i + 2))).alias("pixels"))
+    """Vectors as regions of pixels of three components each; what the last one lacks is 0."""
+    byte = lambda i: F.coalesce(F.floor(F.abs(F.get("embedding", i).cast("double")) * 255).cast("int") % 256, F.lit(0))
+    return tables.read(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.size("embedding") - 1, F.lit(3)), lambda i: F.array(byte(i), byte(i + 1), byte(i + 2))).alias("pixels"))
 
 
 @query(f"""with {PIXELS} select vec_id, [floor(sum(p[1]) / count(*)), floor(sum(p[2]) / count(*)), floor(sum(p[3]) / count(*))]::integer[] as mean,
@@ -703,8 +703,10 @@ def body_regions(spark, d):
 @query("""with h as (select label, list(list_transform(embedding, lambda x: abs(cast(x as double))) order by vec_id) as h from embeddings group by label)
  select label, list_transform(list_reduce(h, lambda s, v: list_transform(list_zip(s, v), lambda z: (z[1] + z[2]) / 2)), lambda x: round(x, 9)) as mean from h""")
 def folded_histograms(spark, d):
-    e = tables.read(spark, d, "embeddings").select("label", F.struct("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("h")).alias("s"))
-    h = e.groupBy("label").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    """Each step of the fold halves what came before, so the last 64 rows of a label (kept before the shuffle) decide all digits of a double."""
+    e = tables.read(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("h"))
+    last = select.top_per_key(e, "label", [F.desc("vec_id")], 64)
+    h = last.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "h"))).alias("s"))
     return h.select("label", F.transform(vision.folded_mean(F.col("s.h")), lambda x: F.round(x, 9)).alias("mean"))
 
 
@@ -742,7 +744,7 @@ def broken_transitions(spark, d):
 
 @query(f"""with {EV} select 'job-' || event_id as id, 'queued' as status, 'queued' as stage, 'Job queued' as message, 0.0::double as download_percent, 0.0::double as progress, props as request_json, us as created_at, us as updated_at from ev join events using (event_id)""")
 def created_jobs(spark, d):
-    e = tables.events(spark, d).join(tables.read(spark, d, "events").select("event_id", "props"), "event_id")
+    e = tables.read(spark, d, "events").select("event_id", "props", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return jobs.created(e.withColumn("id", F.concat(F.lit("job-"), F.col("event_id"))), "id", "props", "us")
 
 

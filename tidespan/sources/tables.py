@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ROOT = str(Path(__file__).resolve().parents[2])
 #: A dataset row: one captured clip.
 CLIP = T.StructType([T.StructField("clip_path", T.StringType()), T.StructField("label", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("meta", T.MapType(T.StringType(), T.StringType()))])
 MANIFEST = T.StructType([T.StructField("video_path", T.StringType()), T.StructField("segments", T.ArrayType(T.StructType([T.StructField("clip", T.StringType()), T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("thumbs", T.ArrayType(T.StringType())), T.StructField("label", T.StringType())]))), T.StructField("meta", T.MapType(T.StringType(), T.StringType()))])
-BOX = T.StructType([T.StructField(n, T.IntegerType()) for n in ("x1", "y1", "x2", "y2")])
 JOB = T.StructType([T.StructField(n, T.DoubleType() if n in ("download_percent", "progress", "created_at", "updated_at") else T.StringType(), n != "id") for n in ("id", "status", "stage", "message", "download_percent", "progress", "output_url", "output_path", "request_json", "result_json", "error", "created_at", "updated_at")])
 
 
+def reachable(spark: SparkSession) -> None:
+    """Python workers that start from now on can import this package, wherever they run from."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
