@@ -205,3 +205,15 @@ def frames_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows.write.format("clips").mode("append").options(path=path, least_bytes="1").save()
     at = F.regexp_extract("video", r"-(v[0-9]+)\.raw$", 1)
     return frames.scan(spark, f"{path}/clips/*/*.raw", 8, 8, count=READ).distinct().select(at.alias("video"), "frame_idx", "t_sec", F.hex("pixels").alias("pixels"))
+
+
+@query("""with s as (select conv_id, turn as i, length(text) % 5 > 1 as moving from conversations), v as (select conv_id, max(i) as last_i, count(*) * 3 as total, count(*) * 3 / 30.0::double as duration from s group by conv_id),
+ m as (select *, case when i - lag(i) over (partition by conv_id order by i) > 5 then 1 else 0 end as b from s where moving), g as (select *, sum(b) over (partition by conv_id order by i rows unbounded preceding) as g from m),
+ q as (select conv_id, min(i) as f, max(i) as l from g group by conv_id, g), p as (select conv_id, greatest(0, f * 3 / 30.0::double - 0.8) as s, least(duration, case when l + 5 <= last_i then (l + 5) * 3 else total end / 30.0::double + 2.5) as e from q join v using (conv_id)),
+ x as (select *, case when s <= max(e) over (partition by conv_id order by s, e rows between unbounded preceding and 1 preceding) + 0.2 then 0 else 1 end as b from p where e - s >= 0.4),
+ y as (select *, sum(b) over (partition by conv_id order by s, e rows unbounded preceding) as g from x) select conv_id, min(s) as start, max(e) as "end" from y group by conv_id, g""")
+def practice_detailed(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as bowling practice, their turns as samples, in detailed mode: runs close after half a second of stillness."""
+    s = tables.read(spark, d, "conversations").select("conv_id", F.col("turn").alias("sample_idx"), (F.length("text") % 5 > 1).alias("moving"))
+    videos = s.groupBy("conv_id").agg((F.count("*") * 3).alias("total_frames"))
+    return pipelines.practice(s, videos, "conv_id", batting=False, mode="detailed")
