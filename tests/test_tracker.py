@@ -151,7 +151,7 @@ SCHEMA = "video long, frame long, box long, x1 double, y1 double, x2 double, y2
 def test_tracks_equal_a_plain_loop(spark, every_frame):
     rows = scene(5) + [(0, None, 1, 0.0, 0.0, 1.0, 1.0, None), (0, 3, 9, None, 0.0, 1.0, 1.0, None)]
     d = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = {(r.video, r.spell, r.frame, r.box): (r.track, r.confirmed, r.x1, r.y1, r.x2, r.y2) for r in tracker.multi_object(d, "video", every_frame=every_frame).collect()}
+    got = {(r.video, r.spell, r.frame, r.box): (r.track, r.confirmed, r.x1, r.y1, r.x2, r.y2) for r in tracker.multi_object(d, "video", every_frame=every_frame, rows=40).collect()}
     want = plain(rows, every_frame)
     assert got.keys() == want.keys()
     for k in want:
@@ -193,3 +193,15 @@ def test_query(spark):
     want = {k: (x[0], *x[2:]) for k, x in plain(rows, False).items() if x[1]}
     assert got.keys() == want.keys() and len(got) > 100
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_spells_of_one_long_video(spark):
+    """Side by side, the spells give what the videos give that they are made of."""
+    from tidespan.plans.tracked import FRAME, HOLE, VIDEO
+
+    whole = {(r.video, r.frame, r.box): (r.track, r.x1, r.y1) for r in QUERIES["tracked_boxes"](spark, SF).collect()}
+    step, got = VIDEO // FRAME + HOLE + 2, {}
+    for r in QUERIES["tracked_spells"](spark, SF).collect():
+        got[r.frame // step, r.frame % step, r.box] = (r.track, r.x1, r.y1)
+    assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k], abs=2e-6) for k in whole)

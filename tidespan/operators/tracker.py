@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import _keys, session_ids
+from . import segmented
+from .intervals import _keys
 
 #: Fixed values of the tracker: frames that a confirmed track outlives without a box, boxes in a row that confirm one, the most overlap cost (1 - IoU) and likeness cost (1 - cosine).
 MAX_AGE, N_INIT, MOST_OVERLAP_COST, MOST_LIKENESS_COST = 30, 3, 0.7, 0.3
@@ -175,20 +176,20 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, lis
         yield (*at, held)
 
 
-def multi_object(boxes: DataFrame, key: str | list[str], frame: str = "frame", box: str = "box", corners: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2"), look: str | None = "look", every_frame: bool = False, max_age: int = MAX_AGE, n_init: int = N_INIT, overlap: float = MOST_OVERLAP_COST, likeness: float = MOST_LIKENESS_COST, gallery: int = GALLERY) -> DataFrame:
+def multi_object(boxes: DataFrame, key: str | list[str], frame: str = "frame", box: str = "box", corners: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2"), look: str | None = "look", every_frame: bool = False, max_age: int = MAX_AGE, n_init: int = N_INIT, overlap: float = MOST_OVERLAP_COST, likeness: float = MOST_LIKENESS_COST, gallery: int = GALLERY, rows: int = segmented.ROWS) -> DataFrame:
     """One row per box: the key, spell, frame, box, its track (from 1 within key and spell), confirmed, time_since_update (0) and the filtered corners.
 
     ``tracks.fresh`` leaves those of confirmed tracks.  ``look`` is an array of doubles, compared by cosine; null, zero or of another length than before: not alike.  Rows with a null frame or corner are left out;
     boxes of one frame come in order of ``box``, then of their corners, and two with one number are two boxes.  A video without boxes has no rows.
 
     The filter steps once for each frame that has boxes.  With ``every_frame`` frames without boxes count too: they age all tracks, and more than ``max_age`` of them end every track, so
-    what lies between such holes (a *spell*) is tracked on its own, by another task.  Rows are hashed by video and spell and sorted in their partition, and flow
+    what lies between such holes (a *spell*) is tracked on its own, by another task; the spells of a video of more than 2 * ``rows`` boxes are found range by range (``segmented``).  Rows are hashed by video and spell and sorted in their partition, and flow
     through the tracks that are alive; memory doesn't grow with a video's length.
     """
     keys = _keys(key)
     x = boxes.select(*keys, F.col(frame).cast("long").alias("frame"), F.col(box).cast("long").alias("box"), *(F.col(c).cast("double").alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"))), (F.col(look).cast("array<double>") if look else F.lit(None).cast("array<double>")).alias("look"))
     x = x.dropna(subset=["frame", "x1", "y1", "x2", "y2"])
-    x = session_ids(x, keys, "frame", max_age + 1, out="spell") if every_frame else x.withColumn("spell", F.lit(0).cast("long"))
+    x = segmented.session_ids(x, keys, "frame", max_age + 1, out="spell", rows=rows) if every_frame else x.withColumn("spell", F.lit(0).cast("long"))
     x = x.select(F.struct(*keys, F.col("spell").cast("long").alias("spell")).alias("v"), "frame", "box", "x1", "y1", "x2", "y2", "look")
 
     def run(batches):

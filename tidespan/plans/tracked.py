@@ -9,8 +9,8 @@ from ..functions import training
 from ..operators import association, correlation, tracker, tracks
 from ..sources import tables
 
-#: Vectors of a video and of a frame.
-VIDEO, FRAME = 200, 4
+#: Vectors of a video and of a frame; frames without boxes that end all tracks of a spell.
+VIDEO, FRAME, HOLE = 200, 4, 30
 
 
 def video_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -93,3 +93,13 @@ def correlated_track(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["correlated_track"] = correlated_track
+
+
+def tracked_spells(spark: SparkSession, d: str) -> DataFrame:
+    """All boxes as one video in which frames without boxes count: its spells, between holes of more than ``HOLE`` frames, are tracked side by side."""
+    b = video_boxes(spark, d).withColumn("frame", F.col("frame") + F.col("video") * (VIDEO // FRAME + HOLE + 2)).withColumn("all", F.floor(F.col("x1") * 0).cast("long"))
+    found = tracks.fresh(tracker.multi_object(b, "all", every_frame=True, max_age=HOLE, rows=400))
+    return found.select("spell", "frame", "box", "track", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+QUERIES["tracked_spells"] = tracked_spells
