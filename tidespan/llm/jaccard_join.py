@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -97,22 +97,18 @@ def sets(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> DataF
 def _tops(ranked: DataFrame, by, few: int) -> DataFrame:
     """The ``few`` members of each region that come first by ``by``, by a top-k of salted parts."""
     by = F.col(by) if isinstance(by, str) else by
-    order = F.struct(by.cast("double").alias("by"), F.xxhash64("id").alias("h"), F.col("id").alias("pivot"))
-    part = ranked.select("region", order.alias("o")).groupBy("region", F.pmod(F.col("o.h"), F.lit(256)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("o")), 1, few).alias("o"))
-    return part.groupBy("region").agg(F.slice(F.array_sort(F.flatten(F.collect_list("o"))), 1, few).alias("o")).select("region", F.explode("o.pivot").alias("pivot"))
-
-
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+    order = ["by", "h", "pivot"]
+    some = ranked.select("region", by.cast("double").alias("by"), F.xxhash64("id").alias("h"), F.col("id").alias("pivot"))
+    # Ranked with a limit per group, so that no task holds more than it sorts.
+    for part in (["region", F.pmod("h", F.lit(256))], ["region"]):
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("r") <= few).drop("r")
+    return some.select("region", "pivot")
 
 
 def _join_region(size: np.ndarray, flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     """The first member of each member's component; ``flat[at[i]:at[i+1]]``: numbers of the shingles of member i, of ``size[i]`` in all."""
     m, eps = len(size), 1 - percent / 100
-    parent = np.arange(m)
+    root = np.arange(m)  # the first member of each member's component so far
     mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
 
     def distances(i: int, others: np.ndarray | None = None):
@@ -122,15 +118,18 @@ def _join_region(size: np.ndarray, flat: np.ndarray, at: np.ndarray, percent: in
             c = np.concatenate([[0], np.cumsum(mark[flat])])
             both, n = c[at[1:]] - c[at[:-1]], size
         else:
-            both, n = np.array([np.count_nonzero(mark[flat[at[j] : at[j + 1]]]) for j in others]), size[others]
+            length = at[others + 1] - at[others]
+            end = np.cumsum(length)
+            c = np.concatenate([[0], np.cumsum(mark[flat[np.repeat(at[others] - (end - length), length) + np.arange(end[-1])]])])
+            both, n = c[end] - c[end - length], size[others]
         mark[flat[at[i] : at[i + 1]]] = False
         union = n + size[i] - both
         return 1 - both / union, 100 * both >= percent * union
 
     def join(i: int, others) -> None:
-        for j in others:
-            x, y = sorted((_root(parent, i), _root(parent, int(j))))
-            parent[y] = x
+        if len(others):
+            both = np.unique(np.append(root[others], root[i]))
+            root[np.isin(root, both)] = both[0]
 
     pivots = np.unique(np.linspace(0, m - 1, max(1, int(np.ceil(np.sqrt(m))))).astype(int))
     d = np.empty((m, len(pivots)))
@@ -142,13 +141,12 @@ def _join_region(size: np.ndarray, flat: np.ndarray, at: np.ndarray, percent: in
     for k in range(len(pivots)):
         cell = np.flatnonzero(d[:, k] <= least + 2 * eps + 1e-9)
         for x in cell[home[cell] == k].tolist():
-            roots = np.array([_root(parent, int(y)) for y in cell])
-            others = cell[roots != _root(parent, x)]
+            others = cell[root[cell] != root[x]]
             # What the pivots' distances rule out needs no look.
             others = others[(np.abs(d[others] - d[x]) <= eps + 1e-9).all(1)] if len(others) else others
             if len(others):
                 join(x, others[distances(x, others)[1]])
-    return np.array([_root(parent, i) for i in range(m)])
+    return root
 
 
 def _join_bin(table: pa.Table, percent: int) -> pa.Table:
