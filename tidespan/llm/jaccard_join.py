@@ -6,7 +6,7 @@
 3. Regions: ordered by (frequency, hash), a set of n shingles and any set within the distance share one of its first n - ceil(t*n) + 1 shingles.
    These are the virtual pivots that document lies near to: it is replicated to each such region (a document at distance 1 of all
    document pivots has no other Voronoi cell).  Regions with the same members are one.
-4. A region of up to ``LEAF`` members is joined in one task: some members are pivots, every member's exact distance to them is found, and its home
+4. A region of up to ``LEAF`` members and ``LEAF_SHINGLES`` shingles is joined in one task: some members are pivots, every member's exact distance to them is found, and its home
    is the cell of the nearest.  A member goes into another cell too if, by the triangle inequality, a member at home there can be within the
    distance: d(x, q) <= d(x, home) + 2 eps.  Pairs of a cell that aren't yet in one component are compared exactly.
 5. A larger region first loses members in rounds over Spark: pivots, exact distances, links.  A linked member x leaves if, by the triangle
@@ -26,10 +26,12 @@ from pyspark.sql import types as S
 from . import blocks, common
 from . import text as T
 
-#: Members of a region that is joined in one task.
-LEAF = 1024
-#: Members of the regions that one task joins, about.
+#: Members of a region that is joined in one task, and shingles of all of them (eight bytes each).
+LEAF = 4096
+LEAF_SHINGLES = 1 << 22
+#: Members of the regions that one task joins, about, and shingles.
 BIN = 1024
+BIN_SHINGLES = 1 << 20
 #: Parts of a group of equal sets, so that none is gathered in one task.
 SALTS = 1024
 _BASE = S.StructType([S.StructField("id", S.LongType()), S.StructField("n", S.IntegerType()), S.StructField("sig", S.LongType()), S.StructField("sig2", S.LongType()), S.StructField("alone", S.IntegerType()), S.StructField("anchors", S.ArrayType(S.LongType())), S.StructField("common", S.ArrayType(S.LongType()))])
@@ -94,15 +96,14 @@ def sets(docs: DataFrame, k: int, percent: int, text: str, doc_id: str) -> DataF
     return blocks.finish(dealt, blocks.replies(blocks.requests(dealt, n, emit), n, merge), _or_empty(then, _BASE), _BASE)
 
 
-def _tops(ranked: DataFrame, by, few: int) -> DataFrame:
-    """The ``few`` members of each region that come first by ``by``, by a top-k of salted parts."""
-    by = F.col(by) if isinstance(by, str) else by
-    order = ["by", "h", "pivot"]
-    some = ranked.select("region", by.cast("double").alias("by"), F.xxhash64("id").alias("h"), F.col("id").alias("pivot"))
+def _tops(ranked: DataFrame, few: int) -> DataFrame:
+    """(region, pivot): the ``few`` members of each region that come first by the size of their component, and the ``few`` by where their shared shingle stands."""
+    by = F.array(F.col("own").cast("double"), F.col("pos") / F.col("n"))
+    some = ranked.select("region", F.posexplode(by).alias("kind", "by"), F.xxhash64("id").alias("h"), F.col("id").alias("pivot"))
     # Ranked with a limit per group, so that no task holds more than it sorts.
-    for part in (["region", F.pmod("h", F.lit(256))], ["region"]):
-        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("r") <= few).drop("r")
-    return some.select("region", "pivot")
+    for part in (["region", "kind", F.pmod("h", F.lit(256))], ["region", "kind"]):
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("by", "h", "pivot"))).where(F.col("r") <= few).drop("r")
+    return some.select("region", "pivot").distinct()
 
 
 def _join_region(size: np.ndarray, flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -198,64 +199,61 @@ def links(base: DataFrame, rep: DataFrame, percent: int, max_rounds: int = 10_00
     points = full.where(F.size("anchors") > 0).join(rep.select("n", "sig", "sig2", F.col("rep").alias("id")), ["n", "sig", "sig2", "id"], "left_semi").dropDuplicates(["id", "n", "sig", "sig2"])
     points = keep(points.select("id", "n", "alone", "anchors", "common"), "points")
     eps = 1 - percent / 100
-    a = points.select("id", "n", F.posexplode("anchors").alias("pos", "region"), "alone")
+    a = points.select("id", "n", F.size("common").alias("w"), F.posexplode("anchors").alias("pos", "region"), "alone")
     # What comes before the first shingle that two sets share is shared by none of them: of a set with ``pos`` shingles before it, at most
     # n - pos are shared, so a partner has at most ``most`` shingles.
     most = F.floor((F.col("n") - F.col("pos") - F.col("alone")) * (100 + percent) / F.lit(percent)) - F.col("n")
-    a = a.select("id", "n", "region", (F.col("pos") + F.col("alone")).alias("pos"), most.cast("int").alias("most"))
+    a = a.select("id", "n", "w", "region", (F.col("pos") + F.col("alone")).alias("pos"), most.cast("int").alias("most"))
     # Regions with the same members are one: that of the earliest shingle.
     kept = a.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.sum("pos").alias("p"), F.min(F.when(F.col("most") >= F.col("n"), F.col("n"))).alias("low")).where("m > 1 and low is not null")
     kept = kept.groupBy("m", "s", "x").agg(F.min(F.struct("p", "region", "low")).alias("r")).select("r.region", "r.low")
     # Of two members, one at least has most >= n; the others need one of those that is small enough.
-    a = a.join(kept, "region").where("most >= n or most >= low").select("region", "id", "n", "pos", "most", F.col("id").alias("comp"))
-    members, small = keep(a, "regions"), None
+    a = a.join(kept, "region").where("most >= n or most >= low").select("region", "id", "n", "w", "pos", "most", F.col("id").alias("comp"))
+    whole = [F.count("*").alias("m"), F.sum("w").alias("shingles")]
+    members, small = keep(a, "members"), None
+    members = keep(members.join(members.groupBy("region").agg(*whole), "region"), "regions")
+    fits = (F.col("m") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)
     for r in range(max_rounds):
-        sizes = members.groupBy("region").agg(F.count("*").alias("m"))
-        leaf = keep(members.join(sizes.where(F.col("m") <= LEAF).select("region"), "region").select("region", "id"), "leaf")
+        leaf = members.where(fits).select("region", "id", "w")
         small = leaf if small is None else small.union(leaf)
-        members = keep(members.join(sizes.where(F.col("m") > LEAF).select("region"), "region"), "regions")
+        members = members.where(~fits)
         if members.isEmpty():
             break
-        # Pivots: the smallest id at first; then members of the smallest and of the largest components of each region.
+        ranked = members.join(members.groupBy("region", "comp").agg(F.count("*").alias("own")), ["region", "comp"])
+        # Pivots: the smallest id at first; then members of the smallest components of each region, and those whose shared shingle stands first.
         if r == 0:
             chosen = members.groupBy("region").agg(F.min_by("id", F.struct((F.col("pos") / F.col("n")).alias("at"), "id")).alias("pivot"))
         else:
-            share = members.groupBy("region", "comp").agg(F.count("*").alias("m"))
-            ranked = members.join(share, ["region", "comp"])
-            few = min(2048, 16 << (2 * r))
-            chosen = _tops(ranked, "m", few).union(_tops(ranked, F.col("pos") / F.col("n"), few)).distinct()
-        pivots = members.select("region", F.col("id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("most").alias("pmost"))
+            chosen = _tops(ranked, min(2048, 16 << (2 * r)))
+        pivots = ranked.select("region", F.col("id").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("most").alias("pmost"), "own")
+        chosen = keep(chosen.join(pivots, ["region", "pivot"]), "pivots")
         # Pairs of one component need no distance: they can't add a link that joins anything.
-        near = members.join(chosen.join(pivots, ["region", "pivot"]), "region").where("comp <> pcomp and n <= pmost and pn <= most")
-        near = near.select("region", "id", "comp", "pivot", "pcomp")
+        near = members.join(chosen, "region").where("comp <> pcomp and n <= pmost and pn <= most")
+        near = keep(near.select("region", "id", "comp", "pivot", "pcomp", (F.col("m") - F.col("own")).alias("others")), "near")
         pairs = near.select("id", "pivot").distinct()
         left = points.select("id", F.col("n").alias("n1"), F.col("common").alias("c1"))
         right = points.select(F.col("id").alias("pivot"), F.col("n").alias("n2"), F.col("common").alias("c2"))
         measured = pairs.join(left, "id").join(right, "pivot").select("id", "pivot", "n1", "n2", F.size(F.array_intersect("c1", "c2")).alias("i"))
         union = F.col("n1") + F.col("n2") - F.col("i")
         measured = measured.groupBy("id", "pivot").agg(F.max(F.col("i") * 100 >= union * percent).alias("linked"), F.min(1 - F.col("i") / union).alias("d"))
-        measured = keep(measured, "distances")
-        hits = measured.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        out.append(hits)
-        seen = near.join(measured, ["id", "pivot"])
-        total = members.groupBy("region", "comp").agg(F.count("*").alias("own"))
-        whole = total.groupBy("region").agg(F.sum("own").alias("whole"))
+        seen = keep(near.join(measured, ["id", "pivot"]), "seen")
+        hits = seen.where("linked")
+        out.append(hits.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         # A linked member leaves if all members of other components have been measured and its pivot's window holds none that is not linked.
-        far = seen.groupBy("region", "pivot", "pcomp").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.count("*").alias("met"))
-        far = far.join(total.withColumnRenamed("comp", "pcomp"), ["region", "pcomp"]).join(whole, "region").where("met = whole - own").select("region", "pivot", "far")
-        done = seen.where("linked").join(far, ["region", "pivot"]).where(F.col("far").isNull() | (F.col("d") + eps + 1e-9 < F.col("far"))).select("region", "id")
+        far = seen.groupBy("region", "pivot", "pcomp").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("far"), F.count("*").alias("met"), F.min("others").alias("others")).where("met = others").select("region", "pivot", "far")
+        done = hits.join(far, ["region", "pivot"]).where(F.col("far").isNull() | (F.col("d") + eps + 1e-9 < F.col("far"))).select("region", "id")
         done = done.union(chosen.select("region", F.col("pivot").alias("id")))
-        rest = members.join(done.distinct(), ["region", "id"], "left_anti")
-        merged = seen.where("linked").select(F.col("comp").alias("a"), F.col("pcomp").alias("b")).distinct()
-        renamed = common.connected_components(merged)
-        rest = rest.join(renamed, rest["comp"] == renamed["node"], "left").select("region", "id", "n", "pos", "most", F.coalesce("component", "comp").alias("comp"))
-        alive = rest.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("region")
+        rest = members.drop("m", "shingles").join(done.distinct(), ["region", "id"], "left_anti")
+        renamed = common.connected_components(hits.select(F.col("comp").alias("a"), F.col("pcomp").alias("b")).distinct())
+        rest = rest.join(renamed, rest["comp"] == renamed["node"], "left").select("region", "id", "n", "w", "pos", "most", F.coalesce("component", "comp").alias("comp"))
+        alive = rest.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *whole).where("c0 <> c1").select("region", "m", "shingles")
         members = keep(rest.join(alive, "region"), "regions")
         common.release(base.sparkSession)
     else:
         raise RuntimeError("regions did not settle")
-    bins = max(1, -(-small.count() // BIN))
-    held = small.join(points.select("id", "n", "common"), "id").withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
+    rows, weight = small.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    bins = max(1, -(-rows // BIN), -(-weight // BIN_SHINGLES))
+    held = small.join(points.select("id", "n", "common"), "id").select("region", "id", "n", "common", F.pmod(F.xxhash64("region"), F.lit(bins)).alias("bin"))
     out.append(keep(held.groupBy("bin").applyInArrow(lambda table: _join_bin(table, percent), "a long, b long"), "links"))
     return out, written
 
