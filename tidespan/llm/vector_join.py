@@ -2,8 +2,8 @@
 
 Unit vectors at cosine >= c are at squared distance <= 2 - 2c.  After a fixed rotation the dimensions are split into blocks; some block
 of a linked pair holds no more than its proportional share of that distance.  Each block is range-joined on its own: its first axis is
-cut into slabs at quantiles, a vector is also sent to each slab within the block's radius, and within a slab a sorted window of that radius
-moves along the axis.  Candidates are verified in full double precision where they meet, and each link is counted in the first block that finds it.
+cut into slabs at quantiles, a vector is also sent to each slab within the block's radius, and within a slab the vectors are halved along all axes of the block,
+each half meeting only those whose distance to it, added up over the axes, is within the radius.  Candidates are verified in full double precision where they meet, and each link is counted in the first block that finds it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ SLAB = 65536
 PART = 131072
 #: Vectors of which the quantiles are taken.
 SAMPLE = 4096
+#: Vectors that are multiplied with all that lie near them, rather than halved again.
+LEAF = 64
 _SLACK = 1e-9
 
 
@@ -66,7 +68,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, vec: str =
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and neither do vectors of different
     lengths; a row without an id has none and a null component.  Equal vectors are one point that counts as often as it occurs.  Rows with one id are different vectors of one component.  ``cosine`` must be
-    above 0.  The work grows with the pairs that share a slab window; for data without any structure that is a fixed share of all pairs, as for every exact method.
+    above 0.  The work grows with the pairs that share a part of a slab; for data without any structure that is a fixed share of all pairs, as for every exact method.
     """
     spark = vectors.sparkSession
     v = F.col(vec)
@@ -162,34 +164,51 @@ def _join(points: DataFrame, dim: int, n: int, cosine: float, m: int) -> DataFra
         bound = np.float32(share[b] + 1e-5)
         links = np.zeros(len(pt), np.int64)
         ea, eb = [], []
-        # Along the first axis of the block, only what lies within the radius can be near.
-        axis, radius = yb[:, 0], share[b] ** 0.5 + 1e-6
-        h, o = h[np.argsort(axis[h], kind="stable")], o[np.argsort(axis[o], kind="stable")]
-        right = np.ascontiguousarray(np.concatenate([yb, one, sq], 1).astype(np.float32)[o].T)
-        step = max(16, 1_000_000 // max(1, len(o)))
-        for s in range(0, len(h), step):
-            hs = h[s : s + step]
-            first, last = np.searchsorted(axis[o], axis[hs[0]] - radius), np.searchsorted(axis[o], axis[hs[-1]] + radius, "right")
-            if first == last:
-                continue
-            flat = np.flatnonzero((left[hs] @ right[:, first:last]).ravel() <= bound)
-            r, c = np.divmod(flat, last - first)
-            c += first
-            for q in range(0, len(r), 200_000):
-                i, j = hs[r[q : q + 200_000]], o[c[q : q + 200_000]]
-                other = pt[i] != pt[j]
-                i, j = i[other], j[other]
-                gap = y[i] - y[j]
+        right = np.ascontiguousarray(np.concatenate([yb, one, sq], 1).astype(np.float32))
+        flat = yb.astype(np.float32)
+        waiting = []
+
+        def verify() -> None:
+            i, j = (np.concatenate(z) for z in zip(*waiting)) if waiting else (h[:0], o[:0])
+            waiting.clear()
+            for q in range(0, len(i), 200_000):
+                at, to = i[q : q + 200_000], j[q : q + 200_000]
+                gap = y[at] - y[to]
                 gap *= gap
-                first = np.ones(len(i), bool)
+                first = pt[at] != pt[to]
                 for e in range(b):
                     first &= gap[:, edge[e] : edge[e + 1]].sum(1) > share[e]
                 first &= gap[:, edge[b] : edge[b + 1]].sum(1) <= share[b]
-                first[first] &= (unit[i[first]] * unit[j[first]]).sum(1) >= cosine
-                i, j = i[first], j[first]
-                np.add.at(links, i, mult[j])
-                ea.append(i)
-                eb.append(j)
+                first[first] &= (unit[at[first]] * unit[to[first]]).sum(1) >= cosine
+                np.add.at(links, at[first], mult[to[first]])
+                ea.append(at[first])
+                eb.append(to[first])
+
+        def meet(o: np.ndarray, h: np.ndarray, off: np.ndarray) -> None:
+            """Pairs of h and o; ``off``: squared distance of each of h, along each axis, to the box that holds o."""
+            if len(o) <= LEAF:
+                step = max(1, 1_000_000 // max(1, len(o)))
+                for s in range(0, len(h), step):
+                    r, c = np.nonzero(left[h[s : s + step]] @ right[o].T <= bound)
+                    if len(r):
+                        waiting.append((h[s + r], o[c]))
+                if sum(len(w[0]) for w in waiting) > 200_000:
+                    verify()
+                return
+            axis = int(np.ptp(flat[o], axis=0).argmax())
+            o = o[np.argpartition(flat[o, axis], len(o) // 2)]
+            for half in (o[: len(o) // 2], o[len(o) // 2 :]):
+                side, own = flat[half, axis], flat[h, axis]
+                gap = np.maximum(np.maximum(side.min() - own, own - side.max()), 0) ** 2
+                near = np.flatnonzero(off.sum(1) - off[:, axis] + gap <= bound)
+                if len(near):
+                    far = off[near]
+                    far[:, axis] = gap[near]
+                    meet(half, h[near], far)
+
+        if len(h) and len(o):
+            meet(o, h, np.zeros((len(h), yb.shape[1]), np.float32))
+        verify()
         a, c = (np.concatenate(z) if z else np.zeros(0, int) for z in (ea, eb))
         root = _local_roots(len(pt), a, c)
         keep = h[(links[h] > 0)]
